@@ -9,44 +9,52 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
+# Beyond this many degrees of freedom the normal tail is used.
+NORMAL_FROM = 1e7
 
-def _upper_tails(t, df):
+
+def _tail(t, df):
     """P(|T| > |t|), as the regularised incomplete beta I_x(df/2, 1/2)."""
-    if t is None or df is None or math.isnan(t) or df <= 0:
+    if t is None or df is None or math.isnan(t) or math.isnan(df) or df <= 0:
         return None
     if math.isinf(t):
         return 0.0
-    x = df / (df + t * t)
-    a, b = df / 2.0, 0.5
-    if x >= 1.0:
+    if df > NORMAL_FROM:
+        return math.erfc(abs(t) / math.sqrt(2.0))
+    if t == 0:
         return 1.0
-    log_front = (
+    a, b = df / 2.0, 0.5
+    x, rest = df / (df + t * t), t * t / (df + t * t)
+    scale = math.exp(
         math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
+        + a * math.log1p(-rest) + b * math.log(rest)
     )
-    front = math.exp(log_front)
     if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def _beta_fraction(a, b, x):
-    """Continued fraction of the incomplete beta, evaluated by convergents."""
-    tiny = 1e-300
-    previous, current = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    denominator = 1.0 / (current if abs(current) > tiny else tiny)
-    value = denominator
-    for m in range(1, 10000):
-        for coefficient in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            denominator = 1.0 + coefficient * denominator
-            denominator = 1.0 / (denominator if abs(denominator) > tiny else tiny)
-            previous = 1.0 + coefficient / (previous if abs(previous) > tiny else tiny)
-            step = previous * denominator
-            value *= step
-        if abs(step - 1.0) < 1e-15:
+        return scale * _continued_fraction(a, b, x) / a
+    return 1.0 - scale * _continued_fraction(b, a, rest) / b
+
+
+def _continued_fraction(a, b, x, limit=20000):
+    """1/(1 + d1/(1 + d2/(1 + ...))) of the incomplete beta function.
+
+    The ratios of successive numerators and denominators are carried instead of
+    the convergents themselves, so nothing overflows.
+    """
+
+    def coefficient(k):
+        m = k // 2
+        if k % 2 == 0:
+            return m * (b - m) * x / ((a + k - 1) * (a + k))
+        return -(a + m) * (a + b + m) * x / ((a + k - 1) * (a + k))
+
+    down = 1.0 / (1.0 + coefficient(1))
+    up, value = 1.0, down
+    for k in range(2, limit):
+        d = coefficient(k)
+        down = 1.0 / (1.0 + d * down)
+        up = 1.0 + d / up
+        value *= up * down
+        if abs(up * down - 1.0) < 1e-15:
             break
     return value
 
@@ -56,6 +64,6 @@ def two_sided_p(t, degrees_of_freedom):
 
     @F.pandas_udf("double")
     def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([_upper_tails(a, b) for a, b in zip(t, df)], dtype="float64")
+        return pd.Series([_tail(a, b) for a, b in zip(t, df)], dtype="float64")
 
     return p_value(t.cast("double"), degrees_of_freedom.cast("double"))
