@@ -66,11 +66,11 @@ totals AS (
          count(*) AS n_moves, sum(move_time) AS total_time,
          CASE WHEN base = 0 THEN avg(rel_time) ELSE sum(move_time) / base / count(*) END AS avg_value,
          sum(move_time) / (base + increment * count(*)) AS share_value
-  FROM rel GROUP BY ALL),
+  FROM rel GROUP BY game_id, player, outcome, rating, base, increment),
 lists AS (
   SELECT game_id, player, rating, list(rel_time ORDER BY rel_time, move_time, move_no) AS t,
          list(player_score ORDER BY rel_time, move_time, move_no) AS s
-  FROM rel GROUP BY ALL HAVING count(*) > 10)
+  FROM rel GROUP BY game_id, player, rating HAVING count(*) > 10)
 """
 
 

@@ -4,11 +4,68 @@
 its moves, numbered within a customer by order and line.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# A run of order keys this wide is numbered by one task at most.
-ORDER_BLOCK = 1 << 16
+GAME_INFO = """
+SELECT c_custkey AS game_id,
+       concat('w', c_custkey) AS white,
+       concat('b', c_custkey) AS black,
+       CASE c_custkey % 3 WHEN 0 THEN '1-0' WHEN 1 THEN '0-1' ELSE '1/2-1/2' END AS result,
+       CAST(1000 + (c_custkey * 37) % 1500 AS INT) AS white_elo,
+       CAST(1000 + (c_custkey * 53) % 1500 AS INT) AS black_elo,
+       CASE WHEN c_custkey % 50 = 7 THEN '0+12'
+            WHEN c_custkey % 5 = 0 THEN '60+0'
+            WHEN c_custkey % 5 = 1 THEN '180+2'
+            WHEN c_custkey % 5 = 2 THEN '300+5'
+            WHEN c_custkey % 5 = 3 THEN '600+10'
+            ELSE '900+0' END AS time_control
+FROM {customer}
+"""
+
+# Lines are numbered within each order, and each order starts at the number of
+# lines its customer has in earlier orders.  That running sum is taken within
+# blocks of 2^16 consecutive order keys, and over the blocks' totals, so that no
+# task has to see all orders of one customer.
+MOVES = """
+WITH sized AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, n, shiftright(o_orderkey, 16) AS block
+  FROM {orders}
+  JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey)
+    ON l_orderkey = o_orderkey),
+blocks AS (
+  SELECT o_custkey, block, sum(sum(n)) OVER (
+           PARTITION BY o_custkey ORDER BY block
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_block
+  FROM sized GROUP BY o_custkey, block),
+starts AS (
+  SELECT o_orderkey, o_custkey, o_orderdate,
+         coalesce(before_block, 0) + coalesce(before_order, 0) AS start
+  FROM (SELECT *, sum(n) OVER (
+                 PARTITION BY o_custkey, block ORDER BY o_orderkey
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_order
+        FROM sized)
+  JOIN blocks USING (o_custkey, block)),
+numbered AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, row_number() OVER (
+           PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line
+  FROM {lineitem}),
+plies AS (
+  SELECT o_custkey AS game_id, CAST(start + line AS INT) AS move_no, l_partkey, l_suppkey,
+         l_quantity, o_orderdate, (l_partkey * 31 + l_suppkey) % 801 - 400 AS score
+  FROM numbered JOIN starts ON l_orderkey = o_orderkey)
+SELECT game_id,
+       concat(CASE WHEN move_no % 2 = 1 THEN 'w' ELSE 'b' END, game_id) AS player,
+       move_no,
+       concat(substr('abcdefgh', CAST(l_partkey % 8 + 1 AS INT), 1), l_suppkey % 8 + 1) AS move,
+       l_quantity - 1 AS move_time,
+       CASE WHEN l_partkey % 97 = 0 THEN '#+3'
+            WHEN l_partkey % 97 = 1 THEN '#-2'
+            WHEN score > 0 THEN concat('+', score)
+            ELSE CAST(score AS STRING) END AS centipawn_score,
+       month(o_orderdate) AS month
+FROM plies
+"""
 
 
 def table(spark, sf_dir, name):
@@ -16,104 +73,16 @@ def table(spark, sf_dir, name):
 
 
 def chess_game_info(spark, sf_dir):
-    key = F.col("c_custkey")
-    result = (
-        F.when(key % 3 == 0, "1-0").when(key % 3 == 1, "0-1").otherwise("1/2-1/2")
-    )
-    clock = (
-        F.when(key % 50 == 7, "0+12")
-        .when(key % 5 == 0, "60+0")
-        .when(key % 5 == 1, "180+2")
-        .when(key % 5 == 2, "300+5")
-        .when(key % 5 == 3, "600+10")
-        .otherwise("900+0")
-    )
-    return table(spark, sf_dir, "customer").select(
-        key.alias("game_id"),
-        F.concat(F.lit("w"), key.cast("string")).alias("white"),
-        F.concat(F.lit("b"), key.cast("string")).alias("black"),
-        result.alias("result"),
-        (1000 + (key * 37) % 1500).cast("int").alias("white_elo"),
-        (1000 + (key * 53) % 1500).cast("int").alias("black_elo"),
-        clock.alias("time_control"),
-    )
+    """``game_id, white, black, result, white_elo, black_elo, time_control``."""
+    return spark.sql(GAME_INFO, customer=table(spark, sf_dir, "customer"))
 
 
 def chess_moves(spark, sf_dir):
-    """``game_id, player, move_no, move, move_time, centipawn_score, month``.
-
-    A customer's lines are numbered in two levels, because one customer may hold
-    a large share of all lines: inside each order first, and then the orders get
-    the running sum of line counts as their offset.
-    """
-    lines = table(spark, sf_dir, "lineitem")
-    in_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
-    )
-    numbered = lines.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    ).withColumn("_line", F.row_number().over(in_order))
-    joined = numbered.join(
-        _order_offsets(spark, sf_dir), numbered.l_orderkey == F.col("o_orderkey")
-    )
-    game = F.col("o_custkey")
-    plies = joined.withColumn("move_no", (F.col("_offset") + F.col("_line")).cast("int"))
-    side = F.when(F.col("move_no") % 2 == 1, F.lit("w")).otherwise(F.lit("b"))
-    score = (F.col("l_partkey") * 31 + F.col("l_suppkey")) % 801 - 400
-    score_text = (
-        F.when(F.col("l_partkey") % 97 == 0, "#+3")
-        .when(F.col("l_partkey") % 97 == 1, "#-2")
-        .when(score > 0, F.concat(F.lit("+"), score.cast("string")))
-        .otherwise(score.cast("string"))
-    )
-    square = F.concat(
-        F.substring(F.lit("abcdefgh"), (F.col("l_partkey") % 8 + 1).cast("int"), F.lit(1)),
-        (F.col("l_suppkey") % 8 + 1).cast("string"),
-    )
-    return plies.select(
-        game.alias("game_id"),
-        F.concat(side, game.cast("string")).alias("player"),
-        "move_no",
-        square.alias("move"),
-        (F.col("l_quantity") - 1).alias("move_time"),
-        score_text.alias("centipawn_score"),
-        F.col("_month").alias("month"),
-    )
-
-
-def _order_offsets(spark, sf_dir):
-    """Each order with the number of lines its customer has in earlier orders.
-
-    Line counts are summed map-side.  The running sum is taken in blocks of
-    orders, and over the blocks' totals, so no task sees all orders of a customer.
-    """
-    sizes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("_lines")
-    )
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", F.month("o_orderdate").alias("_month")
-    )
-    sized = orders.join(sizes, orders.o_orderkey == sizes.l_orderkey).select(
-        "o_orderkey", "o_custkey", "_month", "_lines",
-        F.floor(F.col("o_orderkey") / ORDER_BLOCK).alias("_block"),
-    )
-    blocks = sized.groupBy("o_custkey", "_block").agg(F.sum("_lines").alias("_in_block"))
-    before = Window.partitionBy("o_custkey").orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    blocks = blocks.select(
-        "o_custkey", "_block",
-        F.coalesce(F.sum("_in_block").over(before), F.lit(0)).alias("_blocks_before"),
-    )
-    earlier = Window.partitionBy("o_custkey", "_block").orderBy("o_orderkey").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    inner = sized.withColumn(
-        "_orders_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))
-    )
-    return inner.join(blocks, ["o_custkey", "_block"]).select(
-        "o_orderkey", "o_custkey", "_month",
-        (F.col("_blocks_before") + F.col("_orders_before")).alias("_offset"),
+    """``game_id, player, move_no, move, move_time, centipawn_score, month``."""
+    return spark.sql(
+        MOVES,
+        lineitem=table(spark, sf_dir, "lineitem"),
+        orders=table(spark, sf_dir, "orders"),
     )
 
 

@@ -33,25 +33,29 @@ def rounded(column, digits=DIGITS):
 
 def shown(table, column, digits=DIGITS):
     """Replace a column by its rounded finite value and two flags."""
-    x = F.col(column)
-    return table.withColumns({
-        column: rounded(finite_or_null(x), digits),
-        "is_inf": F.when(F.abs(x) == F.lit("Infinity").cast("double"), 1).otherwise(0),
-        "is_nan": F.when(F.isnan(x), 1).otherwise(0),
-    })
+    others = [c for c in table.columns if c != column]
+    return table.selectExpr(
+        *others,
+        f"CASE WHEN abs({column}) < double('Infinity') THEN round({column}, {digits}) END "
+        f"AS {column}",
+        f"int(abs({column}) <=> double('Infinity')) AS is_inf",
+        f"int(coalesce(isnan({column}), false)) AS is_nan",
+    )
 
 
 def list_columns(table, source, prefix="t", field=None, k=5, keep=()):
     """Spread a list over ``prefix1 .. prefixK``, with counts of the rest."""
-    entry = [F.get(source, F.lit(i)) for i in range(k)]
-    entry = [e[field] for e in entry] if field else entry
-    infinite = [F.when(F.abs(e) == F.lit("Infinity").cast("double"), 1).otherwise(0) for e in entry]
-    nan = [F.when(F.isnan(e), 1).otherwise(0) for e in entry]
-    return table.select(
+    items = f"{source}.{field}" if field else source
+    spread = [
+        f"CASE WHEN abs(get({items}, {i})) < double('Infinity') "
+        f"THEN round(get({items}, {i}), {DIGITS}) END AS {prefix}{i + 1}"
+        for i in range(k)
+    ]
+    return table.selectExpr(
         *keep,
-        *[rounded(finite_or_null(e)).alias(f"{prefix}{i + 1}") for i, e in enumerate(entry)],
-        sum(infinite[1:], infinite[0]).alias("n_inf"),
-        sum(nan[1:], nan[0]).alias("n_nan"),
+        *spread,
+        f"size(filter({items}, x -> abs(x) = double('Infinity'))) AS n_inf",
+        f"size(filter({items}, x -> isnan(x))) AS n_nan",
     )
 
 
@@ -256,10 +260,9 @@ def rating_list_columns(g, end):
 
 def score_list_columns(g, end):
     lists = ops.score_extremes(g.info, g.moves, end)
-    wide = list_columns(lists, "moves", field="rel_time", keep=("game_id", "player", "moves"))
-    return wide.select(
-        "*", *[F.get("moves", F.lit(i))["score"].alias(f"s{i + 1}") for i in range(5)]
-    ).drop("moves")
+    scores_shown = [f"get(moves, {i}).score AS s{i + 1}" for i in range(5)]
+    return list_columns(lists, "moves", field="rel_time",
+                        keep=("game_id", "player", *scores_shown))
 
 
 def parsed_text(g):

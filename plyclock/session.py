@@ -17,6 +17,8 @@ def local_session(cores="*", shuffle_partitions=8, app="plyclock"):
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small test tables would otherwise be merged into one or two tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .getOrCreate()
     )
 
