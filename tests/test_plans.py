@@ -1,0 +1,109 @@
+"""The physical plans keep their intended shape."""
+
+import re
+
+import pytest
+
+from plyclock import operators as ops
+from plyclock.plans.projection import chess_game_info, chess_moves
+from plyclock.plans.queries import QUERIES, bind
+
+
+@pytest.fixture(scope="module")
+def tables(spark, sf_dir, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("chess"))
+    chess_moves(spark, sf_dir).write.parquet(f"{folder}/moves")
+    chess_game_info(spark, sf_dir).write.parquet(f"{folder}/info")
+    return spark.read.parquet(f"{folder}/info"), spark.read.parquet(f"{folder}/moves")
+
+
+@pytest.fixture(autouse=True)
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def moves_scan(text):
+    return [l for l in text.split("\n") if "FileScan" in l and "move_no" in l]
+
+
+def test_filter_and_columns_reach_the_scan(tables):
+    info, moves = tables
+    for df, columns in (
+        (ops.player_game_totals(info, moves), "game_id,player,move_no,move_time"),
+        (ops.rating_extremes(info, moves), "game_id,player,move_no,move_time"),
+        (ops.relative_moves(info, moves, ()), "game_id,player,move_no,move_time"),
+    ):
+        scans = moves_scan(plan(df))
+        assert scans
+        for scan in scans:
+            read = re.search(r"FileScan parquet \[(.*?)\]", scan).group(1)
+            assert re.sub(r"#\d+L?", "", read) == columns
+            assert "Not(In(move_no, [1,2]))" in scan
+
+
+def test_lists_are_limited_before_the_shuffle(tables):
+    info, moves = tables
+    for df in (ops.rating_extremes(info, moves), ops.score_extremes(info, moves, "slowest"),
+               ops.score_extremes(info, moves, ("fastest", "slowest"))):
+        text = plan(df)
+        partial = text.index("Partial\n")
+        assert text.index("Final\n") < text.index("Exchange", text.index("Final\n")) < partial
+        assert "WindowGroupLimit" in text
+
+
+def test_averages_aggregate_before_the_join(tables):
+    info, moves = tables
+    lines = plan(ops.player_game_totals(info, moves)).split("\n")
+    depth = {i: len(re.match(r"[\s:+\-|]*", l).group()) for i, l in enumerate(lines)}
+    scan = next(i for i, l in enumerate(lines) if "FileScan" in l and "move_no" in l)
+    chain, level = [], depth[scan]
+    for i in range(scan, -1, -1):
+        if depth[i] < level:
+            level = depth[i]
+            chain.append(lines[i])
+    kinds = [re.sub(r"^[\s:+\-|]*(\*\(\d+\) )?", "", l).split("(")[0].split(" ")[0] for l in chain]
+    order = [k for k in kinds if k in ("HashAggregate", "Exchange", "SortMergeJoin")]
+    assert order == ["HashAggregate", "Exchange", "HashAggregate", "SortMergeJoin"]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_query_has_a_cross_join(spark, sf_dir, name):
+    text = plan(bind(QUERIES[name])(spark, sf_dir))
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_skewed_join_is_split(spark):
+    """A game with most of the moves is joined by several tasks."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    moves = spark.range(200000).repartition(8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 997 + 1) END AS game_id",
+        "'anna' AS player", "int(id) + 3 AS move_no", "double(id % 40) AS move_time",
+    )
+    info = spark.range(998).selectExpr(
+        "CASE WHEN id = 0 THEN 'hot' ELSE concat('g', id) END AS game_id", "'anna' AS white",
+        "'ben' AS black", "'1-0' AS result", "1500 AS white_elo", "1500 AS black_elo",
+        "'600+0' AS time_control",
+    )
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = ops.relative_moves(info, moves, ())
+        assert df.count() == 200000
+        rows = df._jdf.queryExecution().executedPlan()
+        rows.execute().count()
+        assert "SortMergeJoin(skew=true)" in rows.toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
