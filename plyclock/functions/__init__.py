@@ -1,4 +1,10 @@
-from plyclock.functions.numbers import finite_or_null, ieee_divide, nan_to_null, strict_cast
+from plyclock.functions.numbers import (
+    finite_or_null,
+    ieee_divide,
+    is_finite,
+    nan_to_null,
+    strict_cast,
+)
 from plyclock.functions.chess import (
     clock_base,
     clock_increment,
@@ -11,6 +17,6 @@ from plyclock.functions.ttest import two_sided_p
 
 __all__ = [
     "clock_base", "clock_increment", "finite_or_null", "ieee_divide",
-    "nan_to_null", "opponent_aware_score", "outcome_code", "parse_score",
+    "is_finite", "nan_to_null", "opponent_aware_score", "outcome_code", "parse_score",
     "side_of_move", "strict_cast", "two_sided_p",
 ]

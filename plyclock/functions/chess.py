@@ -39,18 +39,11 @@ def parse_score(text, strict=True):
     A mate announcement carries ``#`` and counts as a fixed large score whose
     sign is the character after it; everything else is a plain number.
     """
-    mate = text.contains("#")
-    # The cast must not see mate text, not even when both branches are evaluated.
-    plain_text = F.when(mate, F.lit("0")).otherwise(text)
     plain = (
-        strict_cast(plain_text, "double", "centipawn_score")
-        if strict
-        else plain_text.try_cast("double")
+        strict_cast(text, "double", "centipawn_score") if strict else text.try_cast("double")
     )
-    mate_value = F.when(F.substring(text, 2, 1) == "-", F.lit(-MATE_SCORE)).otherwise(
-        F.lit(MATE_SCORE)
-    )
-    return F.when(mate, mate_value).otherwise(plain)
+    mate = F.when(F.substring(text, 2, 1) == "-", F.lit(-MATE_SCORE)).otherwise(F.lit(MATE_SCORE))
+    return F.when(text.contains("#"), mate).otherwise(plain)
 
 
 def opponent_aware_score(score, move_no, perspective="player"):
@@ -63,7 +56,7 @@ def opponent_aware_score(score, move_no, perspective="player"):
     Adding 0.0 turns a negative zero into zero.
     """
     if perspective == "player":
-        flipped = F.when(move_no % 2 == 0, -score).otherwise(score)
+        flipped = score * F.when(move_no % 2 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     elif perspective == "score_parity":
         flipped = F.when(score % 2 == 0, -score).otherwise(score)
     elif perspective == "white":

@@ -14,13 +14,9 @@ def ieee_divide(numerator, denominator):
     either operand stays NULL.
     """
     n, d = numerator.cast("double"), denominator.cast("double")
-    return (
-        F.when(d != 0, F.try_divide(n, d))
-        .when(n.isNull() | d.isNull(), F.lit(None).cast("double"))
-        .when((n == 0) | F.isnan(n), _lit("NaN"))
-        .when(n > 0, _lit("Infinity"))
-        .otherwise(_lit("-Infinity"))
-    )
+    # x * Infinity has the wanted value for every x, zero and NaN included.
+    over_zero = n * F.when(d == 0, _lit("Infinity"))
+    return F.coalesce(F.try_divide(n, d), over_zero)
 
 
 def nan_to_null(column):
@@ -28,9 +24,14 @@ def nan_to_null(column):
     return F.nanvl(column, F.lit(None).cast("double"))
 
 
+def is_finite(column):
+    """Neither NULL, NaN nor infinite."""
+    return F.abs(column) < _lit("Infinity")
+
+
 def finite_or_null(column):
     """NaN and both infinities become NULL."""
-    return F.when(F.abs(column) < _lit("Infinity"), column)
+    return F.when(is_finite(column), column)
 
 
 def strict_cast(column, to, name):

@@ -6,7 +6,7 @@ such pair would turn every coefficient into NaN.
 
 from pyspark.sql import functions as F
 
-from plyclock.functions import finite_or_null, two_sided_p
+from plyclock.functions import is_finite, two_sided_p
 from plyclock.operators.moves import KEYS, timed_moves, with_score
 from plyclock.operators.totals import counted_players
 
@@ -19,14 +19,20 @@ def without_mates(scores):
     return scores.filter(F.abs("score") < MATE_LIMIT)
 
 
+def _both_finite(x, y):
+    # One predicate on both columns: split in two, each half would be pushed into
+    # the scan and the expression behind its column evaluated once more there.
+    return is_finite(F.abs(x) + F.abs(y))
+
+
 def fit_line(pairs, x, y, p_value=True):
     """Least-squares line ``y = slope * x + intercept``, one row.
 
     Columns ``slope, intercept, r, std_err, n`` and, unless switched off, the
     two-sided ``p`` of a zero slope.  One pass with map-side partial sums.
     """
-    a, b = finite_or_null(F.col(y)), finite_or_null(F.col(x))
-    sums = pairs.agg(
+    a, b = F.col(y), F.col(x)
+    sums = pairs.filter(_both_finite(x, y)).agg(
         F.regr_count(a, b).alias("n"),
         F.regr_avgx(a, b).alias("_x"), F.regr_avgy(a, b).alias("_y"),
         F.regr_sxx(a, b).alias("_xx"), F.regr_syy(a, b).alias("_yy"),
@@ -44,13 +50,13 @@ def fit_score_line(info, moves, perspective="player", p_value=True):
     """
     scored = without_mates(with_score(timed_moves(moves), perspective))
     x, t = F.col("score"), F.col("move_time")
-    finite = scored.filter(finite_or_null(t).isNotNull())
+    finite = scored.filter(is_finite(t))
     sums = finite.groupBy(*KEYS).agg(
         F.count("*").alias("_n"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx"),
         F.sum(t).alias("_st"), F.sum(t * t).alias("_stt"), F.sum(x * t).alias("_sxt"),
     )
     players = counted_players(info).filter(
-        (F.col("base") != 0) & finite_or_null(F.col("base")).isNotNull()
+        (F.col("base") != 0) & is_finite(F.col("base"))
     )
     c, base = F.col("_copies"), F.col("base")
     total = players.join(sums, KEYS, "inner").agg(
@@ -121,10 +127,9 @@ def fit_sine_grid(pairs, x, y, frequencies):
     the sines are taken over the distinct scores, not over the moves.  A zero
     frequency is left out; it fits nothing.
     """
-    a, b = finite_or_null(F.col(x)), finite_or_null(F.col(y))
     per_x = (
-        pairs.select(a.alias("_x"), b.alias("_y"))
-        .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        pairs.filter(_both_finite(x, y))
+        .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .groupBy("_x")
         .agg(F.count("*").alias("_n"), F.sum("_y").alias("_sy"),
              F.sum(F.col("_y") * F.col("_y")).alias("_syy"))

@@ -6,7 +6,9 @@ each; the rows then stream through in Arrow batches.  Only the open game's state
 is held, never a whole game, so a very long game costs time but not memory.
 """
 
-import pandas as pd
+from itertools import pairwise
+
+import numpy as np
 from pyspark.sql import types as T
 
 
@@ -27,18 +29,15 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score"):
     def run(batches):
         game, scorer = None, None
         for batch in batches:
-            parts = []
-            starts = batch["game_id"].ne(batch["game_id"].shift()).cumsum()
-            for _, rows in batch.groupby(starts, sort=False):
-                current = rows["game_id"].iloc[0]
-                if scorer is None or current != game:
-                    game, scorer = current, new_game()
-                scores = [str(s) for s in scorer(rows[list(inputs)])]
-                parts.append(pd.DataFrame({
-                    "game_id": rows["game_id"], "move_no": rows["move_no"], score: scores,
-                }))
-            if parts:
-                yield pd.concat(parts)
+            if batch.empty:
+                continue
+            ids, rows, scores = batch["game_id"].to_numpy(), batch[list(inputs)], []
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            for start, end in pairwise([0, *cuts, len(ids)]):
+                if scorer is None or ids[start] != game:
+                    game, scorer = ids[start], new_game()
+                scores.extend(str(s) for s in scorer(rows.iloc[start:end]))
+            yield batch[["game_id", "move_no"]].assign(**{score: scores})
 
     ordered = (
         moves.select(*columns)

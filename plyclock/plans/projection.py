@@ -45,25 +45,26 @@ starts AS (
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_order
         FROM sized)
   JOIN blocks USING (o_custkey, block)),
+lines AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+         l_quantity - 1 AS move_time,
+         concat(substr('abcdefgh', CAST(l_partkey % 8 + 1 AS INT), 1), l_suppkey % 8 + 1) AS move,
+         CASE WHEN l_partkey % 97 = 0 THEN '#+3'
+              WHEN l_partkey % 97 = 1 THEN '#-2'
+              ELSE concat(if(score > 0, '+', ''), score) END AS centipawn_score
+  FROM (SELECT *, (l_partkey * 31 + l_suppkey) % 801 - 400 AS score FROM {lineitem})),
 numbered AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, row_number() OVER (
+  SELECT l_orderkey, move_time, move, centipawn_score, row_number() OVER (
            PARTITION BY l_orderkey
            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line
-  FROM {lineitem}),
+  FROM lines),
 plies AS (
-  SELECT o_custkey AS game_id, CAST(start + line AS INT) AS move_no, l_partkey, l_suppkey,
-         l_quantity, o_orderdate, (l_partkey * 31 + l_suppkey) % 801 - 400 AS score
+  SELECT o_custkey AS game_id, CAST(start + line AS INT) AS move_no, move, move_time,
+         centipawn_score, month(o_orderdate) AS month
   FROM numbered JOIN starts ON l_orderkey = o_orderkey)
 SELECT game_id,
        concat(CASE WHEN move_no % 2 = 1 THEN 'w' ELSE 'b' END, game_id) AS player,
-       move_no,
-       concat(substr('abcdefgh', CAST(l_partkey % 8 + 1 AS INT), 1), l_suppkey % 8 + 1) AS move,
-       l_quantity - 1 AS move_time,
-       CASE WHEN l_partkey % 97 = 0 THEN '#+3'
-            WHEN l_partkey % 97 = 1 THEN '#-2'
-            WHEN score > 0 THEN concat('+', score)
-            ELSE CAST(score AS STRING) END AS centipawn_score,
-       month(o_orderdate) AS month
+       move_no, move, move_time, centipawn_score, month
 FROM plies
 """
 
