@@ -1,6 +1,4 @@
-"""Chess-specific column expressions."""
-
-from pyspark.sql import functions as F
+"""Chess-specific expressions, as SQL text like those in ``numbers``."""
 
 from plyclock.functions.numbers import strict_cast
 
@@ -19,18 +17,18 @@ def clock_increment(time_control, strict=True):
 
 
 def _clock_part(time_control, part, name, strict):
-    text = F.split_part(time_control, F.lit("+"), F.lit(part))
-    return strict_cast(text, "double", name) if strict else text.try_cast("double")
+    text = f"split_part({time_control}, '+', {part})"
+    return strict_cast(text, "DOUBLE", name) if strict else f"try_cast({text} AS DOUBLE)"
 
 
 def outcome_code(side, result):
     """Side letter followed by the game result, such as ``w1-0``."""
-    return F.concat(side, result)
+    return f"concat('{side}', {result})"
 
 
 def side_of_move(move_no):
     """``w`` on odd plies, ``b`` on even ones."""
-    return F.when(move_no % 2 == 1, F.lit("w")).otherwise(F.lit("b"))
+    return f"CASE WHEN {move_no} % 2 = 1 THEN 'w' ELSE 'b' END"
 
 
 def parse_score(text, strict=True):
@@ -40,10 +38,12 @@ def parse_score(text, strict=True):
     sign is the character after it; everything else is a plain number.
     """
     plain = (
-        strict_cast(text, "double", "centipawn_score") if strict else text.try_cast("double")
+        strict_cast(text, "DOUBLE", "centipawn_score")
+        if strict
+        else f"try_cast({text} AS DOUBLE)"
     )
-    mate = F.when(F.substring(text, 2, 1) == "-", F.lit(-MATE_SCORE)).otherwise(F.lit(MATE_SCORE))
-    return F.when(text.contains("#"), mate).otherwise(plain)
+    mate = f"if(substr({text}, 2, 1) = '-', double({-MATE_SCORE}), double({MATE_SCORE}))"
+    return f"CASE WHEN contains({text}, '#') THEN {mate} ELSE {plain} END"
 
 
 def opponent_aware_score(score, move_no, perspective="player"):
@@ -53,14 +53,13 @@ def opponent_aware_score(score, move_no, perspective="player"):
     ``score_parity``  negate every even score whoever moved, which reproduces
                       the published outputs.
     ``white``         leave the score alone.
-    Adding 0.0 turns a negative zero into zero.
+    Adding zero turns a negative zero into zero.
     """
-    if perspective == "player":
-        flipped = score * F.when(move_no % 2 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    elif perspective == "score_parity":
-        flipped = F.when(score % 2 == 0, -score).otherwise(score)
-    elif perspective == "white":
-        flipped = score
-    else:
+    views = {
+        "player": f"({score}) * if({move_no} % 2 = 0, -1D, 1D)",
+        "score_parity": f"CASE WHEN ({score}) % 2 = 0 THEN -({score}) ELSE ({score}) END",
+        "white": f"({score})",
+    }
+    if perspective not in views:
         raise ValueError(f"unknown perspective: {perspective}")
-    return flipped + F.lit(0.0)
+    return f"{views[perspective]} + 0D"

@@ -1,10 +1,10 @@
-"""Numeric column helpers, all built from JVM-side expressions."""
+"""Numeric expressions.
 
-from pyspark.sql import functions as F
+Arguments are column names or SQL expressions; results are SQL text, which
+composes with ``selectExpr``, ``expr`` and the lambdas of array functions.
+"""
 
-
-def _lit(text):
-    return F.lit(text).cast("double")
+INFINITY = "double('Infinity')"
 
 
 def ieee_divide(numerator, denominator):
@@ -13,32 +13,26 @@ def ieee_divide(numerator, denominator):
     Plain ``/`` raises under ANSI mode and gives NULL otherwise.  NULL in
     either operand stays NULL.
     """
-    n, d = numerator.cast("double"), denominator.cast("double")
+    n, d = f"double({numerator})", f"double({denominator})"
     # x * Infinity has the wanted value for every x, zero and NaN included.
-    over_zero = n * F.when(d == 0, _lit("Infinity"))
-    return F.coalesce(F.try_divide(n, d), over_zero)
+    return f"coalesce(try_divide({n}, {d}), {n} * CASE WHEN {d} = 0 THEN {INFINITY} END)"
 
 
-def nan_to_null(column):
+def nan_to_null(value):
     """NaN becomes NULL, so that aggregates skip it."""
-    return F.nanvl(column, F.lit(None).cast("double"))
+    return f"nanvl({value}, NULL)"
 
 
-def is_finite(column):
+def is_finite(value):
     """Neither NULL, NaN nor infinite."""
-    return F.abs(column) < _lit("Infinity")
-
-
-def finite_or_null(column):
-    """NaN and both infinities become NULL."""
-    return F.when(is_finite(column), column)
+    return f"abs({value}) < {INFINITY}"
 
 
-def strict_cast(column, to, name):
+def strict_cast(value, to, name):
     """Cast that fails the job on text that does not parse, and on NULL.
 
     Independent of the session's ANSI setting.
     """
-    shown = F.coalesce(column.cast("string"), F.lit("NULL"))
-    message = F.concat(F.lit(f"bad value for {name}: "), shown)
-    return F.coalesce(column.try_cast(to), F.raise_error(message).cast(to))
+    shown = f"coalesce(CAST({value} AS STRING), 'NULL')"
+    fail = f"raise_error(concat('bad value for {name}: ', {shown}))"
+    return f"coalesce(try_cast({value} AS {to}), CAST({fail} AS {to}))"

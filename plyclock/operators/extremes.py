@@ -14,7 +14,6 @@ Keeping at least ``min_moves`` per rank also tells whether the group is large
 enough, without counting all of it.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plyclock.functions import ieee_divide
@@ -32,60 +31,40 @@ def extreme_moves(moves, ends=ENDS, keep=11, extra=()):
     ``(time, ply, *extra)``; ply is 0 when ``extra`` is empty, because equal
     times are then interchangeable.
     """
-    ply = F.col("move_no") if extra else F.lit(0)
-    slow = F.col("_end") == "slowest"
     # Slowest first is the same ranking with both keys negated.  NaN has no
     # negative, so its place is set by a key of its own.
-    time = F.col("move_time")
-    ranked = (
-        moves.select(
-            *KEYS, "move_time", ply.alias("_ply"), *extra, (time == 0).alias("_idle"),
-            F.explode(F.array(*[F.lit(e) for e in ends])).alias("_end"),
-        )
-        if len(ends) > 1
-        else moves.select(
-            *KEYS, "move_time", ply.alias("_ply"), *extra, (time == 0).alias("_idle"),
-            F.lit(ends[0]).alias("_end"),
-        )
+    tagged = moves.selectExpr(
+        *KEYS, "move_time", f"{'move_no' if extra else 0} AS _ply", *extra,
+        "move_time = 0 AS _idle",
+        f"explode(array{tuple(ends)}) AS _end" if len(ends) > 1 else f"'{ends[0]}' AS _end",
     )
-    order = [
-        F.when(slow, ~F.isnan("move_time")).otherwise(F.isnan("move_time")),
-        F.when(slow, -time).otherwise(time),
-        F.when(slow, -F.col("_ply")).otherwise(F.col("_ply")),
-    ]
-    window = Window.partitionBy(*KEYS, "_idle", "_end").orderBy(*order)
-    kept = ranked.withColumn("_rank", F.row_number().over(window)).filter(
-        F.col("_rank") <= keep
-    )
-    entry = F.struct(F.col("move_time").alias("time"), F.col("_ply").alias("ply"), *extra)
+    slow = "_end = 'slowest'"
+    rank = f"""
+        row_number() OVER (
+            PARTITION BY {", ".join(KEYS)}, _idle, _end
+            ORDER BY if({slow}, NOT isnan(move_time), isnan(move_time)),
+                     if({slow}, -move_time, move_time), if({slow}, -_ply, _ply))"""
+    kept = tagged.selectExpr("*", f"{rank} AS _rank").filter(f"_rank <= {keep}")
+    entry = ", ".join(["move_time AS time", "_ply AS ply", *extra])
     return kept.groupBy(*KEYS).agg(
-        F.count_if(F.col("_end") == ends[0]).alias("_seen"),
-        *[F.collect_list(F.when(F.col("_end") == e, entry)).alias(e) for e in ends],
+        F.expr(f"count_if(_end = '{ends[0]}') AS _seen"),
+        *[F.expr(f"collect_list(CASE WHEN _end = '{e}' THEN struct({entry}) END) AS {e}")
+          for e in ends],
     )
 
 
 def _with_base(info, candidates, ends, attributes, min_moves, k):
     """Join candidates to players and make their times relative, sorted ascending."""
     joined = counted_players(info, *attributes).join(candidates, KEYS, "inner")
-    enough = joined.filter(F.col("_seen") * F.col("_copies") >= min_moves)
-    base = (
-        F.when(F.col("base") < 0, F.raise_error(F.lit("negative base time")).cast("double"))
-        .otherwise(F.col("base"))
+    checked = "if(base < 0, double(raise_error('negative base time')), base) AS _base"
+    enough = joined.filter(f"_seen * _copies >= {min_moves}").selectExpr("*", checked)
+    # Each move counts once per copy of its game, and k of them are enough.
+    entry = f"struct({ieee_divide('e.time', '_base')} AS rel_time, e AS move)"
+    repeated = f"array_repeat({entry}, int(least(_copies, {k})))"
+    return enough.selectExpr(
+        *KEYS, *attributes,
+        *[f"sort_array(flatten(transform({end}, e -> {repeated}))) AS {end}" for end in ends],
     )
-    enough = enough.withColumn("base", base)
-    copies = F.least(F.col("_copies"), F.lit(k)).cast("int")
-
-    def relative(entry):
-        return F.struct(
-            ieee_divide(entry["time"], F.col("base")).alias("rel_time"), entry.alias("move")
-        )
-
-    def repeated(entries):
-        return F.flatten(F.transform(entries, lambda e: F.array_repeat(e, copies)))
-
-    return enough.withColumns({
-        end: F.sort_array(repeated(F.transform(end, relative))) for end in ends
-    })
 
 
 def rating_extremes(info, moves, end="fastest", k=5, min_moves=11):
@@ -99,11 +78,10 @@ def rating_extremes(info, moves, end="fastest", k=5, min_moves=11):
     ready = _with_base(info, candidates, ends, ("rating",), min_moves, k)
 
     def times(e):
-        ascending = F.transform(e, lambda x: x["rel_time"])
-        return F.slice(ascending if e == "fastest" else F.reverse(ascending), 1, k)
+        ordered = f"{e}.rel_time" if e == "fastest" else f"reverse({e}.rel_time)"
+        return f"slice({ordered}, 1, {k}) AS {'times' if len(ends) == 1 else e}"
 
-    named = [times(e).alias("times" if len(ends) == 1 else e) for e in ends]
-    return ready.select(*KEYS, "rating", *named)
+    return ready.selectExpr(*KEYS, "rating", *map(times, ends))
 
 
 def score_extremes(info, moves, end="fastest", perspective="player", k=5, min_moves=11):
@@ -118,13 +96,10 @@ def score_extremes(info, moves, end="fastest", perspective="player", k=5, min_mo
     ready = _with_base(info, candidates, ends, (), min_moves, k)
 
     def pairs(e):
-        chosen = F.slice(e, 1, k) if e == "fastest" else F.reverse(
-            F.slice(F.reverse(e), 1, k)
-        )
-        return F.transform(
-            chosen,
-            lambda x: F.struct(x["rel_time"].alias("rel_time"), x["move"]["score"].alias("score")),
+        chosen = f"slice({e}, 1, {k})" if e == "fastest" else (
+            f"reverse(slice(reverse({e}), 1, {k}))"
         )
+        shown = "struct(x.rel_time AS rel_time, x.move.score AS score)"
+        return f"transform({chosen}, x -> {shown}) AS {'moves' if len(ends) == 1 else e}"
 
-    named = [pairs(e).alias("moves" if len(ends) == 1 else e) for e in ends]
-    return ready.select(*KEYS, *named)
+    return ready.selectExpr(*KEYS, *map(pairs, ends))

@@ -16,13 +16,13 @@ MATE_LIMIT = 10000.0
 
 def without_mates(scores):
     """Rows whose score is an evaluation rather than a mate."""
-    return scores.filter(F.abs("score") < MATE_LIMIT)
+    return scores.filter(f"abs(score) < {MATE_LIMIT}")
 
 
 def _both_finite(x, y):
     # One predicate on both columns: split in two, each half would be pushed into
     # the scan and the expression behind its column evaluated once more there.
-    return is_finite(F.abs(x) + F.abs(y))
+    return is_finite(f"abs({x}) + abs({y})")
 
 
 def fit_line(pairs, x, y, p_value=True):
@@ -31,12 +31,11 @@ def fit_line(pairs, x, y, p_value=True):
     Columns ``slope, intercept, r, std_err, n`` and, unless switched off, the
     two-sided ``p`` of a zero slope.  One pass with map-side partial sums.
     """
-    a, b = F.col(y), F.col(x)
     sums = pairs.filter(_both_finite(x, y)).agg(
-        F.regr_count(a, b).alias("n"),
-        F.regr_avgx(a, b).alias("_x"), F.regr_avgy(a, b).alias("_y"),
-        F.regr_sxx(a, b).alias("_xx"), F.regr_syy(a, b).alias("_yy"),
-        F.regr_sxy(a, b).alias("_xy"),
+        F.expr(f"regr_count({y}, {x}) AS n"),
+        F.expr(f"regr_avgx({y}, {x}) AS _x"), F.expr(f"regr_avgy({y}, {x}) AS _y"),
+        F.expr(f"regr_sxx({y}, {x}) AS _xx"), F.expr(f"regr_syy({y}, {x}) AS _yy"),
+        F.expr(f"regr_sxy({y}, {x}) AS _xy"),
     )
     return _line(sums, p_value)
 
@@ -49,56 +48,48 @@ def fit_score_line(info, moves, perspective="player", p_value=True):
     moves themselves are never shuffled.
     """
     scored = without_mates(with_score(timed_moves(moves), perspective))
-    x, t = F.col("score"), F.col("move_time")
-    finite = scored.filter(is_finite(t))
-    sums = finite.groupBy(*KEYS).agg(
-        F.count("*").alias("_n"), F.sum(x).alias("_sx"), F.sum(x * x).alias("_sxx"),
-        F.sum(t).alias("_st"), F.sum(t * t).alias("_stt"), F.sum(x * t).alias("_sxt"),
+    sums = scored.filter(is_finite("move_time")).groupBy(*KEYS).agg(
+        F.expr("count(*) AS _n"),
+        F.expr("sum(score) AS _sx"), F.expr("sum(score * score) AS _sxx"),
+        F.expr("sum(move_time) AS _st"), F.expr("sum(move_time * move_time) AS _stt"),
+        F.expr("sum(score * move_time) AS _sxt"),
     )
-    players = counted_players(info).filter(
-        (F.col("base") != 0) & is_finite(F.col("base"))
-    )
-    c, base = F.col("_copies"), F.col("base")
+    players = counted_players(info).filter(f"base <> 0 AND {is_finite('base')}")
     total = players.join(sums, KEYS, "inner").agg(
-        F.sum(c * F.col("_n")).alias("n"),
-        F.sum(c * F.col("_sx")).alias("_sx"),
-        F.sum(c * F.col("_sxx")).alias("_sxx"),
-        F.sum(c * F.col("_st") / base).alias("_sy"),
-        F.sum(c * F.col("_stt") / (base * base)).alias("_syy"),
-        F.sum(c * F.col("_sxt") / base).alias("_sxy"),
+        F.expr("sum(_copies * _n) AS n"),
+        F.expr("sum(_copies * _sx) AS _sx"),
+        F.expr("sum(_copies * _sxx) AS _sxx"),
+        F.expr("sum(_copies * _st / base) AS _sy"),
+        F.expr("sum(_copies * _stt / (base * base)) AS _syy"),
+        F.expr("sum(_copies * _sxt / base) AS _sxy"),
     )
-    n = F.col("n")
-    centred = total.filter(n > 0).select(
-        "n",
-        (F.col("_sx") / n).alias("_x"), (F.col("_sy") / n).alias("_y"),
-        (F.col("_sxx") - F.col("_sx") * F.col("_sx") / n).alias("_xx"),
-        (F.col("_syy") - F.col("_sy") * F.col("_sy") / n).alias("_yy"),
-        (F.col("_sxy") - F.col("_sx") * F.col("_sy") / n).alias("_xy"),
+    centred = total.filter("n > 0").selectExpr(
+        "n", "_sx / n AS _x", "_sy / n AS _y",
+        "_sxx - _sx * _sx / n AS _xx",
+        "_syy - _sy * _sy / n AS _yy",
+        "_sxy - _sx * _sy / n AS _xy",
     )
     return _line(centred, p_value)
 
 
 def _line(sums, p_value):
-    n, xx, yy, xy = F.col("n"), F.col("_xx"), F.col("_yy"), F.col("_xy")
-    slope = F.try_divide(xy, xx)
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(xy, F.sqrt(xx * yy))))
-    spread = F.greatest(F.lit(0.0), yy - F.try_divide(xy * xy, xx))
-    std_err = F.when(n == 2, F.lit(0.0)).when(
-        n > 2, F.sqrt(F.try_divide(spread, (n - 2) * xx))
-    )
-    line = sums.select(
-        slope.alias("slope"),
-        (F.col("_y") - slope * F.col("_x")).alias("intercept"),
-        r.alias("r"), std_err.alias("std_err"), n.alias("n"),
+    slope = "try_divide(_xy, _xx)"
+    spread = "greatest(0D, _yy - try_divide(_xy * _xy, _xx))"
+    line = sums.selectExpr(
+        f"{slope} AS slope",
+        f"_y - {slope} * _x AS intercept",
+        "greatest(-1D, least(1D, try_divide(_xy, sqrt(_xx * _yy)))) AS r",
+        f"CASE WHEN n = 2 THEN 0D WHEN n > 2 THEN sqrt(try_divide({spread}, (n - 2) * _xx)) END "
+        "AS std_err",
+        "n",
     )
     if not p_value:
         return line
-    r = F.col("r")
-    rest = (1.0 - r) * (1.0 + r)
-    t = F.when(rest > 0, r * F.sqrt(F.try_divide(n - 2, rest))).otherwise(
-        F.lit("Infinity").cast("double")
+    t = F.expr(
+        "CASE WHEN abs(r) < 1 THEN r * sqrt((n - 2) / ((1 - r) * (1 + r))) "
+        "WHEN r IS NOT NULL THEN double('Infinity') END"
     )
-    return line.withColumn("p", two_sided_p(t, n - 2))
+    return line.withColumn("p", two_sided_p(t, F.expr("n - 2")))
 
 
 def line_at(fit, pairs, x):
@@ -113,9 +104,9 @@ def line_at(fit, pairs, x):
 
 def line_grid(fit, values, x="x"):
     """``x, fitted`` at each given value, from the one-row fit."""
-    grid = F.explode(F.array(*[F.lit(float(v)) for v in values]))
-    return fit.select(grid.alias(x), "slope", "intercept").select(
-        x, (F.col("slope") * F.col(x) + F.col("intercept")).alias("fitted")
+    grid = ", ".join(f"{float(v)!r}D" for v in values)
+    return fit.selectExpr(f"explode(array({grid})) AS {x}", "slope", "intercept").selectExpr(
+        x, f"slope * {x} + intercept AS fitted"
     )
 
 
@@ -129,25 +120,22 @@ def fit_sine_grid(pairs, x, y, frequencies):
     """
     per_x = (
         pairs.filter(_both_finite(x, y))
-        .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        .selectExpr(f"double({x}) AS _x", f"double({y}) AS _y")
         .groupBy("_x")
-        .agg(F.count("*").alias("_n"), F.sum("_y").alias("_sy"),
-             F.sum(F.col("_y") * F.col("_y")).alias("_syy"))
+        .agg(F.expr("count(*) AS _n"), F.expr("sum(_y) AS _sy"), F.expr("sum(_y * _y) AS _syy"))
     )
-    grid = F.array(*[F.lit(float(f)) for f in frequencies if f != 0])
-    wave = per_x.withColumn("b", F.explode(grid)).withColumn(
-        "_sin", F.sin(F.col("b") * F.col("_x"))
+    grid = ", ".join(f"{float(f)!r}D" for f in frequencies if f != 0)
+    waves = per_x.selectExpr("*", f"explode(array({grid})) AS b").selectExpr(
+        "*", "sin(b * _x) AS _sin"
     )
-    sums = wave.groupBy("b").agg(
-        F.sum(F.col("_sy") * F.col("_sin")).alias("_ys"),
-        F.sum(F.col("_n") * F.col("_sin") * F.col("_sin")).alias("_ss"),
-        F.sum("_syy").alias("_yy"),
+    sums = waves.groupBy("b").agg(
+        F.expr("sum(_sy * _sin) AS _ys"),
+        F.expr("sum(_n * _sin * _sin) AS _ss"),
+        F.expr("sum(_syy) AS _yy"),
     )
-    return sums.select(
-        F.try_divide("_ys", "_ss").alias("a"), "b",
-        (F.col("_yy") - F.coalesce(
-            F.try_divide(F.col("_ys") * F.col("_ys"), F.col("_ss")), F.lit(0.0)
-        )).alias("rss"),
+    return sums.selectExpr(
+        "try_divide(_ys, _ss) AS a", "b",
+        "_yy - coalesce(try_divide(_ys * _ys, _ss), 0D) AS rss",
     )
 
 

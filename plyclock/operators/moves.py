@@ -23,26 +23,18 @@ def player_games(info, attributes=("outcome", "rating")):
     chosen attributes need are read and parsed.
     """
     def side(letter, name, elo):
-        values = {
-            "outcome": lambda: outcome_code(F.lit(letter), F.col("result")),
-            "rating": lambda: F.col(elo),
-        }
-        return F.struct(
-            F.col(name).alias("player"),
-            F.lit(letter).alias("side"),
-            *[values[a]().alias(a) for a in attributes],
-        )
-
-    clock = info.withColumns({
-        "base": clock_base(F.col("time_control")),
-        "increment": clock_increment(F.col("time_control")),
-        "_sides": F.array(side("w", "white", "white_elo"), side("b", "black", "black_elo")),
-    })
-    rows = clock.select("game_id", "base", "increment", F.explode("_sides").alias("_side"))
-    return rows.select(
-        "game_id", "_side.player", "_side.side",
-        *[f"_side.{a}" for a in attributes], "base", "increment",
+        values = {"outcome": outcome_code(letter, "result"), "rating": elo}
+        chosen = "".join(f", {values[a]} AS {a}" for a in attributes)
+        return f"struct({name} AS player, '{letter}' AS side{chosen})"
+
+    sides = f"array({side('w', 'white', 'white_elo')}, {side('b', 'black', 'black_elo')})"
+    clocks = info.selectExpr(
+        "game_id",
+        f"{clock_base('time_control')} AS base",
+        f"{clock_increment('time_control')} AS increment",
+        f"{sides} AS _sides",
     )
+    return clocks.selectExpr("game_id", "inline(_sides)", "base", "increment")
 
 
 def timed_moves(moves, untimed=UNTIMED_MOVES):
@@ -72,16 +64,13 @@ def relative_moves(info, moves, attributes=("outcome", "rating"), perspective=No
     else:
         timed = timed.select(*KEYS, "move_no", "move_time")
     joined = join_moves_players(timed, player_games(info, attributes))
-    return joined.withColumn("rel_time", ieee_divide(F.col("move_time"), F.col("base")))
+    return joined.selectExpr("*", f"{ieee_divide('move_time', 'base')} AS rel_time")
 
 
 def with_score(moves, perspective="player"):
     """Keys, ply, time and the parsed score in the given perspective."""
-    score = parse_score(F.col("centipawn_score"))
-    return moves.select(
-        *KEYS, "move_no", "move_time",
-        opponent_aware_score(score, F.col("move_no"), perspective).alias("score"),
-    )
+    score = opponent_aware_score(parse_score("centipawn_score"), "move_no", perspective)
+    return moves.selectExpr(*KEYS, "move_no", "move_time", f"{score} AS score")
 
 
 def attach_times(moves, times):

@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from plyclock.functions import nan_to_null
+from plyclock.functions.numbers import INFINITY
 from plyclock.schemas import OUTCOME_LABELS
 
 
 def viable(values):
     """Rows whose value is not positive infinity.  NaN stays."""
-    return values.filter(F.col("value") != F.lit("Infinity").cast("double"))
+    return values.filter(f"value != {INFINITY}")
 
 
 def outcome_labels(values):
@@ -18,11 +19,8 @@ def outcome_labels(values):
 
 
 def _label_rows(spark):
-    rows = F.array(*[
-        F.struct(F.lit(code).alias("outcome"), F.lit(label).alias("label"))
-        for code, label in OUTCOME_LABELS
-    ])
-    return spark.range(1).select(F.inline(rows))
+    rows = ", ".join(f"('{code}', '{label}')" for code, label in OUTCOME_LABELS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(outcome, label)")
 
 
 def outcome_stats(values):
@@ -31,12 +29,13 @@ def outcome_stats(values):
     Infinite values are left out.  NaN values are counted but skipped by the
     mean and the sample standard deviation.
     """
-    x = nan_to_null(F.col("value"))
+    x = nan_to_null("value")
     groups = viable(values).groupBy("outcome").agg(
-        F.count("*").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")
+        F.expr("count(*) AS _count"), F.expr(f"avg({x}) AS mean"),
+        F.expr(f"stddev_samp({x}) AS std"),
     )
-    return _label_rows(values.sparkSession).join(groups, "outcome", "left").select(
-        "outcome", "label", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std"
+    return _label_rows(values.sparkSession).join(groups, "outcome", "left").selectExpr(
+        "outcome", "label", "coalesce(_count, 0) AS count", "mean", "std"
     )
 
 
@@ -48,23 +47,24 @@ def outcome_histogram(values, low=0.0, high=0.1, bins=50):
     The first guess is corrected against the edges, since the division may round
     across one.
     """
-    x = F.col("value")
-    width = F.lit((high - low) / bins)
-    guess = F.least(F.floor((x - low) * bins / (high - low)), F.lit(bins - 1))
-    inside = values.filter((x >= low) & (x <= high)).withColumn("_guess", guess)
-    g = F.col("_guess")
-    low_edge, high_edge = g * width + low, (g + 1) * width + low
-    bin_no = (
-        F.when(x < low_edge, g - 1)
-        .when((x >= high_edge) & (g < bins - 1), g + 1)
-        .otherwise(g)
+    low, high = float(low), float(high)
+    width, low_text, high_text = f"{(high - low) / bins!r}D", f"{low!r}D", f"{high!r}D"
+    guess = (
+        f"least(floor((value - {low_text}) * {bins} / ({high_text} - {low_text})), {bins - 1})"
     )
-    counts = inside.groupBy("outcome", bin_no.cast("int").alias("bin")).agg(
-        F.count("*").alias("count")
+    inside = values.filter(f"value BETWEEN {low_text} AND {high_text}").selectExpr(
+        "outcome", "value", f"{guess} AS _guess"
     )
-    every_bin = _label_rows(values.sparkSession).select(
-        "outcome", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    bin_no = f"""
+        CASE WHEN value < _guess * {width} + {low_text} THEN _guess - 1
+             WHEN value >= (_guess + 1) * {width} + {low_text} AND _guess < {bins - 1}
+             THEN _guess + 1 ELSE _guess END"""
+    counts = inside.groupBy("outcome", F.expr(f"int({bin_no}) AS bin")).agg(
+        F.expr("count(*) AS _count")
     )
-    return every_bin.join(counts, ["outcome", "bin"], "left").select(
-        "outcome", "bin", F.coalesce("count", F.lit(0)).alias("count")
+    every_bin = _label_rows(values.sparkSession).selectExpr(
+        "outcome", f"explode(sequence(0, {bins - 1})) AS bin"
+    )
+    return every_bin.join(counts, ["outcome", "bin"], "left").selectExpr(
+        "outcome", "bin", "coalesce(_count, 0) AS count"
     )

@@ -7,25 +7,24 @@ from plyclock.functions import nan_to_null
 
 def rank_points(extremes):
     """``rating, rank, time``: one row for each entry of each list, rank from 1."""
-    return extremes.select("rating", F.posexplode("times").alias("_pos", "time")).select(
-        "rating", (F.col("_pos") + 1).alias("rank"), "time"
-    )
+    points = extremes.selectExpr("rating", "posexplode(times) AS (_pos, time)")
+    return points.selectExpr("rating", "_pos + 1 AS rank", "time")
 
 
 def rank_means(extremes, k=5):
     """Mean of each rank per rating: ``rating, rank1 .. rankK``.  NaN is skipped."""
-    entry = [nan_to_null(F.get("times", F.lit(i))) for i in range(k)]
-    return extremes.filter(F.col("rating").isNotNull()).groupBy("rating").agg(
-        *[F.avg(e).alias(f"rank{i + 1}") for i, e in enumerate(entry)]
-    )
+    means = [
+        F.expr(f"avg({nan_to_null(f'get(times, {i})')}) AS rank{i + 1}") for i in range(k)
+    ]
+    return extremes.filter("rating IS NOT NULL").groupBy("rating").agg(*means)
 
 
 def rating_bars(means, k=5):
     """``rating, mean_time``: mean over the rank means that are present."""
-    ranks = [F.col(f"rank{i + 1}") for i in range(k)]
-    total = sum((F.coalesce(r, F.lit(0.0)) for r in ranks), F.lit(0.0))
-    present = sum((F.when(r.isNull(), 0).otherwise(1) for r in ranks), F.lit(0))
-    return means.select("rating", F.try_divide(total, present).alias("mean_time"))
+    ranks = [f"rank{i + 1}" for i in range(k)]
+    total = " + ".join(f"coalesce({r}, 0D)" for r in ranks)
+    present = " + ".join(f"int({r} IS NOT NULL)" for r in ranks)
+    return means.selectExpr("rating", f"try_divide({total}, {present}) AS mean_time")
 
 
 def extremes_text(extremes, values="times"):

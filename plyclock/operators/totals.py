@@ -16,14 +16,13 @@ def move_totals(timed):
     """Count and sum of move times per player-game.
 
     The counts of zero and negative times decide what a division by a zero base
-    gives, see ``_mean_relative``.
+    gives, see ``MEAN_RELATIVE``.
     """
-    t = F.col("move_time")
     return timed.groupBy(*KEYS).agg(
-        F.count("*").alias("_moves"),
-        F.sum(t).alias("_time"),
-        F.count_if(t == 0).alias("_zero"),
-        F.count_if(t < 0).alias("_negative"),
+        F.expr("count(*) AS _moves"),
+        F.expr("sum(move_time) AS _time"),
+        F.expr("count_if(move_time = 0) AS _zero"),
+        F.expr("count_if(move_time < 0) AS _negative"),
     )
 
 
@@ -45,27 +44,22 @@ def player_game_totals(info, moves, attributes=("outcome",)):
     """
     totals = move_totals(timed_moves(moves))
     joined = counted_players(info, *attributes).join(totals, KEYS, "inner")
-    return joined.select(
+    return joined.selectExpr(
         *KEYS, *attributes, "base", "increment",
-        (F.col("_moves") * F.col("_copies")).alias("n_moves"),
-        (F.col("_time") * F.col("_copies")).alias("total_time"),
-        _mean_relative().alias("mean_rel_time"),
+        "_moves * _copies AS n_moves",
+        "_time * _copies AS total_time",
+        f"{MEAN_RELATIVE} AS mean_rel_time",
     )
 
 
-def _mean_relative():
-    """Mean of move time over base, as if each move had been divided."""
-    n, time = F.col("_moves"), F.col("_time")
-    nan, infinity = F.lit("NaN").cast("double"), F.lit("Infinity").cast("double")
-    mixed = (F.col("_negative") > 0) & (F.col("_negative") < n)
-    over_zero = (
-        F.when(F.isnan(time) | (F.col("_zero") > 0) | mixed, nan)
-        .when(F.col("_negative") > 0, -infinity)
-        .otherwise(infinity)
-    )
-    return F.when(F.col("base") == 0, over_zero).otherwise(
-        ieee_divide(time, F.col("base")) / n
-    )
+# Mean of move time over base, as if each move had been divided: over a zero base
+# a zero time gives NaN, and so do times of both signs.
+MEAN_RELATIVE = f"""
+CASE WHEN base <> 0 THEN {ieee_divide("_time", "base")} / _moves
+     WHEN isnan(_time) OR _zero > 0 OR (_negative > 0 AND _negative < _moves) THEN double('NaN')
+     WHEN _negative > 0 THEN double('-Infinity')
+     ELSE double('Infinity') END
+"""
 
 
 def outcome_values(totals, total_clock=False):
@@ -75,17 +69,14 @@ def outcome_values(totals, total_clock=False):
     it is the share of the clock used: summed time over base plus increment for
     every timed move.
     """
-    if total_clock:
-        clock = F.col("base") + F.col("increment") * F.col("n_moves")
-        value = ieee_divide(F.col("total_time"), clock)
-    else:
-        value = F.col("mean_rel_time")
-    return totals.select("outcome", value.alias("value"))
+    share = ieee_divide("total_time", "base + increment * n_moves")
+    value = share if total_clock else "mean_rel_time"
+    return totals.selectExpr("outcome", f"{value} AS value")
 
 
 def rating_values(totals):
     """``(rating, value)``: mean relative move time per player-game."""
-    return totals.select("rating", F.col("mean_rel_time").alias("value"))
+    return totals.selectExpr("rating", "mean_rel_time AS value")
 
 
 def eligible_player_games(totals, min_moves=11):

@@ -11,7 +11,6 @@ from plyclock import sources
 from plyclock.functions import (
     clock_base,
     clock_increment,
-    finite_or_null,
     opponent_aware_score,
     outcome_code,
     parse_score,
@@ -27,8 +26,9 @@ DIGITS = 9
 FINE_DIGITS = 12
 
 
-def rounded(column, digits=DIGITS):
-    return F.round(F.col(column) if isinstance(column, str) else column, digits)
+def rounded(table, **digits):
+    """Round the named columns."""
+    return table.withColumns({name: F.round(name, n) for name, n in digits.items()})
 
 
 def shown(table, column, digits=DIGITS):
@@ -120,17 +120,16 @@ def monthly_union(g):
 
 
 def time_control(g):
-    control = F.col("time_control")
-    return g.info.select(
-        "game_id", clock_base(control).alias("base"), clock_increment(control).alias("increment")
+    return g.info.selectExpr(
+        "game_id", f"{clock_base('time_control')} AS base",
+        f"{clock_increment('time_control')} AS increment",
     )
 
 
 def outcome_codes(g):
-    return g.info.select(
-        "game_id",
-        outcome_code(F.lit("w"), F.col("result")).alias("white_outcome"),
-        outcome_code(F.lit("b"), F.col("result")).alias("black_outcome"),
+    return g.info.selectExpr(
+        "game_id", f"{outcome_code('w', 'result')} AS white_outcome",
+        f"{outcome_code('b', 'result')} AS black_outcome",
     )
 
 
@@ -139,17 +138,12 @@ def player_games(g):
 
 
 def scores(g):
-    return g.moves.select(
-        "game_id", "move_no", parse_score(F.col("centipawn_score")).alias("score")
-    )
+    return g.moves.selectExpr("game_id", "move_no", f"{parse_score('centipawn_score')} AS score")
 
 
 def score_perspective(g, perspective):
-    parsed = parse_score(F.col("centipawn_score"))
-    return g.moves.select(
-        "game_id", "move_no",
-        opponent_aware_score(parsed, F.col("move_no"), perspective).alias("score"),
-    )
+    score = opponent_aware_score(parse_score("centipawn_score"), "move_no", perspective)
+    return g.moves.selectExpr("game_id", "move_no", f"{score} AS score")
 
 
 def relative_times(g):
@@ -220,7 +214,7 @@ def viable_outcomes(g):
 
 def outcome_stats(g, total_clock):
     stats = ops.outcome_stats(g.outcome_values(total_clock))
-    return stats.withColumns({"mean": rounded("mean"), "std": rounded("std")})
+    return rounded(stats, mean=DIGITS, std=DIGITS)
 
 
 def outcome_hist(g, total_clock):
@@ -276,13 +270,11 @@ def parsed_text(g):
 def text_form(g):
     """The key part of each line, and its list part field by field."""
     text = ops.extremes_text(rating_lists(g, "fastest"))
-    listed = F.split(F.regexp_extract("value", r"\[(.*)\]\)$", 1), ", ")
-    return text.select(
-        F.substring_index("value", ",", 1).alias("key"),
-        F.size(listed).alias("n_fields"),
-        *[rounded(finite_or_null(F.get(listed, F.lit(i)).cast("double"))).alias(f"t{i + 1}")
-          for i in range(5)],
-    )
+    fields = text.selectExpr(
+        "substring_index(value, ',', 1) AS key",
+        r"split(regexp_extract(value, r'\[(.*)\]\)$', 1), ', ') AS _fields",
+    ).selectExpr("key", "size(_fields) AS n_fields", "transform(_fields, x -> double(x)) AS times")
+    return list_columns(fields, "times", keep=("key", "n_fields")).drop("n_inf", "n_nan")
 
 
 def top5_points(g, end):
@@ -303,21 +295,19 @@ def top5_rating_bar(g, end):
 # Fits
 
 def shown_fit(fit):
-    digits = {"slope": FINE_DIGITS, "intercept": DIGITS, "r": DIGITS, "std_err": FINE_DIGITS}
-    return fit.withColumns({name: rounded(name, d) for name, d in digits.items()})
+    return rounded(fit, slope=FINE_DIGITS, intercept=DIGITS, r=DIGITS, std_err=FINE_DIGITS)
 
 
 def fit_predictions(g):
-    line = ops.line_at(g.rating_fit(), g.rating_values(), "rating")
-    return line.withColumn("fitted", rounded("fitted"))
+    return rounded(ops.line_at(g.rating_fit(), g.rating_values(), "rating"), fitted=DIGITS)
 
 
 def fit_grid(fit, values, x):
-    return ops.line_grid(fit, values, x).withColumn("fitted", rounded("fitted"))
+    return rounded(ops.line_grid(fit, values, x), fitted=DIGITS)
 
 
 def sine_grid(grid):
-    return grid.select("b", rounded("a").alias("a"), rounded("rss", 6).alias("rss"))
+    return rounded(grid.select("b", "a", "rss"), a=DIGITS, rss=6)
 
 
 def fit_p_values(g):

@@ -101,7 +101,5 @@ def pgn_moves(games, game_id="game_id", text="movetext"):
         first_ply(F.col(text)).alias("_first"),
         F.posexplode(words).alias("_pos", "move"),
     )
-    move_no = F.col("_first") + F.col("_pos")
-    return numbered.select(
-        "game_id", move_no.alias("move_no"), side_of_move(move_no).alias("side"), "move"
-    )
+    plies = numbered.selectExpr("game_id", "_first + _pos AS move_no", "move")
+    return plies.selectExpr("game_id", "move_no", f"{side_of_move('move_no')} AS side", "move")

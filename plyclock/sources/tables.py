@@ -65,37 +65,36 @@ def typed_moves(raw, on_bad="fail"):
     Columns that already have the type are left alone, so filters on them still
     reach a Parquet scan.
     """
-    checks = {"move_no": lambda c: c.try_cast("int"), "move_time": lambda c: c.try_cast("double")}
-    if "centipawn_score" in raw.columns:
-        checks["centipawn_score"] = lambda c: parse_score(c, strict=False)
+    checks = {
+        "move_no": "try_cast(move_no AS INT)",
+        "move_time": "try_cast(move_time AS DOUBLE)",
+        "centipawn_score": parse_score("centipawn_score", strict=False),
+    }
     return _typed(raw, {"move_no": "int", "move_time": "double"}, checks, on_bad)
 
 
 def typed_game_info(raw, on_bad="fail"):
     """Give the two ratings their type and check the time control's shape."""
+    control = [part("time_control", strict=False) for part in (clock_base, clock_increment)]
     checks = {
-        "white_elo": lambda c: c.try_cast("int"),
-        "black_elo": lambda c: c.try_cast("int"),
-        "time_control": lambda c: clock_base(c, strict=False) + clock_increment(c, strict=False),
+        "white_elo": "try_cast(white_elo AS INT)",
+        "black_elo": "try_cast(black_elo AS INT)",
+        "time_control": " + ".join(control),
     }
     return _typed(raw, {"white_elo": "int", "black_elo": "int"}, checks, on_bad)
 
 
 def _typed(raw, types, checks, on_bad):
     current = dict(raw.dtypes)
-    types = {name: to for name, to in types.items() if name in current}
+    types = {n: to for n, to in types.items() if n in current and current[n] != to}
     if on_bad == "fail":
-        return raw.withColumns({
-            name: strict_cast(raw[name], to, name)
-            for name, to in types.items()
-            if current[name] != to
-        })
+        return raw.withColumns({n: F.expr(strict_cast(n, to, n)) for n, to in types.items()})
     if on_bad != "quarantine":
         raise ValueError(f"unknown on_bad: {on_bad}")
-    parses = [check(raw[name]).isNotNull() for name, check in checks.items() if name in current]
-    good = reduce(lambda a, b: a & b, parses, F.lit(True))
-    cast = {name: raw[name].try_cast(to) for name, to in types.items() if current[name] != to}
-    return raw.filter(good).withColumns(cast), raw.filter(~good)
+    parses = [f"({check}) IS NOT NULL" for n, check in checks.items() if n in current]
+    good = " AND ".join(parses) or "true"
+    cast = {n: F.expr(f"try_cast({n} AS {to})") for n, to in types.items()}
+    return raw.filter(good).withColumns(cast), raw.filter(f"NOT ({good})")
 
 
 def read_months(spark, paths, fmt="csv", month_pattern=r"([A-Za-z]+|\d+)[^/]*$"):
