@@ -17,6 +17,7 @@ from plyclock.operators.fits import (
     fit_sine_grid,
     line_at,
     line_grid,
+    refine_sine,
     without_mates,
 )
 from plyclock.operators.fold import score_moves
@@ -27,6 +28,6 @@ __all__ = [
     "join_moves_players", "line_at", "line_grid", "outcome_histogram",
     "outcome_labels", "outcome_stats", "outcome_values", "player_game_totals",
     "player_games", "rank_means", "rank_points", "rating_bars",
-    "rating_extremes", "rating_values", "reconcile_times", "relative_moves",
+    "rating_extremes", "rating_values", "reconcile_times", "refine_sine", "relative_moves",
     "score_extremes", "score_moves", "timed_moves", "viable", "without_mates",
 ]

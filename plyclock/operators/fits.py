@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plyclock.functions import is_finite, two_sided_p
 from plyclock.operators.moves import KEYS, timed_moves, with_score
 from plyclock.operators.totals import counted_players
+from plyclock.session import scratch_table
 
 # Scores at or beyond this are mates, not evaluations.
 MATE_LIMIT = 10000.0
@@ -110,6 +111,15 @@ def line_grid(fit, values, x="x"):
     )
 
 
+def _sums_per_x(pairs, x, y):
+    return (
+        pairs.filter(_both_finite(x, y))
+        .selectExpr(f"double({x}) AS _x", f"double({y}) AS _y")
+        .groupBy("_x")
+        .agg(F.expr("count(*) AS _n"), F.expr("sum(_y) AS _sy"), F.expr("sum(_y * _y) AS _syy"))
+    )
+
+
 def fit_sine_grid(pairs, x, y, frequencies):
     """Best ``a`` and residual sum of squares of ``a * sin(b * x)`` per ``b``.
 
@@ -118,12 +128,7 @@ def fit_sine_grid(pairs, x, y, frequencies):
     the sines are taken over the distinct scores, not over the moves.  A zero
     frequency is left out; it fits nothing.
     """
-    per_x = (
-        pairs.filter(_both_finite(x, y))
-        .selectExpr(f"double({x}) AS _x", f"double({y}) AS _y")
-        .groupBy("_x")
-        .agg(F.expr("count(*) AS _n"), F.expr("sum(_y) AS _sy"), F.expr("sum(_y * _y) AS _syy"))
-    )
+    per_x = _sums_per_x(pairs, x, y)
     grid = ", ".join(f"{float(f)!r}D" for f in frequencies if f != 0)
     waves = per_x.selectExpr("*", f"explode(array({grid})) AS b").selectExpr(
         "*", "sin(b * _x) AS _sin"
@@ -142,3 +147,59 @@ def fit_sine_grid(pairs, x, y, frequencies):
 def best_sine(grid_fit):
     """The row with the least residual; ties go to the smallest ``|b|``."""
     return grid_fit.orderBy("rss", F.abs("b"), F.col("b").desc()).limit(1)
+
+
+def refine_sine(pairs, x, y, a=1.0, b=1.0, steps=100, tolerance=1e-10):
+    """Least-squares ``a`` and ``b`` of ``a * sin(b * x)`` near a start, one row.
+
+    Columns ``a, b, rss, n`` and the covariances ``var_a, cov_ab, var_b``.  Damped
+    Gauss-Newton: the pairs are summed per distinct ``x`` once, into a scratch
+    table, and every step is one aggregate of six sums over that table.  The
+    minimum found is the one near the start; ``best_sine`` gives a good one.
+
+    Runs jobs when called.
+    """
+    spark = pairs.sparkSession
+    per_x = scratch_table(spark, _sums_per_x(pairs, x, y))
+
+    def sums(a, b):
+        wave, slope = f"sin({b!r}D * _x)", f"({a!r}D * _x * cos({b!r}D * _x))"
+        rest = f"(_sy - _n * {a!r}D * {wave})"
+        return per_x.agg(
+            F.expr(f"sum(_n * {wave} * {wave}) AS aa"),
+            F.expr(f"sum(_n * {wave} * {slope}) AS ab"),
+            F.expr(f"sum(_n * {slope} * {slope}) AS bb"),
+            F.expr(f"sum({rest} * {wave}) AS ra"),
+            F.expr(f"sum({rest} * {slope}) AS rb"),
+            F.expr(f"sum(_syy - 2 * {a!r}D * {wave} * _sy "
+                   f"+ _n * pow({a!r}D * {wave}, 2)) AS rss"),
+            F.expr("sum(_n) AS n"),
+        ).first()
+
+    here, damping = sums(float(a), float(b)), 1e-3
+    if not here.n:
+        raise ValueError("no finite pairs to fit")
+    for _ in range(steps):
+        aa, bb = here.aa * (1 + damping), here.bb * (1 + damping)
+        det = aa * bb - here.ab * here.ab
+        if not det > 0:
+            break
+        step_a = (bb * here.ra - here.ab * here.rb) / det
+        step_b = (aa * here.rb - here.ab * here.ra) / det
+        there = sums(a + step_a, b + step_b)
+        if there.rss <= here.rss:
+            a, b, damping, gain = a + step_a, b + step_b, damping / 10, here.rss - there.rss
+            here = there
+            if gain <= tolerance * here.rss:
+                break
+        elif damping > 1e12:
+            break
+        else:
+            damping *= 10
+    det = here.aa * here.bb - here.ab * here.ab
+    spread = here.rss / (here.n - 2) / det if here.n > 2 and det > 0 else float("inf")
+    return spark.createDataFrame(
+        [(float(a), float(b), here.rss, here.n, here.bb * spread, -here.ab * spread,
+          here.aa * spread)],
+        "a double, b double, rss double, n bigint, var_a double, cov_ab double, var_b double",
+    )

@@ -310,6 +310,11 @@ def sine_grid(grid):
     return rounded(grid.select("b", "a", "rss"), a=DIGITS, rss=6)
 
 
+def sine_refined(g):
+    pairs = ops.without_mates(g.score_pairs())
+    return ops.refine_sine(pairs, "score", "rel_time", 1.0, 1.0)
+
+
 def fit_p_values(g):
     fits = {"rating": g.rating_fit(True), "score": g.score_fit(True)}
     return sources.append_tables(
@@ -369,6 +374,7 @@ QUERIES = {
     "fit_score_grid": lambda g: fit_grid(g.score_fit(), SCORE_GRID, "score"),
     "fit_score_sine_grid": lambda g: sine_grid(g.sine_grid()),
     "fit_score_sine_best": lambda g: sine_grid(ops.best_sine(g.sine_grid())),
+    "fit_score_sine_refined": sine_refined,
     "fit_p_values": fit_p_values,
 }
 

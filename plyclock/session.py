@@ -1,6 +1,8 @@
-"""Session settings and the shared scratch folder."""
+"""Session settings and tables in the shared scratch folder."""
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,14 +25,19 @@ def local_session(cores="*", shuffle_partitions=8, app="plyclock"):
     )
 
 
-def scratch_dir(spark):
-    """The folder the cluster names for intermediate tables.
+@functools.cache
+def _own_scratch_dir():
+    return tempfile.mkdtemp(prefix="plyclock-")
 
-    Falls back to a local temporary folder only when the session names none,
-    which is the case in tests.
+
+def scratch_table(spark, table):
+    """Write a table to the shared scratch folder and read it back.
+
+    This cuts the lineage in a way that survives lost executors.  The folder is
+    the one the cluster names in ``spark.checkpoint.dir``; a local one is made
+    only when the session names none, which is the case in tests.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="plyclock-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_scratch_dir()
+    path = f"{folder}/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)

@@ -71,6 +71,35 @@ def test_sine_is_found(spark):
     assert best.rss == pytest.approx(0, abs=1e-9)
 
 
+@pytest.mark.parametrize("start", [(1.0, 1.0), (0.5, 1.02)])
+def test_sine_is_refined_from_a_start(spark, start):
+    rng = random.Random(3)
+    xs = [rng.uniform(-20, 20) for _ in range(400)]
+    ys = [0.7 * math.sin(1.01 * x) + rng.gauss(0, 0.05) for x in xs]
+    fit = ops.refine_sine(pairs_frame(spark, zip(xs, ys)), "x", "y", *start).first()
+    assert (fit.a, fit.b, fit.n) == (pytest.approx(0.7, abs=0.02), pytest.approx(1.01, abs=2e-3), 400)
+    x, y = np.array(xs), np.array(ys)
+    rest = y - fit.a * np.sin(fit.b * x)
+    jacobian = np.stack([np.sin(fit.b * x), fit.a * x * np.cos(fit.b * x)], axis=1)
+    assert fit.rss == pytest.approx(float(rest @ rest), rel=1e-9)
+    assert np.abs(jacobian.T @ rest).max() < 1e-2
+    covariance = np.linalg.inv(jacobian.T @ jacobian) * fit.rss / 398
+    assert [fit.var_a, fit.cov_ab, fit.var_b] == pytest.approx(
+        [covariance[0, 0], covariance[0, 1], covariance[1, 1]], rel=1e-6)
+
+
+def test_scratch_folder_of_the_session_is_used(spark, tmp_path):
+    from plyclock.session import scratch_table
+
+    class Named:
+        """A session whose cluster names a scratch folder."""
+        conf = {"spark.checkpoint.dir": str(tmp_path)}
+        read = spark.read
+
+    assert scratch_table(Named, spark.range(5)).count() == 5
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def values_frame(spark, rows):
     return spark.createDataFrame(rows, "outcome string, value double")
 

@@ -15,7 +15,7 @@ def con(sf_dir):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"fit_p_values"}
+    assert set(QUERIES) - set(SQL) == {"fit_p_values", "fit_score_sine_refined"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
