@@ -12,18 +12,21 @@ import numpy as np
 from pyspark.sql import types as T
 
 
-def score_moves(moves, new_game, inputs=("move",), score="centipawn_score"):
-    """Add one score per move, as text, in the column ``score``.
+def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep=()):
+    """One score per move, as text: ``game_id, move_no, *keep, score``.
+
+    ``keep`` names columns to carry along, which saves joining the scores back.
 
     ``new_game()`` returns a scorer for one game, a callable.  It is given
     successive runs of that game's moves as a frame of the ``inputs`` columns, in
     playing order, and returns one score per row: the evaluation after the move,
-    in White's view.
+    in White's view.  A scorer from a module of yours needs that module on the
+    executors, by ``addPyFile`` for example.
     """
-    columns = list(dict.fromkeys(["game_id", "move_no", *inputs]))
+    kept = list(dict.fromkeys(["game_id", "move_no", *keep]))
+    columns = list(dict.fromkeys([*kept, *inputs]))
     schema = T.StructType(
-        [f for f in moves.select("game_id", "move_no").schema]
-        + [T.StructField(score, T.StringType())]
+        [*moves.select(*kept).schema, T.StructField(score, T.StringType())]
     )
 
     def run(batches):
@@ -37,7 +40,7 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score"):
                 if scorer is None or ids[start] != game:
                     game, scorer = ids[start], new_game()
                 scores.extend(str(s) for s in scorer(rows.iloc[start:end]))
-            yield batch[["game_id", "move_no"]].assign(**{score: scores})
+            yield batch[kept].assign(**{score: scores})
 
     ordered = (
         moves.select(*columns)

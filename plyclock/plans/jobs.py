@@ -71,6 +71,17 @@ def run_job(spark, kind, moves, info, out, text=False, perspective="player",
     return paths
 
 
+def prepare_moves(moves, times, new_game, inputs=("move",)):
+    """Moves with their clock times and scores, ready for ``sinks.write_moves``.
+
+    ``times`` is what ``sources.clock_times`` extracts and ``new_game`` makes the
+    scorer of a game, see ``operators.score_moves``.
+    """
+    timed = ops.attach_times(moves.drop("move_time"), times).drop("centipawn_score")
+    keep = [c for c in timed.columns if c not in ("game_id", "move_no")]
+    return ops.score_moves(timed, new_game, inputs, "centipawn_score", keep)
+
+
 def main(argv=None):
     parser = argparse.ArgumentParser(description="Move-time analysis of chess games")
     parser.add_argument("kind", choices=KINDS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from frames import info_frame, moves_frame, one_game, same
 from plyclock import operators as ops
 from plyclock import schemas, sinks, sources
-from plyclock.plans.jobs import KINDS, run_job
+from plyclock.plans.jobs import KINDS, prepare_moves, run_job
 from plyclock.plans.queries import RunningTime
 
 
@@ -135,7 +135,7 @@ def test_moves_table(spark, tmp_path):
 
 def game_text(i, newline="\n"):
     return newline.join([
-        f'[Event "rated {i}"]', f'[FICSGamesDBGameNo "{i}"]', '[Date "2020.01.15"]',
+        f'[Event "rated {i}"]', f'[GameNo "{i}"]', '[Date "2020.01.15"]',
         '[White "anna"]', '[Black "ben"]', '[TimeControl "180+2"]', "",
         f"1. e4 {{[%emt 0.0]}} e5 {{[%emt 0.0]}} 2. Nf3 {{[%emt {i}.5]}} ({{2.75}} 2. f4) 1-0",
     ])
@@ -146,7 +146,7 @@ def test_pgn_archive(spark, tmp_path, newline):
     path = tmp_path / "games.pgn"
     path.write_bytes((newline * 2).join(game_text(i, newline) for i in (1, 2, 3)).encode()
                      + newline.encode())
-    games = sources.read_pgn(spark, str(path), newline, id_tag="FICSGamesDBGameNo")
+    games = sources.read_pgn(spark, str(path), newline, id_tag="GameNo")
     rows = {r.game_id: r for r in games.collect()}
     assert set(rows) == {"1", "2", "3"}
     assert rows["2"].white == "anna" and rows["2"].time_control == "180+2"
@@ -160,6 +160,36 @@ def test_pgn_archive(spark, tmp_path, newline):
     assert unnamed.select("game_id").distinct().count() == 3
 
 
+def test_archive_to_analysis(spark, tmp_path):
+    class CountMoves:
+        """Scorer that numbers the moves of a game."""
+
+        def __init__(self):
+            self.seen = 0
+
+        def __call__(self, rows):
+            first, self.seen = self.seen + 1, self.seen + len(rows)
+            return [f"+{i}" for i in range(first, self.seen + 1)]
+
+    path = tmp_path / "games.pgn"
+    path.write_text("\n\n".join(game_text(i) for i in (1, 2)) + "\n")
+    games = sources.read_pgn(spark, str(path), id_tag="GameNo")
+    moves = sources.pgn_moves(games).join(games.select("game_id", "white", "black"), "game_id")
+    moves = moves.selectExpr(
+        "game_id", "if(side = 'w', white, black) AS player", "move_no", "move")
+    sinks.write_moves(
+        prepare_moves(moves, sources.clock_times(games), CountMoves), str(tmp_path / "m"))
+    back = sources.read_moves(spark, str(tmp_path / "m"), "parquet")
+    assert back.columns == ["game_id", "player", "move_no", "move", "move_time", "centipawn_score"]
+    rows = [tuple(r) for r in back.filter("game_id = '2'").orderBy("move_no").collect()]
+    assert rows == [("2", "anna", 1, "e4", 0.0, "+1"), ("2", "ben", 2, "e5", 0.0, "+2"),
+                    ("2", "anna", 3, "Nf3", 2.5, "+3")]
+    info = games.selectExpr("game_id", "white", "black", "'1-0' AS result", "1500 AS white_elo",
+                            "1500 AS black_elo", "time_control")
+    rel = {r.game_id: r.rel_time for r in ops.relative_moves(info, back).collect()}
+    assert rel == {"1": 1.5 / 180, "2": 2.5 / 180}
+
+
 def test_attach_and_reconcile(spark):
     moves = spark.createDataFrame([("g1", 1), ("g1", 2), ("g2", 1)], "game_id string, move_no int")
     times = spark.createDataFrame(
