@@ -1,11 +1,8 @@
 """The corpus operators over the given tables, one query each, and their SQL."""
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plyclock.llm import packing, planes, tokens
+from plyclock.llm import neardup, packing, planes, tokens
 from plyclock.llm.common import documents
 
 
@@ -28,7 +25,12 @@ def op6_vector_best_fit(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op10_minhash_hamming(spark, sf_dir):
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op10_minhash_hamming": op10_minhash_hamming,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_bit_planes": op5_bit_planes,
     "op6_vector_best_fit": op6_vector_best_fit,
