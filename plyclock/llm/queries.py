@@ -2,8 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from plyclock.llm import neardup, packing, planes, tokens
-from plyclock.llm.common import documents
+from plyclock.llm import langid, neardup, packing, planes, rules, tokens
+from plyclock.llm.common import crc_mod3, documents
+
+
+def op2_rule_ensemble(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod3() != 1)
+    model = rules.fit_rules(docs, labels)
+    return rules.score_documents(docs, model).select(
+        "doc_id", (crc_mod3() == 1).alias("held_out"), "score", "predicted")
 
 
 def op4_tree_bpe(spark, sf_dir):
@@ -25,12 +33,21 @@ def op6_vector_best_fit(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op9_piece_unigrams(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.fit_languages(docs.filter(crc_mod3() != 1))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (crc_mod3() == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_minhash_hamming(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op9_piece_unigrams": op9_piece_unigrams,
     "op10_minhash_hamming": op10_minhash_hamming,
+    "op2_rule_ensemble": op2_rule_ensemble,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_bit_planes": op5_bit_planes,
     "op6_vector_best_fit": op6_vector_best_fit,
