@@ -3,10 +3,15 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plyclock.llm import chat, langid, neardup, packing, planes, privacy, rules, tokens
+from plyclock.llm import ann, chat, langid, neardup, packing, planes, privacy, rules, sketch, tokens
 from plyclock.llm.common import crc_mod3, documents
 
 
+def op1_multi_index(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op2_rule_ensemble(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod3() != 1)
@@ -15,6 +20,16 @@ def op2_rule_ensemble(spark, sf_dir):
         "doc_id", (crc_mod3() == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_scaled_sketch(spark, sf_dir):
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return sketch.with_edited(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.written(own).alias("fingerprint"), sketch.written(edited).alias("edited_fingerprint"),
+        sketch.likeness(own, edited).alias("near_edited"),
+        sketch.likeness(own, following).alias("near_next"),
+        sketch.containment(own, edited).alias("contained_edited"))
+
+
 def op4_tree_bpe(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     coded = tokens.encode_documents(docs, keep=["doc_id"])
@@ -96,11 +111,13 @@ def op10_minhash_hamming(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
     "op7_disclosure": op7_disclosure,
     "op8_prefix_rendering": op8_prefix_rendering,
     "op9_piece_unigrams": op9_piece_unigrams,
     "op10_minhash_hamming": op10_minhash_hamming,
     "op2_rule_ensemble": op2_rule_ensemble,
+    "op3_scaled_sketch": op3_scaled_sketch,
     "op4_tree_bpe": op4_tree_bpe,
     "op5_bit_planes": op5_bit_planes,
     "op6_vector_best_fit": op6_vector_best_fit,
