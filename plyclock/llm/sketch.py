@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 WORDS = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
 LIMIT = -(1 << 63) + (1 << 64) // SCALE
 
 
@@ -25,9 +25,10 @@ def shingle_hashes(text, words=WORDS):
     parts = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def rolled(parts):
+        # Past the end there is null, which a hash passes over.
         return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))),
-            lambda i: F.xxhash64(F.slice(parts, i, words)))
+            F.sequence(F.lit(0), F.greatest(F.size(parts) - words, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(parts, i + k) for k in range(words)]))
 
     # The outer transform names the words, so that they are split once.
     named = F.transform(F.array(parts), lambda p: F.when(F.size(p) > 0, rolled(p)))
@@ -71,11 +72,13 @@ def written(sketch):
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), ",")
 
 
-def with_next(docs, columns, parts=None):
+def with_next(docs, made, parts=None):
     """Add ``next_<column>`` of the following document by falling doc_id; the last one's is the first.
 
-    Ties go by text, then by the other columns.  Rows are ordered within ranges of doc_ids, and the few rows that
-    begin a range are carried over to the range before, so no task sees all rows.
+    ``docs`` has doc_id and text, and ``made`` names further columns made from the text,
+    as expressions; these are made once per row.  Ties go by text.  Rows are ordered within ranges of
+    doc_ids, and the few rows that begin a range are carried over to the range before,
+    so no task sees all rows.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -89,32 +92,37 @@ def with_next(docs, columns, parts=None):
     first = {r["_range"]: r["top"] for r in ranged.groupBy("_range").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(first, reverse=True)
     follow = [(r, first[order[(i + 1) % len(order)]]) for i, r in enumerate(order)]
-    window = Window.partitionBy("_range").orderBy(F.col("doc_id").desc(), *columns)
     heads = docs.join(
         F.broadcast(spark.createDataFrame(follow, "_of int, _top long")),
         F.col("doc_id").eqNullSafe(F.col("_top")),
-    ).groupBy("_of").agg(F.min(F.struct(*columns)).alias("_head"))
-    ahead = ranged.withColumn("_lead", F.lead(F.struct(*columns)).over(window))
-    joined = ahead.join(F.broadcast(heads), F.col("_range") == F.col("_of"), "left")
-    following = F.coalesce("_lead", "_head")
-    return joined.select(*docs.columns, *[following[c].alias(f"next_{c}") for c in columns])
+    ).groupBy("_of").agg(F.min("text").alias("text")).withColumns(made)
+    columns = ["text", *made]
+    window = Window.partitionBy("_range").orderBy(F.col("doc_id").desc(), "text")
+    ahead = ranged.withColumns(made).withColumns(
+        {f"_lead_{c}": F.lead(c).over(window) for c in columns}
+        | {"_more": F.lead(F.lit(True)).over(window)})
+    joined = ahead.join(
+        heads.select("_of", *[F.col(c).alias(f"_head_{c}") for c in columns]),
+        F.col("_range") == F.col("_of"), "left")
+    return joined.select("doc_id", *columns, *[
+        F.when(F.col("_more"), F.col(f"_lead_{c}")).otherwise(F.col(f"_head_{c}")).alias(f"next_{c}")
+        for c in columns])
 
 
 def with_edited(docs):
     """Fingerprints of texts and of their edited forms.
 
-    ``doc_id, n_chars, edited, sketch, edited_sketch, next_sketch``.  The last third of a
-    text, rounded down, is replaced by as much of the beginning of the next document as there is.
-    Null counts as empty.  Repeated rows follow each other; a lone document follows
-    itself; an empty table gives no rows; other columns are not looked at.
+    ``doc_id, n_chars, edited, sketch, next_sketch, edited_sketch``.  The last third of
+    a text, rounded down, is replaced by as much of the beginning of the next document as
+    there is.  Null counts as empty.  Repeated rows follow each other; a lone document
+    follows itself; an empty table gives no rows; other columns are not looked at.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    own = with_next(plain, ["text"])
+    own = with_next(plain, {"sketch": sketch(F.col("text"))})
     n = F.char_length("text")
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - m),
                       F.substring(F.col("next_text"), F.lit(1), m))
-    return own.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"),
-                      sketch(F.col("text")).alias("sketch"), sketch(F.col("next_text")).alias("next_sketch"),
-                      ).withColumn("edited_sketch", sketch(F.col("edited")))
+    return own.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch",
+                      "next_sketch").withColumn("edited_sketch", sketch(F.col("edited")))
