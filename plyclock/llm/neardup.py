@@ -14,10 +14,10 @@ pairs within the distance meet under some key.
 class first meets the smallest class of that key, and only its nearest such meeting
 is confirmed on the full sets.  What that links is joined to components.  Keys whose
 classes are by then all in one component have nothing more to tell.  Under the
-others, classes of different components are compared, in blocks, and every pair
-within the distance is confirmed on the full sets, the nearest of each pair of
-components first.  No link between two components can be missed, and a group of n
-near copies costs in the order of n confirmations.
+others, classes of different components are compared in blocks of bounded size, and
+every pair within the distance is confirmed on the full sets there and then.  No link
+between two components can be missed, and no pair leaves its block but those that
+join components.
 """
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ CHUNKS, WIDTH = 18, 4
 DISTANCE = 35
 SIMILARITY = (75, 100)
 #: Members of a key that one task compares at a time.
-BLOCK = 512
+BLOCK = 2048
 
 
 def shingle_sets(texts):
@@ -239,47 +239,80 @@ def labelled(table, labels, column="id", name="component"):
         name, F.coalesce("_component", column)).drop("_id", "_component")
 
 
-def crossing(open_keys, classes):
-    """Pairs within the distance, of different components, under one key: ``a, b, d``.
+def crossing(open_keys, classes, sets):
+    """Links between different components under one key: ``a, b``.
 
-    Members of a key are dealt to blocks by a hash, and each pair of blocks is one
-    group, so a key with very many members is spread over the tasks.
+    ``open_keys`` has key, id and component.  Members of a key are dealt to blocks by a
+    hash, and each pair of blocks is one group, so a key with very many members is
+    spread over the tasks.  Within a group all that are within the distance are
+    compared on their full sets, each pair under the first key it shares; of the links
+    found, those that join components are returned.
     """
     sizes = open_keys.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = open_keys.join(sizes, "key").join(
-        classes.select("id", "n", "sig"), "id").withColumn(
+        classes.select("id", "sig").join(sets, "id"), "id").withColumn(
         "block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     # Block i meets every block j, as (min, max): each pair of blocks in one group.
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", "id", "n", "sig", "component", "block",
+        .select("key", "id", "sig", "items", "component", "block",
                 F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     part, whole = SIMILARITY
 
     def run(table):
         import numpy as np
 
-        ids, n, comp, block = (np.asarray(table.column(c)) for c in ("id", "n", "component", "block"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        ids, comp, block = (np.asarray(table.column(c)) for c in ("id", "component", "block"))
+        key, low, high = (table.column(c)[0].as_py() for c in ("key", "low", "high"))
+        chunk = (key & 0xFFFFFFFFFFFFFFFF) >> (16 * (WIDTH - 1))
+        chunk, left_out = divmod(chunk, WIDTH)
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16) \
             .reshape(len(ids), -1)
-        one = np.flatnonzero(block == low)
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        n = np.array([len(x) for x in items])
+        # Shingles as numbers; one that a single member has is shared with nobody.
+        _, number, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        common = times[number] > 1
+        owner = np.repeat(np.arange(len(ids)), n)[common]
+        number = number[common]
+        edges = np.searchsorted(owner, np.arange(len(ids) + 1))
+        has = np.zeros(len(times), bool)
         two = np.flatnonzero(block == high)
-        out = []
-        for i in one:
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for i in np.flatnonzero(block == low):
             js = two[two > i] if low == high else two
             js = js[(comp[js] != comp[i])
                     & (whole * np.minimum(n[js], n[i]) >= part * np.maximum(n[js], n[i]))]
-            if len(js):
-                d = (sigs[js] != sigs[i]).sum(axis=1)
-                near = d <= DISTANCE
-                out.append((np.full(near.sum(), ids[i]), ids[js[near]], d[near]))
-        if out:
-            a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-        else:
-            a, b, d = (np.empty(0, np.int64) for _ in range(3))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d.astype(np.int32)})
-
-    return paired.groupBy("key", "low", "high").applyInArrow(run, "a long, b long, d int").distinct()
+            if not len(js):
+                continue
+            same = (sigs[js] == sigs[i]).reshape(len(js), CHUNKS, WIDTH)
+            per_chunk = same.sum(axis=2)
+            first = (per_chunk[:, :chunk] < WIDTH - 1).all(axis=1)
+            if left_out:  # with all positions equal, the key that leaves out the first counts
+                first &= ~same[:, chunk, left_out]
+            js = js[first & (CHUNKS * WIDTH - per_chunk.sum(axis=1) <= DISTANCE)]
+            if not len(js):
+                continue
+            mine = number[edges[i]:edges[i + 1]]
+            has[mine] = True
+            sums = np.concatenate([[0], np.cumsum(has[number])])
+            has[mine] = False
+            shared = sums[edges[js + 1]] - sums[edges[js]]
+            for j in js[whole * shared >= part * (n[js] + n[i] - shared)]:
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return paired.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs):
@@ -306,34 +339,20 @@ def near_duplicates(docs):
     stars = met.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     nearest = stored(with_distance(stars, classes).groupBy("a").agg(
         F.min_by("b", F.struct("d", "b")).alias("b")))
-    sets = None
-    links = None
-    if nearest.limit(1).count():
+    labels = None
+    if met.limit(1).count():
         wanted = nearest.select(F.col("a").alias("id")).union(nearest.select("b")).distinct()
-        sets = stored(sets_of(docs, wanted))
-        links = stored(confirmed(nearest, sets))
+        links = stored(confirmed(nearest, sets_of(docs, wanted)))
         labels = components(links)
         seen = labelled(met.select("key", "id"), labels)
         mixed_keys = seen.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        pairs = stored(crossing(stored(seen.join(mixed_keys, "key")), classes).join(
-            nearest.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct() \
-                .join(sets.select("id"), "id", "left_anti")
-            sets = sets.unionByName(stored(sets_of(docs, wanted)))
-            # The nearest pair of each two components, then what still lies between two.
-            between = labelled(labelled(pairs, labels, "a", "x"), labels, "b", "y")
-            first = stored(between.groupBy(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(
-                F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("pair")).select("pair.a", "pair.b"))
-            links = stored(links.unionByName(confirmed(first, sets)))
-            labels = components(links)
-            rest = labelled(labelled(pairs, labels, "a", "x"), labels, "b", "y").filter("x <> y") \
-                .join(first, ["a", "b"], "left_anti")
-            more = stored(confirmed(rest, sets))
-            if more.limit(1).count():
-                labels = components(stored(links.unionByName(more)))
-    owners = members.sparkSession.createDataFrame([], "id long, component long") if links is None else labels
+        open_keys = stored(seen.join(mixed_keys, "key"))
+        sets = stored(sets_of(docs, open_keys.select("id").distinct()))
+        more = stored(crossing(open_keys, classes, sets))
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
+    owners = members.sparkSession.createDataFrame([], "id long, component long") if labels is None else labels
     of_class = labelled(classes.select("digest", "id"), owners).select("digest", "component")
     result = found.join(of_class, "digest", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
