@@ -239,34 +239,76 @@ def labelled(table, labels, column="id", name="component"):
         name, F.coalesce("_component", column)).drop("_id", "_component")
 
 
-def crossing(open_keys, classes, sets):
-    """Links between different components under one key: ``a, b``.
+def in_blocks(open_keys):
+    """Deal the members of a key to blocks, and each to its meetings with all blocks.
 
-    ``open_keys`` has key, id and component.  Members of a key are dealt to blocks by a
-    hash, and each pair of blocks is one group, so a key with very many members is
-    spread over the tasks.  Within a group all that are within the distance are
-    compared on their full sets, each pair under the first key it shares; of the links
-    found, those that join components are returned.
+    ``key, id, component, block, low, high``: a group (key, low, high) is the meeting
+    of two blocks, or of one with itself, so a key with very many members is spread
+    over the tasks.
     """
     sizes = open_keys.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = open_keys.join(sizes, "key").join(
-        classes.select("id", "sig").join(sets, "id"), "id").withColumn(
+    dealt = open_keys.join(sizes, "key").withColumn(
         "block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    # Block i meets every block j, as (min, max): each pair of blocks in one group.
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", "id", "sig", "items", "component", "block",
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("key", "id", "component", "block",
                 F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def reachable(table):
+    """For each row of a group, those it must be compared with: of another component and within
+    the distance and the sizes, and no earlier key is shared."""
+    import numpy as np
+
+    part, whole = SIMILARITY
+    comp, block, n = (np.asarray(table.column(c)) for c in ("component", "block", "n"))
+    key, low, high = (table.column(c)[0].as_py() for c in ("key", "low", "high"))
+    chunk, left_out = divmod(key >> (16 * (WIDTH - 1)), WIDTH)
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(n), -1)
+    two = np.flatnonzero(block == high)
+    for i in np.flatnonzero(block == low).tolist():
+        js = two[two > i] if low == high else two
+        js = js[(comp[js] != comp[i])
+                & (whole * np.minimum(n[js], n[i]) >= part * np.maximum(n[js], n[i]))]
+        if not len(js):
+            continue
+        same = (sigs[js] == sigs[i]).reshape(len(js), CHUNKS, WIDTH)
+        per_chunk = same.sum(axis=2)
+        first = (per_chunk[:, :chunk] < WIDTH - 1).all(axis=1)
+        if left_out:  # with all positions equal, the key that leaves out the first counts
+            first &= ~same[:, chunk, left_out]
+        js = js[first & (CHUNKS * WIDTH - per_chunk.sum(axis=1) <= DISTANCE)]
+        if len(js):
+            yield i, js
+
+
+def to_compare(blocks, classes):
+    """The rows of ``in_blocks`` that have anything to be compared with in their group."""
+    names = ["key", "id", "component", "block", "low", "high"]
+
+    def run(table):
+        import numpy as np
+
+        used = np.zeros(table.num_rows, bool)
+        for i, js in reachable(table):
+            used[i] = used[js] = True
+        return table.select(names).filter(pa.array(used))
+
+    return blocks.join(classes.select("id", "n", "sig"), "id").groupBy("key", "low", "high").applyInArrow(
+        run, "key long, id long, component long, block int, low int, high int")
+
+
+def crossing(compared, classes, sets):
+    """Links between different components under one key: ``a, b``.
+
+    All that are in reach of each other are compared on their full sets within their
+    group; of the links found, those that join components are returned.
+    """
     part, whole = SIMILARITY
 
     def run(table):
         import numpy as np
 
-        ids, comp, block = (np.asarray(table.column(c)) for c in ("id", "component", "block"))
-        key, low, high = (table.column(c)[0].as_py() for c in ("key", "low", "high"))
-        chunk = (key & 0xFFFFFFFFFFFFFFFF) >> (16 * (WIDTH - 1))
-        chunk, left_out = divmod(chunk, WIDTH)
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16) \
-            .reshape(len(ids), -1)
+        ids, comp = (np.asarray(table.column(c)) for c in ("id", "component"))
         items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         n = np.array([len(x) for x in items])
         # Shingles as numbers; one that a single member has is shared with nobody.
@@ -276,7 +318,6 @@ def crossing(open_keys, classes, sets):
         number = number[common]
         edges = np.searchsorted(owner, np.arange(len(ids) + 1))
         has = np.zeros(len(times), bool)
-        two = np.flatnonzero(block == high)
         root = {c: c for c in set(comp.tolist())}
 
         def find(c):
@@ -285,20 +326,7 @@ def crossing(open_keys, classes, sets):
             return c
 
         links = []
-        for i in np.flatnonzero(block == low):
-            js = two[two > i] if low == high else two
-            js = js[(comp[js] != comp[i])
-                    & (whole * np.minimum(n[js], n[i]) >= part * np.maximum(n[js], n[i]))]
-            if not len(js):
-                continue
-            same = (sigs[js] == sigs[i]).reshape(len(js), CHUNKS, WIDTH)
-            per_chunk = same.sum(axis=2)
-            first = (per_chunk[:, :chunk] < WIDTH - 1).all(axis=1)
-            if left_out:  # with all positions equal, the key that leaves out the first counts
-                first &= ~same[:, chunk, left_out]
-            js = js[first & (CHUNKS * WIDTH - per_chunk.sum(axis=1) <= DISTANCE)]
-            if not len(js):
-                continue
+        for i, js in reachable(table):
             mine = number[edges[i]:edges[i + 1]]
             has[mine] = True
             sums = np.concatenate([[0], np.cumsum(has[number])])
@@ -312,7 +340,8 @@ def crossing(open_keys, classes, sets):
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return paired.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+    full = classes.select("id", "n", "sig").join(sets, "id")
+    return compared.join(full, "id").groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs):
@@ -348,8 +377,9 @@ def near_duplicates(docs):
         mixed_keys = seen.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         open_keys = stored(seen.join(mixed_keys, "key"))
-        sets = stored(sets_of(docs, open_keys.select("id").distinct()))
-        more = stored(crossing(open_keys, classes, sets))
+        compared = stored(to_compare(in_blocks(open_keys), classes))
+        sets = sets_of(docs, compared.select("id").distinct())
+        more = stored(crossing(compared, classes, sets))
         if more.limit(1).count():
             labels = components(links.unionByName(more))
     owners = members.sparkSession.createDataFrame([], "id long, component long") if labels is None else labels
