@@ -59,22 +59,32 @@ class RuleModel:
 
     intercept: float
     rules: tuple
-    prefix: str = "_stat_"
 
-    def condition(self, rule):
-        parts = [F.col(self.prefix + name) <= at if sign == "<=" else F.col(self.prefix + name) > at
+    @staticmethod
+    def condition(rule, value=lambda name: F.col("_stat_" + name)):
+        """The rule over the statistics that ``value`` gives by name."""
+        parts = [value(name) <= at if sign == "<=" else value(name) > at
                  for name, sign, at in rule]
         whole = parts[0]
         for part in parts[1:]:
             whole = whole & part
         return whole
 
-    def score(self):
-        """The probability of label 1 as a column over the statistics."""
-        total = F.lit(self.intercept)
-        for weight, rule in self.rules:
-            total = total + F.when(self.condition(rule), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+    def score(self, text="text"):
+        """The probability of label 1 as a column over the text.
+
+        The statistics are the element of an array that a lambda names: however many
+        rules use one, and wherever a filter on the score is pushed, it is made once.
+        """
+        def of(made):
+            total = F.lit(self.intercept)
+            for weight, rule in self.rules:
+                hit = self.condition(rule, lambda name: made[name])
+                total = total + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
+            return 1 / (1 + F.exp(-total))
+
+        made = F.struct(*[v.alias(k) for k, v in statistics(text).items()])
+        return F.transform(F.array(made), of)[0]
 
 
 def tree_rules(model, names):
@@ -143,6 +153,6 @@ def fit_rules(docs, labels, label="quality", sample=SAMPLE, trees=TREES, depth=D
 def score_documents(docs, model, text="text"):
     """Add ``score`` (0 to 1, null and empty texts too) and ``predicted`` (1 from 0.5)."""
     keep = docs.columns
-    return with_statistics(docs, text).withColumn("score", model.score()) \
+    return docs.withColumn("score", model.score(text)) \
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int")) \
         .select(*keep, "score", "predicted")
