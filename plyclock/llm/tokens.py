@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyclock.llm.common import free_name, text_slices, with_row_key
+from plyclock.llm.common import free_name, stored, text_slices, with_row_key
 
 #: A mark between words joined for one call; words that hold it are encoded alone.
 MARK = "\x01"
@@ -356,7 +356,8 @@ def encode_documents(docs, path=None, text="text", ids="token_ids", keep=None,
     short = docs.filter(~is_long).mapInArrow(_encode_batches(path, text, ids, keep), schema)
 
     key, number, piece = (free_name(docs, c) for c in ("_row", "_piece", "_text"))
-    long = with_row_key(docs.filter(is_long), key)
+    # Written once: a key made anew for each use could differ between them.
+    long = stored(with_row_key(docs.filter(is_long), key))
     cut = long.select(
         key, F.posexplode(F.transform(
             F.sequence(F.lit(0), F.floor((F.length(text) - 1) / piece_chars).cast("int")),
