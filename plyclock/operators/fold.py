@@ -20,7 +20,7 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep
     ``new_game()`` returns a scorer for one game, a callable.  It is given
     successive runs of that game's moves as a frame of the ``inputs`` columns, in
     playing order, and returns one score per row: the evaluation after the move,
-    in White's view.  A scorer from a module of yours needs that module on the
+    in White's view; None and NaN give NULL.  A scorer from a module of yours needs that module on the
     executors, by ``addPyFile`` for example.
     """
     kept = list(dict.fromkeys(["game_id", "move_no", *keep]))
@@ -39,7 +39,8 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep
             for start, end in pairwise([0, *cuts, len(ids)]):
                 if scorer is None or ids[start] != game:
                     game, scorer = ids[start], new_game()
-                scores.extend(str(s) for s in scorer(rows.iloc[start:end]))
+                got = scorer(rows.iloc[start:end])
+                scores.extend(None if s is None or s != s else str(s) for s in got)
             yield batch[kept].assign(**{score: scores})
 
     ordered = (

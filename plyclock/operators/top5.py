@@ -12,7 +12,10 @@ def rank_points(extremes):
 
 
 def rank_means(extremes, k=5):
-    """Mean of each rank per rating: ``rating, rank1 .. rankK``.  NaN is skipped."""
+    """Mean of each rank per rating: ``rating, rank1 .. rankK``.
+
+    NaN is skipped, and so are lists without a rating.
+    """
     means = [
         F.expr(f"avg({nan_to_null(f'get(times, {i})')}) AS rank{i + 1}") for i in range(k)
     ]

@@ -1,6 +1,6 @@
 """The three batch jobs, each from a moves table and a game-info table.
 
-    spark-submit -m plyclock.plans.jobs Rating moves_path info_path out_path
+    python -m plyclock.plans.jobs Rating moves_path info_path out_path
 
 What several outputs share is written once as a Parquet profile in the output
 folder and read back, so a job scans the moves once per profile, later outputs

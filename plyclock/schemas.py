@@ -52,10 +52,6 @@ OUTCOME_VALUES = T.StructType([
     T.StructField("outcome", T.StringType()),
     T.StructField("value", T.DoubleType()),
 ])
-RATING_VALUES = T.StructType([
-    T.StructField("rating", T.IntegerType()),
-    T.StructField("value", T.DoubleType()),
-])
 SCORE_VALUES = T.StructType([
     T.StructField("rel_time", T.DoubleType()),
     T.StructField("score", T.DoubleType()),

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import difference, oracle_connection
+from plyclock.plans.queries import QUERIES as OWN
 
 QUERIES, SQL = driver.queries(), driver.oracle_sql()
 
@@ -15,7 +16,8 @@ def con(sf_dir):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"fit_p_values", "fit_score_sine_refined"}
+    assert set(OWN) <= set(QUERIES)
+    assert set(OWN) - set(SQL) == {"fit_p_values", "fit_score_sine_refined"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
