@@ -201,6 +201,8 @@ class WordEncoder:
     """Encodes columns of texts, each distinct word once while it is remembered.
 
     ``words`` bounds what is remembered, and so the memory; a full table is emptied.
+    The words stand in an Arrow column, some tens of bytes each; a table of Python
+    strings takes ten times as much.
     """
 
     def __init__(self, path, words=900_000, leaf=LEAF_CHARS):
@@ -216,11 +218,12 @@ class WordEncoder:
 
     def forget(self):
         np = self.np
-        self.index = {"": 0}
+        self.known = pa.array([""], pa.large_string())
         self.ids = np.empty(0, dtype=np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words):
+        """Remember new words."""
         np = self.np
         plain, parts, usual, odd = [], [], [], []
         for w in words:
@@ -251,9 +254,7 @@ class WordEncoder:
             got = tree_encoding(self.tokenizer, w, self.leaf)[0]
             ids.append(got)
             sizes.append(np.array([len(got)]))
-        new = [*plain, *usual, *odd]
-        first = len(self.index)
-        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        self.known = pa.concat_arrays([self.known, pa.array([*plain, *usual, *odd], pa.large_string())])
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
@@ -267,14 +268,14 @@ class WordEncoder:
             split = split.combine_chunks()
         per_text = np.asarray(pc.list_value_length(split), dtype=np.int64)
         coded = pc.dictionary_encode(split.flatten())
-        distinct = coded.dictionary.to_pylist()
-        if len(self.index) + len(distinct) > self.words:
+        distinct = coded.dictionary.cast(pa.large_string())
+        if len(self.known) + len(distinct) > self.words:
             self.forget()
-        new = [w for w in distinct if w not in self.index]
-        if new:
-            self.learn(new)
-        known = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
-        word = known[np.asarray(coded.indices)]
+        place = pc.index_in(distinct, value_set=self.known)
+        if place.null_count:
+            self.learn(distinct.filter(pc.is_null(place)).to_pylist())
+            place = pc.index_in(distinct, value_set=self.known)
+        word = np.asarray(place, dtype=np.int64)[np.asarray(coded.indices)]
         sizes = self.sizes[word]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
