@@ -38,6 +38,16 @@ def crc_mod3(column="doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
+def surely_least(hashed, wanted, size):
+    """Whether a 64-bit hash is low enough to be among the ``wanted`` least of ``size`` rows.
+
+    Lets through all that are among them and about as many more: the bound stands a
+    dozen standard deviations above what is expected of ``wanted`` distinct hashes.
+    """
+    share = F.lit(2.0 * wanted + 200) / size
+    return F.col(hashed) / F.lit(2.0 ** 64) + 0.5 <= share
+
+
 def with_row_key(table, name):
     """Add a key that tells equal rows apart."""
     return table.withColumn(name, F.monotonically_increasing_id())
