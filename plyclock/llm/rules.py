@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from plyclock.llm.common import stored
+from plyclock.llm.common import stored, surely_least
 
 #: Labelled documents learned from, at most.
 SAMPLE = 12_000
@@ -122,9 +122,13 @@ def fit_rules(docs, labels, label="quality", sample=SAMPLE, trees=TREES, depth=D
     Labels other than 0 and 1 are not used.  With labels of one kind or none the model
     is a constant: that label's, or one half.
     """
-    chosen = labels.filter(F.col(label).isin(0, 1)).select(
-        "doc_id", F.col(label).cast("double").alias("_label")).dropDuplicates(["doc_id"]) \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    usable = labels.filter(F.col(label).isin(0, 1)).select(
+        "doc_id", F.col(label).cast("double").alias("_label"), F.xxhash64("doc_id").alias("_h"))
+    # Repeated ids lie on one hash, so it is the distinct ones that are counted.
+    distinct = usable.dropDuplicates(["doc_id"])
+    size = distinct.count()
+    chosen = distinct.filter(surely_least("_h", sample, F.lit(float(max(size, 1))))) \
+        .orderBy("_h", "doc_id").limit(sample).drop("_h")
     # At most ``sample`` rows of two numbers.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     names = list(statistics())
