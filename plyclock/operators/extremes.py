@@ -22,6 +22,9 @@ from plyclock.operators.totals import counted_players
 
 ENDS = ("fastest", "slowest")
 
+#: Up to so many required moves, the rank also tells whether a group has enough of them.
+RANKED_MOVES = 100
+
 
 def extreme_moves(moves, ends=ENDS, keep=11, extra=()):
     """Candidates for the ends of each player-game.
@@ -53,6 +56,19 @@ def extreme_moves(moves, ends=ENDS, keep=11, extra=()):
     )
 
 
+def _candidates(timed, ends, k, min_moves, extra=()):
+    """Candidates for lists of ``k``, with the group's size in ``_seen``.
+
+    A large ``min_moves`` must not drive the rank: arrays would grow with it, and
+    beyond Spark's group-limit threshold the limit would leave the plan.  The sizes
+    are then counted apart.  The choice rests on the parameter, not on the data.
+    """
+    if min_moves <= RANKED_MOVES:
+        return extreme_moves(timed, ends, max(k, min_moves), extra)
+    sizes = timed.groupBy(*KEYS).agg(F.count("*").alias("_seen"))
+    return extreme_moves(timed, ends, k, extra).drop("_seen").join(sizes, KEYS, "inner")
+
+
 def _with_base(info, candidates, ends, attributes, min_moves, k):
     """Join candidates to players and make their times relative, sorted ascending."""
     joined = counted_players(info, *attributes).join(candidates, KEYS, "inner")
@@ -74,7 +90,7 @@ def rating_extremes(info, moves, end="fastest", k=5, min_moves=11):
     ``end`` may also be a list; ``times`` is then replaced by one array per end.
     """
     ends = (end,) if isinstance(end, str) else tuple(end)
-    candidates = extreme_moves(timed_moves(moves), ends, max(k, min_moves))
+    candidates = _candidates(timed_moves(moves), ends, k, min_moves)
     ready = _with_base(info, candidates, ends, ("rating",), min_moves, k)
 
     def times(e):
@@ -88,11 +104,13 @@ def score_extremes(info, moves, end="fastest", perspective="player", k=5, min_mo
     """``game_id, player, moves``: the ``k`` fastest or slowest moves as
     ``(rel_time, score)``, both ascending by time.
 
-    Equal times are ordered by ply.  ``end`` may be a list, as above.
+    Equal relative times are ordered by move time, then by ply.  The move time only
+    matters over a base of zero, where all non-zero times come out as one infinity.
+    ``end`` may be a list, as above.
     """
     ends = (end,) if isinstance(end, str) else tuple(end)
     scored = with_score(timed_moves(moves), perspective)
-    candidates = extreme_moves(scored, ends, max(k, min_moves), extra=("score",))
+    candidates = _candidates(scored, ends, k, min_moves, extra=("score",))
     ready = _with_base(info, candidates, ends, (), min_moves, k)
 
     def pairs(e):

@@ -96,11 +96,11 @@ def _line(sums, p_value):
 def line_at(fit, pairs, x):
     """Every ``x`` with its ``fitted`` value.
 
-    The coefficients are scalar subqueries, evaluated once; no join.
+    Both coefficients come from one scalar subquery, so the fit runs once; no join.
     """
-    slope = fit.select("slope").scalar()
-    intercept = fit.select("intercept").scalar()
-    return pairs.select(x, (slope * F.col(x) + intercept).alias("fitted"))
+    line = fit.select(F.struct("slope", "intercept").alias("line")).scalar()
+    fitted = line.getField("slope") * F.col(x) + line.getField("intercept")
+    return pairs.select(x, fitted.alias("fitted"))
 
 
 def line_grid(fit, values, x="x"):
@@ -152,10 +152,12 @@ def best_sine(grid_fit):
 def refine_sine(pairs, x, y, a=1.0, b=1.0, steps=100, tolerance=1e-10):
     """Least-squares ``a`` and ``b`` of ``a * sin(b * x)`` near a start, one row.
 
-    Columns ``a, b, rss, n`` and the covariances ``var_a, cov_ab, var_b``.  Damped
-    Gauss-Newton: the pairs are summed per distinct ``x`` once, into a scratch
-    table, and every step is one aggregate of six sums over that table.  The
-    minimum found is the one near the start; ``best_sine`` gives a good one.
+    Columns ``a, b, rss, n``, the covariances ``var_a, cov_ab, var_b``, ``converged``
+    and ``iterations``.  Damped Gauss-Newton: the pairs are summed per distinct ``x``
+    once, into a scratch table, and every step is one aggregate of six sums over that
+    table.  The minimum found is the one near the start; ``best_sine`` gives a good
+    one.  ``converged`` is false where ``steps`` were too few or no step led down, and
+    the values are then those of the best point seen, not of a minimum.
 
     Runs jobs when called.
     """
@@ -179,7 +181,8 @@ def refine_sine(pairs, x, y, a=1.0, b=1.0, steps=100, tolerance=1e-10):
     here, damping = sums(float(a), float(b)), 1e-3
     if not here.n:
         raise ValueError("no finite pairs to fit")
-    for _ in range(steps):
+    converged, iterations = False, 0
+    for iterations in range(1, steps + 1):
         aa, bb = here.aa * (1 + damping), here.bb * (1 + damping)
         det = aa * bb - here.ab * here.ab
         if not det > 0:
@@ -191,6 +194,7 @@ def refine_sine(pairs, x, y, a=1.0, b=1.0, steps=100, tolerance=1e-10):
             a, b, damping, gain = a + step_a, b + step_b, damping / 10, here.rss - there.rss
             here = there
             if gain <= tolerance * here.rss:
+                converged = True
                 break
         elif damping > 1e12:
             break
@@ -200,6 +204,7 @@ def refine_sine(pairs, x, y, a=1.0, b=1.0, steps=100, tolerance=1e-10):
     spread = here.rss / (here.n - 2) / det if here.n > 2 and det > 0 else float("inf")
     return spark.createDataFrame(
         [(float(a), float(b), here.rss, here.n, here.bb * spread, -here.ab * spread,
-          here.aa * spread)],
-        "a double, b double, rss double, n bigint, var_a double, cov_ab double, var_b double",
+          here.aa * spread, converged, iterations)],
+        "a double, b double, rss double, n bigint, var_a double, cov_ab double, var_b double, "
+        "converged boolean, iterations int",
     )

@@ -9,6 +9,7 @@ is held, never a whole game, so a very long game costs time but not memory.
 from itertools import pairwise
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -20,7 +21,8 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep
     ``new_game()`` returns a scorer for one game, a callable.  It is given
     successive runs of that game's moves as a frame of the ``inputs`` columns, in
     playing order, and returns one score per row: the evaluation after the move,
-    in White's view; None and NaN give NULL.  A scorer from a module of yours needs that module on the
+    in White's view; None and NaN give NULL.  A move with a NULL ``game_id`` belongs to no
+    game and stops the job.  A scorer from a module of yours needs that module on the
     executors, by ``addPyFile`` for example.
     """
     kept = list(dict.fromkeys(["game_id", "move_no", *keep]))
@@ -45,7 +47,7 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep
 
     ordered = (
         moves.select(*columns)
-        .filter("game_id IS NOT NULL")
+        .withColumn("game_id", F.expr("coalesce(game_id, raise_error('a move without a game'))"))
         .repartition("game_id")
         .sortWithinPartitions("game_id", "move_no")
     )

@@ -62,6 +62,10 @@ CASE WHEN base <> 0 THEN {ieee_divide("_time", "base")} / _moves
 """
 
 
+# Summed time over the clock a player had.
+CLOCK_SHARE = ieee_divide("total_time", "base + increment * n_moves")
+
+
 def outcome_values(totals, total_clock=False):
     """``(outcome, value)`` per player-game.
 
@@ -69,8 +73,7 @@ def outcome_values(totals, total_clock=False):
     it is the share of the clock used: summed time over base plus increment for
     every timed move.
     """
-    share = ieee_divide("total_time", "base + increment * n_moves")
-    value = share if total_clock else "mean_rel_time"
+    value = CLOCK_SHARE if total_clock else "mean_rel_time"
     return totals.selectExpr("outcome", f"{value} AS value")
 
 

@@ -7,7 +7,7 @@ not finite are shown as NULL with flags.
 from pyspark.sql import functions as F
 
 from plyclock import operators as ops
-from plyclock import sources
+from plyclock import sinks, sources
 from plyclock.functions import (
     clock_base,
     clock_increment,
@@ -15,7 +15,9 @@ from plyclock.functions import (
     outcome_code,
     parse_score,
 )
+from plyclock.operators.totals import CLOCK_SHARE
 from plyclock.plans.projection import chess_game_info, chess_moves, chess_movetext
+from plyclock.session import scratch_path
 
 # Grids at which fits are reported.
 RATING_GRID = range(500, 3001, 500)
@@ -116,7 +118,13 @@ def timed_moves(g):
 
 
 def monthly_union(g):
-    return g.moves.select("month", "game_id", "player", "move_no", "move_time")
+    """Moves written month by month, and the months read as one table."""
+    path = scratch_path(g.spark)
+    sinks.write_moves(g.moves, path, partition_by=["month"])
+    months = [r.month for r in g.moves.select("month").distinct().collect()]
+    paths = {month: f"{path}/month={month}" for month in sorted(months)}
+    return sources.read_months(g.spark, paths, sources.read_moves, fmt="parquet").select(
+        "month", "game_id", "player", "move_no", "move_time")
 
 
 def time_control(g):
@@ -202,14 +210,12 @@ def outcome_labels(g):
 
 
 def viable_outcomes(g):
-    totals = g.totals("outcome")
-    kinds = {"average": False, "total": True}
-    counts = [
-        ops.viable(ops.outcome_values(totals, clock)).agg(F.count("*").alias("viable"))
-        .select(F.lit(kind).alias("kind"), "viable")
-        for kind, clock in kinds.items()
-    ]
-    return sources.append_tables(counts)
+    """Both kinds of value from one pass over the totals."""
+    values = g.totals("outcome").selectExpr(
+        f"stack(2, 'average', mean_rel_time, 'total', {CLOCK_SHARE}) AS (kind, value)")
+    counts = ops.viable(values).agg(*[
+        F.count_if(F.col("kind") == kind).alias(kind) for kind in ("average", "total")])
+    return counts.selectExpr("stack(2, 'average', average, 'total', total) AS (kind, viable)")
 
 
 def outcome_stats(g, total_clock):

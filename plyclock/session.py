@@ -30,14 +30,21 @@ def _own_scratch_dir():
     return tempfile.mkdtemp(prefix="plyclock-")
 
 
+def scratch_path(spark):
+    """A new path in the shared scratch folder.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; a local one is
+    made only when the session names none, which is the case in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_scratch_dir()
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def scratch_table(spark, table):
     """Write a table to the shared scratch folder and read it back.
 
-    This cuts the lineage in a way that survives lost executors.  The folder is
-    the one the cluster names in ``spark.checkpoint.dir``; a local one is made
-    only when the session names none, which is the case in tests.
+    This cuts the lineage in a way that survives lost executors.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_scratch_dir()
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)

@@ -8,6 +8,9 @@ from plyclock.functions import side_of_move
 TIME_PATTERN = r"(\d+\.\d+)"
 RESULTS = ["1-0", "0-1", "1/2-1/2", "*"]
 
+#: How deep variations may lie within variations.
+NESTING = 6
+
 
 def read_pgn(spark, path, newline="\n", id_tag=None):
     """A PGN archive, one row per game.
@@ -26,11 +29,11 @@ def read_pgn(spark, path, newline="\n", id_tag=None):
 def pgn_games(records, column="value", id_tag=None):
     """Headers and movetext of game records.
 
-    ``id_tag`` names the header that identifies a game; without it the id is a
-    hash of the whole record.
+    ``id_tag`` names the header that identifies a game; without it the id is the SHA-256
+    of the whole record, so copies of a record are one game listed several times.
     """
     text = F.col(column)
-    game_id = header(text, id_tag) if id_tag else F.xxhash64(text)
+    game_id = header(text, id_tag) if id_tag else F.sha2(text.cast("binary"), 256)
     named = {"white": "White", "black": "Black", "result": "Result", "white_elo": "WhiteElo",
              "black_elo": "BlackElo", "time_control": "TimeControl", "date": "Date"}
     return records.filter(F.length(F.trim(text)) > 0).select(
@@ -49,6 +52,8 @@ def header(text, tag):
 def movetext(text):
     """All that follows the headers' blank line, joined to one line."""
     after = F.regexp_replace(text, r"\A(?s:.*?)\n\n", "")
+    # A semicolon outside braces opens a comment up to the end of its line.
+    after = F.regexp_replace(after, r"(\{[^}]*\})|;[^\n]*", "$1")
     return F.trim(F.regexp_replace(after, r"\s+", " "))
 
 
@@ -63,43 +68,52 @@ def first_ply(text):
     return F.coalesce(2 * number - F.when(black, 0).otherwise(1), F.lit(1))
 
 
-def clock_times(games, game_id="game_id", text="movetext"):
-    """One row per clock time: ``(game_id, move_no, move_time)``.
+def main_line(text):
+    """The moves of a movetext in order: an array of ``(move, time)``.
 
-    Times are numbered in order of appearance.  A row may be a whole game or any
-    run of its moves, because numbering starts at the ply its text opens with;
-    long games can therefore be cut into several rows.
+    Comments, variations, annotation glyphs and marks, move numbers and the result are
+    removed.  ``time`` is the first clock time among the comments that follow the move,
+    or empty.  Variations may be nested ``NESTING`` deep; a bracket that is left after
+    that, or has no partner, stops the job.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(TIME_PATTERN), F.lit(1))
-    return games.select(
+    # Of a comment only its first time stays, so brackets in comments do not count.
+    plain = F.regexp_replace(text, rf"\{{[^}}]*?{TIME_PATTERN}[^}}]*\}}", " {$1} ")
+    plain = F.regexp_replace(plain, r"\{(?!\d+\.\d+\})[^}]*\}", " ")
+    for _ in range(NESTING):
+        plain = F.regexp_replace(plain, r"\([^()]*\)", " ")
+    plain = F.regexp_replace(plain, r"\$\d+|[!?]+", " ")
+    plain = F.regexp_replace(plain, r"(?<![\d.{])\d+\.+(?!\d)", " ")
+    plain = F.when(plain.rlike("[()]"), F.raise_error(F.lit("unbalanced variation"))).otherwise(plain)
+    # A comment before the first move is taken whole, and gives an empty move.
+    word = F.lit(r"\{[^}]*\}|([^\s{}]+)\s*(?:\{([^}]*)\})?")
+    both = F.arrays_zip(
+        F.regexp_extract_all(plain, word, F.lit(1)).alias("move"),
+        F.regexp_extract_all(plain, word, F.lit(2)).alias("time"))
+    return F.filter(both, lambda w: (w["move"] != "") & ~w["move"].isin(RESULTS))
+
+
+def _plies(games, game_id, text):
+    numbered = games.select(
         F.col(game_id).alias("game_id"),
         first_ply(F.col(text)).alias("_first"),
-        F.posexplode(found).alias("_pos", "_time"),
-    ).select(
-        "game_id",
-        (F.col("_first") + F.col("_pos")).alias("move_no"),
-        F.col("_time").cast("double").alias("move_time"),
+        F.posexplode(main_line(F.col(text))).alias("_pos", "_ply"),
     )
+    return numbered.selectExpr("game_id", "_first + _pos AS move_no", "_ply.move", "_ply.time")
 
 
-def pgn_moves(games, game_id="game_id", text="movetext"):
-    """One row per move: ``(game_id, move_no, side, move)``.
+def clock_times(games, game_id="game_id", text="movetext"):
+    """One row per clock time: ``(game_id, move_no, move_time)``.
 
-    Comments, variations, annotation glyphs, move numbers and the result are
-    removed; what is left, in order, are the moves.
+    A time belongs to the move of the main line that it follows; a move without one
+    has no row, and the times of variations are left out.  A row may be a whole game
+    or any run of its moves, because numbering starts at the ply its text opens with;
+    long games can therefore be cut into several rows.
     """
-    plain = F.regexp_replace(F.col(text), r"\{[^}]*\}", " ")
-    plain = F.regexp_replace(plain, r"\([^()]*\)", " ")
-    plain = F.regexp_replace(plain, r"\$\d+", " ")
-    plain = F.regexp_replace(plain, r"\b\d+\.+", " ")
-    words = F.filter(
-        F.split(F.trim(plain), r"\s+"),
-        lambda w: (w != "") & ~w.isin(RESULTS),
-    )
-    numbered = games.select(
-        F.col(game_id).alias("game_id"),
-        first_ply(F.col(text)).alias("_first"),
-        F.posexplode(words).alias("_pos", "move"),
-    )
-    plies = numbered.selectExpr("game_id", "_first + _pos AS move_no", "move")
-    return plies.selectExpr("game_id", "move_no", f"{side_of_move('move_no')} AS side", "move")
+    return _plies(games, game_id, text).filter("time <> ''").selectExpr(
+        "game_id", "move_no", "double(time) AS move_time")
+
+
+def pgn_moves(games, game_id="game_id", text="movetext"):
+    """One row per move of the main line: ``(game_id, move_no, side, move)``."""
+    return _plies(games, game_id, text).selectExpr(
+        "game_id", "move_no", f"{side_of_move('move_no')} AS side", "move")

@@ -1,5 +1,6 @@
 """Readers for the moves and game-info tables."""
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,20 +33,20 @@ def pick(table, columns):
     return table.select([source(where).alias(name) for name, where in columns.items()])
 
 
-def read_moves(spark, path, fmt="csv", columns=None, on_bad="fail"):
-    """Moves with types.  See ``typed_moves`` for ``on_bad``.
+def read_moves(spark, path, fmt="csv", columns=None, on_bad="fail", need=None):
+    """Moves with types.  See ``typed_moves`` for ``on_bad`` and ``need``.
 
     CSV columns are found by position unless ``columns`` says otherwise; other
     formats are found by name.
     """
     raw = read_raw(spark, path, fmt)
-    return typed_moves(_located(raw, fmt, MOVES, columns), on_bad)
+    return typed_moves(_located(raw, fmt, MOVES, columns), on_bad, need)
 
 
-def read_game_info(spark, path, fmt="csv", columns=None, on_bad="fail"):
-    """One row per game with types.  See ``typed_game_info`` for ``on_bad``."""
+def read_game_info(spark, path, fmt="csv", columns=None, on_bad="fail", need=None):
+    """One row per game with types.  See ``typed_moves`` for ``on_bad`` and ``need``."""
     raw = read_raw(spark, path, fmt)
-    return typed_game_info(_located(raw, fmt, GAME_INFO, columns), on_bad)
+    return typed_game_info(_located(raw, fmt, GAME_INFO, columns), on_bad, need)
 
 
 def _located(raw, fmt, positions, columns):
@@ -57,11 +58,14 @@ def _located(raw, fmt, positions, columns):
     return pick(raw, wanted)
 
 
-def typed_moves(raw, on_bad="fail"):
+def typed_moves(raw, on_bad="fail", need=None):
     """Give ``move_no`` and ``move_time`` their types.
 
     ``on_bad="fail"`` stops the job at the first value that does not parse.
-    ``on_bad="quarantine"`` returns ``(good, bad)``, the bad rows untouched.
+    ``on_bad="quarantine"`` returns ``(good, bad)``, the bad rows untouched.  Only the
+    columns in ``need`` decide (default: all that have a check), so a job that reads no
+    scores keeps moves without one by leaving the score out.  The other columns stop
+    the job where they are used and do not parse, as under "fail".
     Columns that already have the type are left alone, so filters on them still
     reach a Parquet scan.
     """
@@ -70,10 +74,10 @@ def typed_moves(raw, on_bad="fail"):
         "move_time": "try_cast(move_time AS DOUBLE)",
         "centipawn_score": parse_score("centipawn_score", strict=False),
     }
-    return _typed(raw, {"move_no": "int", "move_time": "double"}, checks, on_bad)
+    return _typed(raw, {"move_no": "int", "move_time": "double"}, checks, on_bad, need)
 
 
-def typed_game_info(raw, on_bad="fail"):
+def typed_game_info(raw, on_bad="fail", need=None):
     """Give the two ratings their type and check the time control's shape."""
     control = [part("time_control", strict=False) for part in (clock_base, clock_increment)]
     checks = {
@@ -81,30 +85,44 @@ def typed_game_info(raw, on_bad="fail"):
         "black_elo": "try_cast(black_elo AS INT)",
         "time_control": " + ".join(control),
     }
-    return _typed(raw, {"white_elo": "int", "black_elo": "int"}, checks, on_bad)
+    return _typed(raw, {"white_elo": "int", "black_elo": "int"}, checks, on_bad, need)
 
 
-def _typed(raw, types, checks, on_bad):
+def _typed(raw, types, checks, on_bad, need):
+    need = set(checks if need is None else need)
+    if need - set(checks):
+        raise ValueError(f"nothing to check in {sorted(need - set(checks))}")
     current = dict(raw.dtypes)
     types = {n: to for n, to in types.items() if n in current and current[n] != to}
     if on_bad == "fail":
         return raw.withColumns({n: F.expr(strict_cast(n, to, n)) for n, to in types.items()})
     if on_bad != "quarantine":
         raise ValueError(f"unknown on_bad: {on_bad}")
-    parses = [f"({check}) IS NOT NULL" for n, check in checks.items() if n in current]
+    parses = [f"({check}) IS NOT NULL" for n, check in checks.items() if n in current and n in need]
     good = " AND ".join(parses) or "true"
-    cast = {n: F.expr(f"try_cast({n} AS {to})") for n, to in types.items()}
+    cast = {n: F.expr(f"try_cast({n} AS {to})" if n in need else strict_cast(n, to, n))
+            for n, to in types.items()}
     return raw.filter(good).withColumns(cast), raw.filter(f"NOT ({good})")
 
 
-def read_months(spark, paths, fmt="csv", month_pattern=r"([A-Za-z]+|\d+)[^/]*$"):
-    """Several monthly files as one table with a ``month`` column.
+def read_months(spark, paths, read=read_raw, **options):
+    """Monthly files or folders as one table with a ``month`` column.
 
-    One multi-path scan; the month is cut out of each row's file path by
-    ``month_pattern``, so adding months adds no branches to the plan.
+    ``paths`` maps each month to its path; of a list, the last part of each path, without
+    an ending, is the month.  ``read`` is any reader of this package, so moves come with
+    their types, and ``options`` go to it.  Tables are joined by column name and must have
+    the same columns.  The month is a constant of each part: a filter on it skips the
+    other months' files.
     """
-    month = F.regexp_extract(F.col("_metadata.file_path"), month_pattern, 1)
-    return read_raw(spark, paths, fmt).withColumn("month", month)
+    if not isinstance(paths, dict):
+        names = [os.path.splitext(os.path.basename(p.rstrip("/")))[0] for p in paths]
+        if len(set(names)) < len(names):
+            raise ValueError(f"months are not distinct: {names}")
+        paths = dict(zip(names, paths, strict=True))
+    if not paths:
+        raise ValueError("no months given")
+    return append_tables(
+        [read(spark, path, **options).withColumn("month", F.lit(month)) for month, path in paths.items()])
 
 
 def append_tables(tables):

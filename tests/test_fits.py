@@ -88,6 +88,27 @@ def test_sine_is_refined_from_a_start(spark, start):
         [covariance[0, 0], covariance[0, 1], covariance[1, 1]], rel=1e-6)
 
 
+def test_refinement_says_whether_it_converged(spark):
+    rng = random.Random(4)
+    pairs = [(x / 10, 0.7 * math.sin(0.101 * x) + rng.gauss(0, 0.05)) for x in range(-200, 200)]
+    df = pairs_frame(spark, pairs)
+    done = ops.refine_sine(df, "x", "y", 0.5, 1.02).first()
+    cut = ops.refine_sine(df, "x", "y", 0.5, 1.02, steps=1).first()
+    assert done.converged and 1 < done.iterations < 100
+    assert not cut.converged and cut.iterations == 1
+
+
+def test_p_values_have_no_seam():
+    from plyclock.functions.ttest import _tail
+
+    for t in (0.01, 1.0, 10.0, 30.0):
+        below, at, above = (_tail(t, 1e7 + d) for d in (-1, 0, 1))
+        assert below == pytest.approx(at, rel=1e-6) and above == pytest.approx(at, rel=1e-6)
+        assert _tail(t, 1e15) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+    assert _tail(1.0, 1) == pytest.approx(0.5)
+    assert _tail(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6))
+
+
 def test_scratch_folder_of_the_session_is_used(spark, tmp_path):
     from plyclock.session import scratch_table
 

@@ -157,8 +157,14 @@ def test_quarantine(spark):
     assert [r.move_no for r in good.orderBy("move_no").collect()] == [3, 9]
     assert dict(good.dtypes)["move_time"] == "double"
     assert bad.count() == 3 and bad.columns == raw.columns
+    good, bad = sources.typed_moves(raw, "quarantine", need=("move_no", "move_time"))
+    assert [r.move_no for r in good.orderBy("move_no").collect()] == [3, 7, 9] and bad.count() == 2
+    info = info_frame(spark, [("g1", "anna", "ben", "1-0", 1600, 1500, "10+0")])
+    assert ops.player_game_totals(info, good, ("outcome",)).first().n_moves == 3
     with pytest.raises(ValueError):
         sources.typed_moves(raw, on_bad="ignore")
+    with pytest.raises(ValueError):
+        sources.typed_moves(raw, "quarantine", need=("player",))
 
 
 def test_negative_base_is_refused_for_lists(spark):

@@ -58,6 +58,17 @@ def test_lists_are_limited_before_the_shuffle(tables):
         assert "WindowGroupLimit" in text
 
 
+def test_many_required_moves_keep_the_limit(tables):
+    info, moves = tables
+    text = plan(ops.rating_extremes(info, moves, min_moves=1500))
+    assert "WindowGroupLimit" in text
+    for least in (101, 5):
+        with_rank = ops.rating_extremes(info, moves, min_moves=least)
+        sizes = ops.timed_moves(moves).groupBy("game_id", "player").count()
+        expected = sizes.filter(f"count >= {least}").count()
+        assert with_rank.count() == expected
+
+
 def test_averages_aggregate_before_the_join(tables):
     info, moves = tables
     lines = plan(ops.player_game_totals(info, moves)).split("\n")

@@ -71,12 +71,54 @@ def test_csv_by_header(spark, exports):
 def test_months_in_one_scan(spark, tmp_path):
     for month in ("jan", "feb"):
         write_moves_csv(tmp_path / f"{month}.csv", MOVES)
-    months = sources.read_months(
-        spark, [str(tmp_path / f"{m}.csv") for m in ("jan", "feb")], month_pattern=r"(\w+)\.csv$"
-    )
+    months = sources.read_months(spark, [str(tmp_path / f"{m}.csv") for m in ("jan", "feb")])
     counts = {r["month"]: r["count"] for r in months.groupBy("month").count().collect()}
     assert counts == {"jan": len(MOVES), "feb": len(MOVES)}
     assert sources.append_tables([months, months]).count() == 4 * len(MOVES)
+    typed = sources.read_months(
+        spark, {"2020-01": str(tmp_path / "jan.csv")}, sources.read_moves)
+    assert dict(typed.dtypes)["move_time"] == "double" and typed.first().month == "2020-01"
+    with pytest.raises(ValueError):
+        sources.read_months(spark, ["a/x.csv", "b/x.csv"])
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_months_of_job_outputs(spark, exports, tmp_path, text):
+    moves, info = sources.read_moves(spark, exports[0]), sources.read_game_info(spark, exports[1])
+    paths = {}
+    for month in ("January", "February"):
+        out = run_job(spark, "Rating", moves, info, str(tmp_path / month), text=text)
+        paths[month] = out["FastestMoveTimes"]
+    months = (sources.read_months(spark, paths, sources.read_extremes_text) if text
+              else sources.read_months(spark, paths, fmt="parquet"))
+    counts = {r["month"]: r["count"] for r in months.groupBy("month").count().collect()}
+    expected = ops.rating_extremes(info, moves).count()
+    assert counts == {"January": expected, "February": expected}
+
+
+def test_one_reading_of_movetext(spark):
+    texts = {
+        "clock": "1. e4 {[%emt 0.5]} e5 2. Nf3 {1.5} ({2.75} 2. f4) Nc6 {3.5} 1-0",
+        "nested": "1. e4 (1. d4 d5 (1... Nf6 2. c4) 2. c4) e5 2. Nf3! {a (b} Nc6?? $5 *",
+        "tight": "{0.1} 12...e5 {say 7.25 or 8.5} 13.Bb5 {} {2.5} 1/2-1/2",
+    }
+    games = spark.createDataFrame(list(texts.items()), "game_id string, movetext string")
+    moves, times = sources.pgn_moves(games), sources.clock_times(games)
+    got = {}
+    for r in sorted(ops.attach_times(moves, times).collect(), key=lambda r: r.move_no):
+        got.setdefault(r.game_id, []).append((r.move_no, r.move, r.move_time))
+    assert got["clock"] == [(1, "e4", 0.5), (2, "e5", None), (3, "Nf3", 1.5), (4, "Nc6", 3.5)]
+    assert got["nested"] == [(i, m, None) for i, m in enumerate(("e4", "e5", "Nf3", "Nc6"), 1)]
+    assert [m[1:] for m in got["tight"]] == [("e5", 7.25), ("Bb5", 2.5)]
+    with pytest.raises(Exception, match="unbalanced"):
+        sources.pgn_moves(games.selectExpr("game_id", "'1. e4 (1. d4' AS movetext")).collect()
+
+
+def test_comments_to_the_end_of_a_line(spark):
+    record = '[Event "x"]\n\n1. e4 ; a (comment\ne5 {x; y 1.5} 2. Nf3 *'
+    games = sources.pgn_games(spark.createDataFrame([(record,)], "value string"))
+    assert [r.move for r in sources.pgn_moves(games).collect()] == ["e4", "e5", "Nf3"]
+    assert [(r.move_no, r.move_time) for r in sources.clock_times(games).collect()] == [(2, 1.5)]
 
 
 def test_pairs_text(spark, tmp_path):
