@@ -179,6 +179,28 @@ def test_languages(spark, sf_dir, empty):
     assert langid.identify(odd, {}).first().lang_pred == "und"
 
 
+def test_training_rows_are_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "hot" if i % 10 else "rare", "t") for i in range(4000)] + [(9000, None, "t"), (9001, "hot", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {}
+    for r in langid.training_rows(docs, 300).collect():
+        got.setdefault(r.lang, set()).add(r.doc_id)
+    usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).collect()
+    for lang in ("hot", "rare"):
+        ranked = sorted((r.h, r.doc_id) for r in usable if r.lang == lang)
+        assert got[lang] == {i for _, i in ranked[:300]}
+
+
+def test_encoder_that_forgets(tokenizer):
+    encoder = tokens.WordEncoder(tokens.tokenizer_path(), words=40)
+    for some in (texts()[:5], texts()[20:30], texts()[:5]):
+        flat, sizes = encoder.encode(pa.array(some))
+        assert flat.tolist() == [i for t in some for i in ids_of(tokenizer, t)]
+        assert sizes.tolist() == [len(ids_of(tokenizer, t)) for t in some]
+
+
 def test_rules(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
