@@ -1,16 +1,19 @@
 """Information-theoretic sanitisation of personal data.
 
 *Protected entities* are e-mail addresses, IP addresses, payment cards and phone
-numbers, found by fixed patterns.  A *term*, a run of letters in lower case, that
-stands within ``WINDOW`` words of an entity can reveal it.  How strongly is estimated
-from the corpus: with N documents, n(e) of them holding an entity of kind e, n(t)
-holding the term and n(e, t) holding it next to such an entity,
+numbers, found by fixed patterns.  A *term*, a run of letters in lower case outside of
+every entity, can reveal an entity of its document, however far from it.  How strongly
+is estimated from the corpus: with N documents, n(e) of them holding an entity of kind
+e, n(t) holding the term and n(e, t) holding both,
 
-    PMI(e; t) = log2( N n(e, t) / (n(t) n(e)) ),    IC(e) = log2( N / n(e) )
+    PMI(e; t) = log2( P(e | t) N / n(e) ),    IC(e) = log2( N / n(e) )
 
-A term that carries ``DISCLOSURE`` of the information of the entity or more, in at
-least ``SUPPORT`` documents, is generalised where it stands next to an entity of that
-kind, and removed from ``REMOVAL`` on.  Elsewhere it stays.
+where P(e | t) is not n(e, t) / n(t) itself but its lower confidence bound (Wilson's,
+``CONFIDENCE`` standard deviations), so that a term of few documents counts as far as
+those few can tell; no number of documents is asked for.  A term that carries
+``DISCLOSURE`` of the information of a kind or more is generalised wherever it stands
+in a document with entities, of whatever kind, and removed from ``REMOVAL`` on.
+Documents without an entity are left as they are.
 
 Entities are replaced by the name of their kind in brackets.
 """
@@ -26,8 +29,7 @@ from plyclock.llm.common import free_name, stored, text_slices, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-WINDOW = 4
-SUPPORT = 3
+CONFIDENCE = 1.96
 DISCLOSURE, REMOVAL = 0.5, 0.9
 #: Bits of the filter that tells which words need counting; its size is fixed.
 FILTER_BITS = 1 << 22
@@ -43,7 +45,7 @@ DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]+")
 
 SPAN = "struct<kind:string,start:int,end:int>"
-CONTEXT = "struct<kind:string,term:string,start:int,end:int>"
+MARKED = "array<struct<kind:string,start:int,end:int,disclosure:double>>"
 
 
 def emails(text):
@@ -90,52 +92,39 @@ def entities(text):
     return found
 
 
-def surroundings(text, spans, window=WINDOW):
-    """The terms next to each span that lie in no span: ``(kind, term, start, end)``."""
-    out = {}
-    for kind, start, end in spans:
-        # Words before the span come from a stretch that grows until it holds enough.
-        reach = 64
-        while True:
-            low = max(0, start - reach)
-            before = [(m.start() + low, m.end() + low) for m in WORD.finditer(text[low:start])]
-            if low == 0 or len(before) > window:
-                break
-            reach *= 2
-        after = []
-        for m in WORD.finditer(text, end):
-            after.append((m.start(), m.end()))
-            if len(after) == window:
-                break
-        for a, b in [*before[-window:], *after]:
-            if not any(a < e and s < b for _, s, e in spans):
-                out[kind, a, b] = text[a:b].lower()
-    return sorted((kind, term, a, b) for (kind, a, b), term in out.items())
-
-
-def with_entities(docs, spans, context, text="text", found_only=None):
-    """Add the spans and the terms around them; optionally only rows with, or without."""
-    schema = T.StructType([*docs.schema]).add(
-        spans, T.DataType.fromDDL(f"array<{SPAN}>")).add(context, T.DataType.fromDDL(f"array<{CONTEXT}>"))
+def outside(text, spans):
+    """The text with blanks for the spans and for every word that reaches into one."""
+    out, free = [], 0
+    for start, end in sorted(spans):
+        start, end = max(start, free), max(end, free)
+        if start < end:
+            while start > free and WORD.fullmatch(text[start - 1:start + 1]):
+                start -= 1
+            while end < len(text) and WORD.fullmatch(text[end - 1:end + 1]):
+                end += 1
+            out += [text[free:start], " " * (end - start)]
+            free = end
+    return "".join([*out, text[free:]])
+
+
+def with_entities(docs, spans, text="text", found_only=None):
+    """Add the spans; optionally only rows with, or without."""
+    schema = T.StructType([*docs.schema]).add(spans, T.DataType.fromDDL(f"array<{SPAN}>"))
     keep = docs.columns
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    terms = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()),
-                                ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             for at, texts in text_slices(batch.column(text)):
-                rows, some, around = [], [], []
+                rows, some = [], []
                 for i, value in enumerate(texts.to_pylist()):
                     found = entities(value)
                     if found_only is None or bool(found) == found_only:
                         rows.append(at + i)
                         some.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in found])
-                        around.append([dict(zip(("kind", "term", "start", "end"), x, strict=True))
-                                       for x in surroundings(value, found)] if found else [])
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.take(pa.array(rows, pa.int64())).columns,
-                     pa.array(some, kinds), pa.array(around, terms)], names=[*keep, spans, context])
+                    [*batch.take(pa.array(rows, pa.int64())).columns, pa.array(some, kinds)],
+                    names=[*keep, spans])
 
     return docs.mapInArrow(run, schema)
 
@@ -146,12 +135,9 @@ def place_in_filter(term):
     return xxhash.xxh3_64_intdigest(term) % FILTER_BITS
 
 
-def document_counts(docs, terms, text="text"):
-    """In how many documents each of ``terms`` (one column, distinct) occurs: ``term, n``.
-
-    Words are looked up in a bit map of fixed size made from the terms; what it lets
-    through by chance falls out in the join.
-    """
+def term_filter(terms):
+    """A bit map of fixed size of ``terms`` (one column), broadcast: what it lets through by
+    chance falls out in a join."""
     import numpy as np
 
     def places(batches):
@@ -160,85 +146,158 @@ def document_counts(docs, terms, text="text"):
                 "place": pa.array([place_in_filter(t) for t in batch.column("term").to_pylist()], pa.int64())})
 
     # One row per 64 places, so no more than FILTER_BITS / 64 of them.
-    held = terms.mapInArrow(places, "place long").groupBy(
+    held = terms.select("term").mapInArrow(places, "place long").groupBy(
         F.floor(F.col("place") / 64).alias("at")).agg(
         F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("bits")).collect()
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     for r in held:
         bitmap[r["at"]] = r["bits"]
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    return terms.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches):
+
+class Terms:
+    """The distinct terms of texts; what one chunk of text has stays known for the next."""
+
+    def __init__(self, wanted=None, remembered=400_000):
+        self.wanted, self.remembered, self.known = wanted, remembered, {}
+
+    def of_chunk(self, chunk):
+        found = [w.lower() for w in WORD.findall(chunk)]
+        if self.wanted is not None and found:
+            places = [place_in_filter(w) for w in found]
+            found = [w for w, x in zip(found, places, strict=True) if (int(self.wanted[x >> 6]) >> (x & 63)) & 1]
+        return tuple(found)
+
+    def by_row(self, texts):
+        """``(rows, codes, terms)``: each distinct pair of a row and a term once, by row."""
+        import numpy as np
         import pyarrow.compute as pc
 
-        wanted = sent.value
-        # What a batch has of a chunk of text stays known for the next one.
-        known = {}
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        per_text = np.asarray(pc.list_value_length(split), dtype=np.int64)
+        coded = pc.dictionary_encode(split.flatten())
+        chunks = coded.dictionary.to_pylist()
+        if len(self.known) + len(chunks) > self.remembered:
+            self.known = {}
+        number, flat, sizes = {}, [], np.zeros(len(chunks), np.int64)
+        for i, c in enumerate(chunks):
+            if c not in self.known:
+                self.known[c] = self.of_chunk(c)
+            if found := self.known[c]:
+                sizes[i] = len(found)
+                flat += [number.setdefault(w, len(number)) for w in found]
+        first = np.cumsum(sizes) - sizes
+        codes = np.asarray(coded.indices)
+        row = np.repeat(np.arange(len(per_text)), per_text)
+        use = sizes[codes] > 0
+        codes, row = codes[use], row[use]
+        n = sizes[codes]
+        at = np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(row, n) * max(1, len(number)) + np.array(flat, np.int64)[at])
+        return *np.divmod(pairs, max(1, len(number))), list(number)
+
+
+def spans_of(found):
+    return [(s["start"], s["end"]) for s in found]
+
+
+def private_counts(private, spans, text="text"):
+    """``term, n, n_email, ...``: in how many rows each term stands outside of the entities,
+    and in how many of those with an entity of each kind."""
+    names = ["n", *["n_" + k for k in KINDS]]
+
+    def run(batches):
+        import numpy as np
+
+        seen = Terms()
+        for batch in batches:
+            for at, texts in text_slices(batch.column(text)):
+                found = batch.column(spans).slice(at, len(texts)).to_pylist()
+                row, code, terms = seen.by_row(pa.array(
+                    [outside(t, spans_of(f)) for t, f in zip(texts.to_pylist(), found, strict=True)], pa.string()))
+                has = np.array([[True, *[any(s["kind"] == k for s in f) for k in KINDS]] for f in found])
+                counts = [np.bincount(code[has[row, i]], minlength=len(terms)) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.string()), *[pa.array(c.astype(np.int64)) for c in counts]],
+                    names=["term", *names])
+
+    return private.select(text, spans).mapInArrow(
+        run, "term string, " + ", ".join(f"{n} long" for n in names)) \
+        .groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def clean_counts(docs, terms, text="text"):
+    """In how many rows without an entity each of ``terms`` (one column, distinct) occurs: ``term, n_clean``."""
+    sent = term_filter(terms)
+
+    def run(batches):
+        import numpy as np
+
+        seen = Terms(sent.value)
         for batch in batches:
             for _, texts in text_slices(batch.column(text)):
-                split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-                per_text = np.asarray(pc.list_value_length(split), dtype=np.int64)
-                coded = pc.dictionary_encode(split.flatten())
-                chunks, of_chunk = coded.dictionary.to_pylist(), []
-                if len(known) + len(chunks) > 400_000:
-                    known = {}
-                for c in chunks:
-                    if c not in known:
-                        hits = []
-                        for w in WORD.findall(c):
-                            place = place_in_filter(w := w.lower())
-                            if (int(wanted[place >> 6]) >> (place & 63)) & 1:
-                                hits.append(w)
-                        known[c] = hits
-                    of_chunk.append(known[c])
-                hit = np.flatnonzero(np.fromiter(map(bool, of_chunk), bool, len(of_chunk)))
-                if not len(hit):
-                    continue
-                number, pairs = {}, set()
-                codes = np.asarray(coded.indices)
-                row = np.repeat(np.arange(len(per_text)), per_text)
-                is_hit = np.zeros(len(of_chunk), bool)
-                is_hit[hit] = True
-                use = is_hit[codes]
-                both = np.unique(row[use] * len(of_chunk) + codes[use])
-                for x in both.tolist():
-                    for w in of_chunk[x % len(of_chunk)]:
-                        pairs.add((x // len(of_chunk), w))
-                for _, w in pairs:
-                    number[w] = number.get(w, 0) + 1
+                clean = [not entities(t) for t in texts.to_pylist()]
+                _, code, found = seen.by_row(texts.filter(pa.array(clean, pa.bool_())))
                 yield pa.RecordBatch.from_pydict({
-                    "term": pa.array(list(number), pa.string()),
-                    "n": pa.array(list(number.values()), pa.int64())})
+                    "term": pa.array(found, pa.string()),
+                    "n_clean": pa.array(np.bincount(code, minlength=len(found)).astype(np.int64))})
 
-    return docs.select(text).mapInArrow(run, "term string, n long") \
-        .groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
+    return docs.select(text).mapInArrow(run, "term string, n_clean long") \
+        .groupBy("term").agg(F.sum("n_clean").alias("n_clean")).join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs, private, context, text="text"):
-    """``kind, term, disclosure``: terms that reveal an entity of that kind.
+def surely(n_both, n):
+    """Wilson's lower bound of the share of ``n_both`` in ``n``; it falls as ``n`` grows."""
+    z = CONFIDENCE
+    return (n_both + z * z / 2 - z * F.sqrt(n_both * (n - n_both) / n + z * z / 4)) / (n + z * z)
 
-    ``private`` are the rows with entities, with their terms in ``context``.
+
+def disclosing_terms(docs, private, spans, text="text"):
+    """``term, disclosure``: terms that reveal an entity, with the largest share of any kind.
+
+    ``private`` are the rows with entities, in ``spans``.
     """
     total = docs.count()
-    near = private.select(F.explode(context).alias("c"), F.col("_row")).groupBy(
-        F.col("c.kind").alias("kind"), F.col("c.term").alias("term")).agg(
-        F.count_distinct("_row").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    near = stored(near)
+    near = stored(private_counts(private, spans, text))
     kinds = {r.kind: r.n for r in private.select(
-        F.explode(F.array_distinct(F.transform(context, lambda c: c["kind"]))).alias("kind")
+        F.explode(F.array_distinct(F.transform(spans, lambda s: s["kind"]))).alias("kind")
     ).groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    counts = document_counts(docs, near.select("term").distinct(), text)
-    information = F.create_map(*[x for k, n in kinds.items() for x in (
-        F.lit(k), F.lit(math.log2(total / n)))]) if kinds else F.create_map(F.lit(""), F.lit(1.0))
-    entity = F.create_map(*[x for k, n in kinds.items() for x in (F.lit(k), F.lit(float(n)))]) \
-        if kinds else F.create_map(F.lit(""), F.lit(1.0))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n") * entity[F.col("kind")]))
-    # An entity in every document carries no information, so nothing reveals it.
-    share = F.try_divide(pmi, information[F.col("kind")])
-    return near.join(counts, "term").select("kind", "term", share.alias("disclosure")) \
+
+    def disclosure(n):
+        # An entity in every document carries no information, so nothing reveals it.
+        return F.greatest(F.lit(0.0), F.lit(0.0), *[
+            F.when(F.col("n_" + k) > 0, F.log2(surely(F.col("n_" + k), n) * (total / of)) / math.log2(total / of))
+            for k, of in kinds.items() if of < total])
+
+    # With the rows of ``private`` alone the share is at its largest.
+    likely = stored(near.withColumn("disclosure", disclosure(F.col("n"))).filter(
+        F.col("disclosure") >= DISCLOSURE).drop("disclosure"))
+    counts = clean_counts(docs, likely.select("term"), text)
+    return likely.join(counts, "term", "left").select(
+        "term", disclosure(F.col("n") + F.coalesce("n_clean", F.lit(0))).alias("disclosure")) \
         .filter(F.col("disclosure") >= DISCLOSURE)
 
 
+def terms_by_row(private, terms, spans, text="text"):
+    """``_of, _added``: the disclosing terms of each row, by ``_row``, with their disclosure."""
+    sent = term_filter(terms)
+
+    def run(batches):
+        seen = Terms(sent.value)
+        for batch in batches:
+            for at, texts in text_slices(batch.column(text)):
+                found = batch.column(spans).slice(at, len(texts)).to_pylist()
+                row, code, held = seen.by_row(pa.array(
+                    [outside(t, spans_of(f)) for t, f in zip(texts.to_pylist(), found, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_row").slice(at, len(texts)).take(pa.array(row)),
+                     pa.array(held, pa.string()).take(pa.array(code))], names=["_of", "term"])
+
+    # No more entries than distinct terms of one document.
+    return private.select("_row", text, spans).mapInArrow(run, "_of long, term string").join(terms, "term") \
+        .groupBy("_of").agg(F.collect_list(F.struct("term", "disclosure")).alias("_added"))
+
+
 def sanitise(docs, text="text", spans="spans"):
     """Two tables with the columns of ``docs`` and ``spans``, apart in what they hold.
 
@@ -247,48 +306,46 @@ def sanitise(docs, text="text", spans="spans"):
     they were, with an empty list.  A null text has no spans and stays null.  Repeated
     rows are treated alike and stay repeated; an empty table gives empty tables.
     """
-    found, context = free_name(docs, "_found"), free_name(docs, "_context")
-    private = with_entities(docs, found, context, text, found_only=True)
+    found = free_name(docs, "_found")
     if "_row" in docs.columns:
         raise ValueError("the column name _row is taken")
-    private = stored(with_row_key(private, "_row"))
-    terms = stored(disclosing_terms(docs, private, context, text))
-    added = private.select("_row", F.explode(context).alias("c")).join(
-        terms.select(F.col("kind").alias("_kind"), F.col("term").alias("_term"), "disclosure"),
-        (F.col("c.kind") == F.col("_kind")) & (F.col("c.term") == F.col("_term")),
-    ).groupBy("_row", "c.start", "c.end").agg(F.max("disclosure").alias("disclosure")) \
-        .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("_added"))
-    # No more entries than terms next to the entities of one document.
-    whole = private.join(added.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
-    shape = "array<struct<kind:string,start:int,end:int,disclosure:double>>"
-    both = F.concat(
-        F.transform(F.col(found), lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.lit(None).cast("double").alias("disclosure"))),
-        F.transform(F.coalesce("_added", F.array().cast("array<struct<start:int,end:int,disclosure:double>>")),
-                    lambda s: F.struct(F.lit(TERM).alias("kind"), s["start"].alias("start"),
-                                       s["end"].alias("end"), s["disclosure"].alias("disclosure"))))
-    columns = docs.columns
-    marked = whole.select(*columns, both.cast(shape).alias(spans))
-    clean = with_entities(docs, found, context, text, found_only=False).select(
-        *columns, F.array().cast(shape).alias(spans))
-    return masked(marked, text, spans), clean
-
-
-def masked(docs, text, spans):
-    """Replace the spans of each text."""
-    at, keep = docs.columns.index(text), docs.columns
+    private = stored(with_row_key(with_entities(docs, found, text, found_only=True), "_row"))
+    terms = stored(disclosing_terms(docs, private, found, text))
+    added = terms_by_row(private, terms, found, text)
+    whole = private.join(added, F.col("_row") == F.col("_of"), "left").select(*docs.columns, found, "_added")
+    clean = with_entities(docs, found, text, found_only=False).select(
+        *docs.columns, F.array().cast(MARKED).alias(spans))
+    return masked(whole, text, found, "_added", spans), clean
+
+
+def masked(docs, text, found, added, spans):
+    """Replace the entities in ``found`` and every occurrence of the terms in ``added``."""
+    keep = [c for c in docs.columns if c not in (found, added)]
+    at = keep.index(text)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
+                               ("disclosure", pa.float64())]))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                new = [hide(t, s) for t, s in zip(batch.column(text).to_pylist(),
-                                                  batch.column(spans).to_pylist(), strict=True)]
-                columns = batch.columns
-                columns[at] = pa.array(new, batch.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, names=keep)
-
-    return docs.mapInArrow(run, docs.schema)
+            for start, texts in text_slices(batch.column(text)):
+                part = batch.slice(start, len(texts))
+                new, marks = [], []
+                for t, entity, terms in zip(texts.to_pylist(), part.column(found).to_pylist(),
+                                            part.column(added).to_pylist(), strict=True):
+                    every = [s | {"disclosure": None} for s in entity]
+                    if terms:
+                        share = {x["term"]: x["disclosure"] for x in terms}
+                        every += [{"kind": TERM, "start": m.start(), "end": m.end(), "disclosure": share[w]}
+                                  for m in WORD.finditer(outside(t, spans_of(entity)))
+                                  if (w := m[0].lower()) in share]
+                    new.append(hide(t, every))
+                    marks.append(every)
+                columns = part.select(keep).columns
+                columns[at] = pa.array(new, columns[at].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, kind)], names=[*keep, spans])
+
+    schema = T.StructType([docs.schema[c] for c in keep]).add(spans, T.DataType.fromDDL(MARKED))
+    return docs.mapInArrow(run, schema)
 
 
 def hide(text, spans):

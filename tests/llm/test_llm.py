@@ -308,3 +308,27 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct()
     assert 0.5 * docs.count() < packed.count() < docs.count()
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_terms_far_from_the_entity_and_of_few_documents(spark):
+    from pyspark.sql import functions as F
+
+    filler = " ".join(["plain words here"] * 10)
+    rows = [(i, f"{filler} nothing") for i in range(200)]
+    rows += [(300 + i, f"zorblax {filler} a{i}@b.org {filler} Zorblax") for i in range(2)]
+    rows += [(400, f"{filler} quux {filler} c@d.org"), (401, f"{filler} zorblax +1 (212) 555-8457")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    private, clean = privacy.sanitise(docs)
+    got = {r.doc_id: r for r in private.collect()}
+    assert sorted(got) == [300, 301, 400, 401] and clean.count() == 200
+    for r in got.values():
+        # Far words go, in documents of another kind too; common words stay.
+        assert "zorblax" not in r.text.lower() and "quux" not in r.text and filler in r.text
+    assert [(s.kind, s.start, s.end) for s in got[300].spans] == [
+        ("email", len(filler) + 9, len(filler) + 17), ("term", 0, 7), ("term", 2 * len(filler) + 19, 2 * len(filler) + 26)]
+    low = {(k, n): spark.range(1).select(privacy.surely(F.lit(k), F.lit(n))).first()[0] for k, n in ((1, 1), (2, 3))}
+    assert low[1, 1] == pytest.approx(1 / (1 + 1.96 ** 2)) and 0 < low[2, 3] < 2 / 3
+
+
+def test_words_that_reach_into_entities():
+    assert privacy.outside("éa@b.dexé ab12.3.4.5cd", [(1, 8), (12, 20)]) == " " * 9 + " ab" + " " * 8 + "cd"
