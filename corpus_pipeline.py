@@ -30,14 +30,22 @@ def quality(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """Keeps the document with the smallest doc_id of each group of near duplicates.
 
-    Of rows with one doc_id that would all stay, one stays.
+    Of rows that share a doc_id and a set of shingles one stays; different texts of one
+    doc_id are judged each by its own.  Of rows without a doc_id, or of blank ones, only
+    those equal in doc_id and text are repeats.
     """
-    kept = stored(neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct())
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    if repeated.limit(1).count():
-        chosen = chosen.dropDuplicates(["doc_id"])
-    return chosen
+    decided = neardup.judged(docs).filter("kept")
+    by_text = F.when(F.col("doc_id").isNull() | F.col("digest").isNull(), F.col("text_hash"))
+    kept = stored(decided.groupBy("doc_id", "digest", by_text.alias("_by_text")).agg(
+        F.min("text_hash").alias("text_hash"), F.count("*").alias("n")))
+    label = free_name(docs, "_text_hash")
+    of = kept.select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash"))
+    hashed = docs.withColumn(label, F.xxhash64("text"))
+    chosen = hashed.join(of, hashed["doc_id"].cast("long").eqNullSafe(of["_of"])
+                         & (hashed[label] == of["_hash"]), "left_semi")
+    if kept.filter("n > 1").limit(1).count():
+        chosen = chosen.dropDuplicates(["doc_id", label])
+    return chosen.drop(label)
 
 
 def personal_data(spark, docs, sf_dir):

@@ -23,7 +23,7 @@ join components.
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plyclock.llm.common import stored, text_slices
+from plyclock.llm.common import stored, text_slices, with_row_key
 
 WORDS = 5
 CHUNKS, WIDTH = 18, 4
@@ -103,7 +103,7 @@ def signature(values, seeds, block=4096):
 
 
 def described(docs):
-    """``doc_id, n_shingles, digest, sig`` of every document."""
+    """``doc_id, text_hash, n_shingles, digest, sig`` of every document."""
     def run(batches):
         import xxhash
 
@@ -116,16 +116,23 @@ def described(docs):
                     digests.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
                     sigs.append(signature(values, seeds).tobytes() if len(values) else None)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, len(texts)), pa.array(sizes, pa.int64()),
+                    batch.column("doc_id").slice(at, len(texts)),
+                    batch.column("text_hash").slice(at, len(texts)), pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()),
-                ], names=["doc_id", "n_shingles", "digest", "sig"])
+                ], names=["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return with_text_hash(docs).mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
+
+
+def with_text_hash(docs):
+    """``doc_id, text_hash, text``: the hash tells apart texts that share a doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.xxhash64("text").alias("text_hash"), "text")
 
 
 def full_sets(docs):
-    """``id, items``: the full shingle sets, as binary."""
+    """``id, items``: the full shingle sets of ``id, text``, as binary."""
     def run(batches):
         for batch in batches:
             for at, texts in text_slices(batch.column("text")):
@@ -134,8 +141,7 @@ def full_sets(docs):
                     pa.array([v.tobytes() for v in shingle_sets(texts)], pa.binary()),
                 ], names=["id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
-        run, "id long, items binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, items binary")
 
 
 def filed(classes):
@@ -351,14 +357,23 @@ def near_duplicates(docs):
     words is one shingle; null, empty and blank texts have none and are linked with
     nothing.  Documents are linked from a similarity of 0.75 of their sets up.
     ``component_id`` is the smallest doc_id reachable over links and ``kept`` tells
-    whether it is the document's own.  Rows that share a
-    doc_id but not a text are judged each by its own; repeated rows stay repeated.  A null doc_id has no component and is kept.  An empty
-    table gives no rows; other columns are not looked at.
+    whether it is the document's own; of different sets of one component that share this
+    doc_id one is kept.  Rows that share a doc_id but not a text are judged each by its
+    own; repeated rows stay repeated.  A null doc_id has no component and is kept.  An
+    empty table gives no rows; other columns are not looked at.
     """
+    return judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs):
+    """``near_duplicates`` with the ``text_hash`` and the set's ``digest`` of each row."""
     found = stored(described(docs))
     members = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(members.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.min("sig").alias("sig")))
+    # Different sets may share their smallest doc_id, so classes get ids of their own; of
+    # each the row (doc_id, text_hash) stands for its set.
+    classes = stored(with_row_key(members.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"),
+        F.min("sig").alias("sig")), "id"))
     keys = filed(classes)
     shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")) \
         .filter("centre <> last").select("key", "centre")
@@ -371,28 +386,39 @@ def near_duplicates(docs):
     labels = None
     if met.limit(1).count():
         wanted = nearest.select(F.col("a").alias("id")).union(nearest.select("b")).distinct()
-        links = stored(confirmed(nearest, sets_of(docs, wanted)))
+        links = stored(confirmed(nearest, sets_of(docs, wanted, classes)))
         labels = components(links)
         seen = labelled(met.select("key", "id"), labels)
         mixed_keys = seen.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         open_keys = stored(seen.join(mixed_keys, "key"))
         compared = stored(to_compare(in_blocks(open_keys), classes))
-        sets = sets_of(docs, compared.select("id").distinct())
+        sets = sets_of(docs, compared.select("id").distinct(), classes)
         more = stored(crossing(compared, classes, sets))
         if more.limit(1).count():
             labels = components(links.unionByName(more))
-    owners = members.sparkSession.createDataFrame([], "id long, component long") if labels is None else labels
-    of_class = labelled(classes.select("digest", "id"), owners).select("digest", "component")
+    # Components are named by the smallest doc_id in them, and its class comes first.
+    of_class = classes.select("digest", "id", F.col("row.doc_id").alias("_least"))
+    if labels is None:
+        of_class = of_class.select("digest", F.col("_least").alias("component"), F.lit(True).alias("_first"))
+    else:
+        heads = labels.join(of_class.select("id", "_least", "digest"), "id").groupBy("component").agg(
+            F.min(F.struct("_least", "digest", "id")).alias("head"))
+        named = labels.join(heads, "component").select(
+            F.col("id").alias("_id"), F.col("head._least").alias("_named"),
+            (F.col("head.id") == F.col("id")).alias("_is_head"))
+        of_class = of_class.join(named, F.col("id") == F.col("_id"), "left").select(
+            "digest", F.coalesce("_named", "_least").alias("component"),
+            F.coalesce("_is_head", F.lit(True)).alias("_first"))
     result = found.join(of_class, "digest", "left").withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return result.select(
-        "doc_id", "n_shingles", "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        "doc_id", "text_hash", "digest", "n_shingles", "component_id",
+        (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+         & F.coalesce("_first", F.lit(True))).alias("kept"))
 
 
-def sets_of(docs, wanted):
-    """Full sets of the documents whose ids are wanted."""
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return full_sets(chosen)
+def sets_of(docs, wanted, classes):
+    """Full sets of the classes whose ids are wanted."""
+    rows = wanted.join(classes.select("id", "row.doc_id", "row.text_hash"), "id")
+    return full_sets(with_text_hash(docs).join(rows, ["doc_id", "text_hash"]))

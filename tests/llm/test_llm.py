@@ -332,3 +332,28 @@ def test_terms_far_from_the_entity_and_of_few_documents(spark):
 
 def test_words_that_reach_into_entities():
     assert privacy.outside("éa@b.dexé ab12.3.4.5cd", [(1, 8), (12, 20)]) == " " * 9 + " ab" + " " * 8 + "cd"
+
+
+def test_near_duplicates_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    def text(word, n=40):
+        return " ".join(f"{word}{i}" for i in range(n))
+
+    a, b, c, d = text("a"), text("b"), text("c"), text("d")
+    rows = [(None, a), (None, b), (None, b), (None, ""), (None, None),  # null ids are no repeats of each other
+            (3, c), (7, text("x")), (7, c + " more"),  # a copy of 3 under the id of another text
+            (8, d), (8, d.upper()), (8, d + " more"), (9, d),  # one of the near copies of 8
+            (11, a + " 1"), (11, b + " 1"), (11, b + " 1"), (12, a + " 1 2"), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(
+        docs.filter("doc_id IN (3, 7)")).collect()}
+    assert got == {(3, 36, 3, True), (7, 36, 7, True), (7, 37, 3, False)}
+    stay = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert stay.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in stay.collect()]
+    of_8 = [t for i, t in left if i == 8]
+    assert len(of_8) == 1 and of_8[0] in (d, d.upper(), d + " more")
+    assert sorted((x for x in left if x[0] != 8), key=repr) == sorted(
+        [(None, a), (None, b), (None, ""), (None, None), (3, c), (7, text("x")),
+         (11, a + " 1"), (11, b + " 1"), (12, "")], key=repr)
