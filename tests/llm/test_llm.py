@@ -357,3 +357,13 @@ def test_near_duplicates_with_null_and_shared_ids(spark):
     assert sorted((x for x in left if x[0] != 8), key=repr) == sorted(
         [(None, a), (None, b), (None, ""), (None, None), (3, c), (7, text("x")),
          (11, a + " 1"), (11, b + " 1"), (12, "")], key=repr)
+
+
+def test_training_rows_of_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(
+        (F.col("id") % 20).alias("doc_id"), F.lit("en").alias("lang"), F.lit("t").alias("text"))
+    got = [r.doc_id for r in langid.training_rows(docs, 10).collect()]
+    ranked = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(10).collect()]
+    assert sorted(got) == sorted(ranked)
