@@ -86,17 +86,18 @@ def learned_planes(sample, bits=BITS, rounds=30, seed=3):
 
 
 def fit_codes(rows, sample=SAMPLE, bits=BITS, k=20, recall=RECALL):
-    """Learn codes from at most ``sample`` rows, chosen by a hash of the id.
+    """Learn codes from at most ``sample`` rows of the commonest width, chosen by a hash of the id.
 
     None for an empty table.
     """
     import numpy as np
 
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not chosen:
+    commonest = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if not commonest:
         return None
-    width = len(chosen[0].v)
-    data = np.array([r.v for r in chosen if len(r.v) == width])
+    rows = rows.filter(F.size("v") == commonest.width)
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    data = np.array([r.v for r in chosen])
     norm = rows.select(F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))"))).first()[0]
     planes = learned_planes(lengthened(data, norm), bits)
     codes = Codes(planes, norm, bits)
@@ -187,7 +188,7 @@ def search(queries, rows, codes, k=20):
 def nearest(vectors, is_query, k=20, column="embedding"):
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows of each query.
 
-    Rows that are null, zero, not finite or of another width than the sample take no part, as
+    Rows that are null, zero, not finite or of another width than the commonest take no part, as
     queries or as neighbours.  Ties go to the smaller vec_id; rows that share the
     query's vec_id are not its neighbours.  A query that finds fewer than ``k`` within
     the radius is asked again without one, so it gets all there are.  An empty table

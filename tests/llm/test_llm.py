@@ -367,3 +367,13 @@ def test_training_rows_of_repeated_ids(spark):
     got = [r.doc_id for r in langid.training_rows(docs, 10).collect()]
     ranked = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(10).collect()]
     assert sorted(got) == sorted(ranked)
+
+
+def test_one_vector_of_another_width(spark):
+    from pyspark.sql import functions as F
+
+    least = spark.range(200).orderBy(F.xxhash64("id")).first().id
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(9 if i == least else 8)]) for i in range(200)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 20 = 0").collect()
+    assert len({r.query_id for r in got}) >= 9 and least not in {r.vec_id for r in got}
