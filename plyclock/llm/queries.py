@@ -3,8 +3,10 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plyclock.llm import ann, chat, langid, neardup, packing, planes, privacy, rules, sketch, tokens
+from plyclock.llm import ann, chat, langid, neardup, packing, phrases, pieces, planes, privacy, rules
+from plyclock.llm import sketch, tokens, variants
 from plyclock.llm.common import crc_mod3, documents
+from plyclock.llm.oracle import ORACLE  # noqa: F401
 
 
 def op1_multi_index(spark, sf_dir):
@@ -110,7 +112,26 @@ def op10_minhash_hamming(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_backtracking_pieces(spark, sf_dir):
+    coded = pieces.encode_documents(documents(spark, sf_dir), decoded="decoded", keep=["doc_id"])
+    return coded.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_pair_tiles(spark, sf_dir):
+    return phrases.mine_phrases(documents(spark, sf_dir))
+
+
+def op13_sorted_variants(spark, sf_dir):
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op11_backtracking_pieces": op11_backtracking_pieces,
+    "op12_pair_tiles": op12_pair_tiles,
+    "op13_sorted_variants": op13_sorted_variants,
     "op1_multi_index": op1_multi_index,
     "op7_disclosure": op7_disclosure,
     "op8_prefix_rendering": op8_prefix_rendering,
@@ -122,5 +143,3 @@ QUERIES = {
     "op5_bit_planes": op5_bit_planes,
     "op6_vector_best_fit": op6_vector_best_fit,
 }
-
-ORACLE = {}
