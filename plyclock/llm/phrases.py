@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from plyclock.llm.common import ranked, stored, text_slices
 
 #: Bytes of text that make a slice.
-SLICE_BYTES = 32_000_000
+SLICE_BYTES = 8_000_000
 #: Ids along the side of a tile, as a power of two.
 TILE = 9
 #: A tile is counted by direct address if it has a pair for so many of its cells.
@@ -119,6 +119,12 @@ def ints(value, kind="i4"):
     return np.frombuffer(value, kind)
 
 
+def rows_of(batch):
+    """The rows of a batch one after another, as a slice is large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def packed(keys):
     """Sorted keys as bytes that compress well."""
     import numpy as np
@@ -195,7 +201,7 @@ def counts_of_slices(slices, length, bundles):
         import numpy as np
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 words, left = ints(r["words"]), ints(r["lefts"])
                 keys, counts = pair_counts(*extended(words, left, length)[1:])
                 of = bundle_of(keys, bundles)
@@ -254,7 +260,7 @@ def with_phrases(slices, met, pairs, length):
 
         for batch in batches:
             out = {"slice": [], "pairs": []}
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 keys = unpacked(r["keys"])
                 found = np.array([(f["x"] << 32 | f["y"], f["id"]) for f in r["found"]], np.int64)
                 found = found[np.isin(found[:, 0], keys)]
@@ -268,7 +274,7 @@ def with_phrases(slices, met, pairs, length):
         import numpy as np
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 words, left = ints(r["words"]), ints(r["lefts"])
                 table = np.concatenate([ints(p, "i8").reshape(-1, 2) for p in r["pairs"]])
                 table = table[np.argsort(table[:, 0])]
@@ -314,7 +320,7 @@ def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
         import numpy as np
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in rows_of(batch):
                 # The last place is for the breaks, whose code is -1.
                 ids = np.full(r["size"] + 1, -1, np.int32)
                 for w in r["known"]:
