@@ -35,6 +35,9 @@ TOGETHER = 64
 #: Tiles are dealt to bundles, one for so many words.
 BUNDLE_WORDS = 1_000_000
 
+#: Frequent words are dealt to lists of about so many.
+LIST_WORDS = 20_000
+
 #: The marks that end a piece, and what lies between words.
 ENDS, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
@@ -92,7 +95,7 @@ def slices_of(docs, text, lang):
                 counts = np.bincount(codes[codes >= 0], minlength=len(words))
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array([task << 30 | made], pa.int64()), "lang": pa.array([name], pa.string()),
-                    "codes": pa.array([codes.tobytes()], pa.binary()),
+                    "codes": pa.array([packed(codes)], pa.binary()),
                     "words": pa.array([words], pa.list_(pa.string())),
                     "counts": pa.array([counts], pa.list_(pa.int64()))})
                 made += 1
@@ -113,29 +116,38 @@ def slices_of(docs, text, lang):
         run, "slice long, lang string, codes binary, words array<string>, counts array<long>")
 
 
-def ints(value, kind="i4"):
+def packed(values, kind="i4"):
+    """Integers as bytes, the lowest of all first, then the next: high bytes compress to nothing."""
     import numpy as np
 
-    return np.frombuffer(value, kind)
+    values = np.ascontiguousarray(values, kind)
+    return values.view("u1").reshape(-1, values.itemsize).T.tobytes()
 
 
-def rows_of(batch):
-    """The rows of a batch one after another, as a slice is large."""
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+def ints(value, kind="i4"):
+    import numpy as np
 
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(value, "u1").reshape(size, -1).T).view(kind).ravel()
 
-def packed(keys):
-    """Sorted keys as bytes that compress well."""
+
+def packed_keys(keys):
+    """Sorted keys by their differences."""
     import numpy as np
 
-    return np.diff(keys, prepend=np.int64(0)).tobytes()
+    return packed(np.diff(keys, prepend=np.int64(0)), "i8")
 
 
-def unpacked(value):
+def keys_of(value):
     return ints(value, "i8").cumsum()
 
 
+def rows_of(batch):
+    """The rows of a batch one after another, as a slice is large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def pair_counts(x, y, tile=TILE, dense=DENSE, tiles_at_once=8):
     """Distinct pairs as sorted keys ``x << 32 | y``, and the number of each."""
     import numpy as np
@@ -212,8 +224,8 @@ def counts_of_slices(slices, length, bundles):
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array([r["slice"]] * len(starts), pa.int64()),
                     "bundle": pa.array(of[starts], pa.int64()),
-                    "keys": pa.array([packed(keys[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    "counts": pa.array([counts[a:b].astype(np.int64).tobytes()
+                    "keys": pa.array([packed_keys(keys[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    "counts": pa.array([packed(counts[a:b], "i8")
                                         for a, b in zip(starts, ends, strict=True)], pa.binary())})
 
     return slices.mapInArrow(run, "slice long, bundle long, keys binary, counts binary")
@@ -228,14 +240,14 @@ def frequent_pairs(met, n_slices, least):
 
     def total(table):
         columns = table.select(["keys", "counts"]).to_pydict()
-        return added_up(np.concatenate([unpacked(k) for k in columns["keys"]]),
+        return added_up(np.concatenate([keys_of(k) for k in columns["keys"]]),
                         np.concatenate([ints(c, "i8") for c in columns["counts"]]))
 
     def merge(table):
         keys, counts = total(table)
         return pa.table({"bundle": table.column("bundle")[:1], "slice": table.column("part")[:1],
-                         "keys": pa.array([packed(keys)], pa.binary()),
-                         "counts": pa.array([counts.tobytes()], pa.binary())})
+                         "keys": pa.array([packed_keys(keys)], pa.binary()),
+                         "counts": pa.array([packed(counts, "i8")], pa.binary())})
 
     def finish(table):
         keys, counts = total(table)
@@ -254,36 +266,42 @@ def frequent_pairs(met, n_slices, least):
 
 def with_phrases(slices, met, pairs, length):
     """The slices with the ids of ``pairs`` in place of those of their first parts."""
+    import numpy as np
 
-    def chosen(batches):
-        import numpy as np
+    def gathered(table):
+        keys = np.asarray(table.column("x")) << 32 | np.asarray(table.column("y"))
+        order = np.argsort(keys)
+        return pa.table({"bundle": table.column("bundle")[:1],
+                         "known": pa.array([packed_keys(keys[order])], pa.binary()),
+                         "ids": pa.array([packed(np.asarray(table.column("id"))[order])], pa.binary())})
 
+    def chosen(batches):
         for batch in batches:
-            out = {"slice": [], "pairs": []}
+            out = {"slice": [], "known": [], "ids": []}
             for r in rows_of(batch):
-                keys = unpacked(r["keys"])
-                found = np.array([(f["x"] << 32 | f["y"], f["id"]) for f in r["found"]], np.int64)
-                found = found[np.isin(found[:, 0], keys)]
-                if len(found):
+                known = keys_of(r["known"])
+                use = np.isin(known, keys_of(r["keys"]), assume_unique=True)
+                if use.any():
                     out["slice"].append(r["slice"])
-                    out["pairs"].append(found.tobytes())
-            yield pa.RecordBatch.from_pydict(
-                {"slice": pa.array(out["slice"], pa.int64()), "pairs": pa.array(out["pairs"], pa.binary())})
+                    out["known"].append(packed_keys(known[use]))
+                    out["ids"].append(packed(ints(r["ids"])[use]))
+            yield pa.RecordBatch.from_pydict({
+                "slice": pa.array(out["slice"], pa.int64()), "known": pa.array(out["known"], pa.binary()),
+                "ids": pa.array(out["ids"], pa.binary())})
 
     def renamed(batches):
-        import numpy as np
-
         for batch in batches:
             for r in rows_of(batch):
                 words, left = ints(r["words"]), ints(r["lefts"])
-                table = np.concatenate([ints(p, "i8").reshape(-1, 2) for p in r["pairs"]])
-                table = table[np.argsort(table[:, 0])]
+                pairs = np.concatenate([keys_of(p["known"]) for p in r["pairs"]])
+                order = np.argsort(pairs)
+                pairs, ids = pairs[order], np.concatenate([ints(p["ids"]) for p in r["pairs"]])[order]
                 at, x, y = extended(words, left, length)
                 keys = x.astype(np.int64) << 32 | y
-                place = np.minimum(np.searchsorted(table[:, 0], keys), len(table) - 1)
-                known = table[place, 0] == keys
+                place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+                known = pairs[place] == keys
                 new = np.full(len(words), -1, np.int32)
-                new[at[known]] = table[place[known], 1]
+                new[at[known]] = ids[place[known]]
                 # A word outside of every frequent phrase of this length is in no longer one.
                 inside = np.zeros(len(words) + 1, np.int64)
                 np.add.at(inside, at[known], 1)
@@ -291,15 +309,75 @@ def with_phrases(slices, met, pairs, length):
                 words = np.where(np.cumsum(inside[:-1]) > 0, words, -1).astype(np.int32)
                 words, new = without_gaps(words, new)
                 yield pa.RecordBatch.from_pydict({
-                    "slice": pa.array([r["slice"]], pa.int64()), "words": pa.array([words.tobytes()], pa.binary()),
-                    "lefts": pa.array([new.tobytes()], pa.binary())})
+                    "slice": pa.array([r["slice"]], pa.int64()), "words": pa.array([packed(words)], pa.binary()),
+                    "lefts": pa.array([packed(new)], pa.binary())})
 
-    found = pairs.groupBy("bundle").agg(F.collect_list(F.struct("x", "y", "id")).alias("found"))
+    found = pairs.groupBy("bundle").applyInArrow(gathered, "bundle long, known binary, ids binary")
     per_slice = met.select("slice", "bundle", "keys").join(found, "bundle").mapInArrow(
-        chosen, "slice long, pairs binary").groupBy("slice").agg(F.collect_list("pairs").alias("pairs"))
+        chosen, "slice long, known binary, ids binary").groupBy("slice").agg(
+        F.collect_list(F.struct("known", "ids")).alias("pairs"))
     return slices.join(per_slice, "slice").mapInArrow(renamed, "slice long, words binary, lefts binary")
 
 
+def with_words(raw, vocabulary, lists):
+    """``slice, words, lefts``: the slices with the ids of the frequent words, -1 elsewhere.
+
+    The words of a slice meet the vocabulary in ``lists`` by their CRC-32, not one by one.
+    """
+    import zlib
+
+    import numpy as np
+
+    def dealt(batches):
+        for batch in batches:
+            for r in rows_of(batch):
+                of = np.array([zlib.crc32(w.encode()) % lists for w in r["words"]], np.int64)
+                for number in np.unique(of):
+                    at = np.flatnonzero(of == number)
+                    yield pa.RecordBatch.from_pydict({
+                        "slice": pa.array([r["slice"]], pa.int64()), "lang": pa.array([r["lang"]], pa.string()),
+                        "list": pa.array([int(number)], pa.int64()), "codes": pa.array([packed(at)], pa.binary()),
+                        "words": pa.array([[r["words"][i] for i in at]], pa.list_(pa.string()))})
+
+    def gathered(table):
+        return pa.table({
+            "lang": table.column("lang")[:1], "list": table.column("list")[:1],
+            "known": pa.array([table.column("phrase").to_pylist()], pa.list_(pa.string())),
+            "ids": pa.array([packed(np.asarray(table.column("id")))], pa.binary())})
+
+    def chosen(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                place = pa.compute.index_in(row.column("words").flatten(), value_set=row.column("known").flatten())
+                use = np.asarray(place.is_valid())
+                codes, ids = (ints(row.column(c)[0].as_py()) for c in ("codes", "ids"))
+                yield pa.RecordBatch.from_pydict({
+                    "slice": row.column("slice"), "codes": pa.array([packed(codes[use])], pa.binary()),
+                    "ids": pa.array([packed(ids[np.asarray(place.drop_null())])], pa.binary())})
+
+    def translated(batches):
+        for batch in batches:
+            for r in rows_of(batch):
+                # The last place is for the breaks, whose code is -1.
+                ids = np.full(r["size"] + 1, -1, np.int32)
+                for w in r["known"]:
+                    ids[ints(w["codes"])] = ints(w["ids"])
+                found, = without_gaps(ids[ints(r["codes"])])
+                value = pa.array([packed(found)], pa.binary())
+                yield pa.RecordBatch.from_pydict(
+                    {"slice": pa.array([r["slice"]], pa.int64()), "words": value, "lefts": value})
+
+    known = vocabulary.withColumn("list", F.crc32(F.col("phrase").cast("binary")) % lists) \
+        .groupBy("lang", "list").applyInArrow(gathered, "lang string, list long, known array<string>, ids binary")
+    per_slice = raw.select("slice", "lang", "words").mapInArrow(
+        dealt, "slice long, lang string, list long, codes binary, words array<string>") \
+        .join(known, ["lang", "list"]).mapInArrow(chosen, "slice long, codes binary, ids binary") \
+        .groupBy("slice").agg(F.collect_list(F.struct("codes", "ids")).alias("known"))
+    return raw.select("slice", "codes", F.size("words").alias("size")).join(per_slice, "slice") \
+        .mapInArrow(translated, "slice long, words binary, lefts binary")
+
+
 def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
     """``lang, phrase, k, f``: all phrases of 1 to ``longest`` words that occur ``least`` times
     in their language, and ``lang, n``, the number of its words.
@@ -316,24 +394,8 @@ def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
     frequent = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     vocabulary = ranked(frequent, F.desc("f"), "lang", "phrase")
 
-    def translated(batches):
-        import numpy as np
-
-        for batch in batches:
-            for r in rows_of(batch):
-                # The last place is for the breaks, whose code is -1.
-                ids = np.full(r["size"] + 1, -1, np.int32)
-                for w in r["known"]:
-                    ids[w["code"]] = w["id"]
-                found, = without_gaps(ids[ints(r["codes"])])
-                value = pa.array([found.tobytes()], pa.binary())
-                yield pa.RecordBatch.from_pydict(
-                    {"slice": pa.array([r["slice"]], pa.int64()), "words": value, "lefts": value})
-
-    known = words.join(vocabulary, ["lang", "phrase"]).groupBy("slice").agg(
-        F.collect_list(F.struct("code", "id")).alias("known"))
-    slices = stored(raw.select("slice", "codes", F.size("words").alias("size")).join(known, "slice")
-                    .mapInArrow(translated, "slice long, words binary, lefts binary"))
+    lists = max(1, math.ceil(vocabulary.count() / LIST_WORDS))
+    slices = stored(with_words(raw, vocabulary, lists))
 
     named = vocabulary.select("id", "lang", "phrase", "f")
     every = [named.withColumn("k", F.lit(1))]

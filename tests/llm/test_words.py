@@ -141,6 +141,7 @@ def test_phrases_by_brute_force(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE_BYTES", 2000)
     monkeypatch.setattr(phrases, "TOGETHER", 3)
     monkeypatch.setattr(phrases, "BUNDLE_WORDS", 500)
+    monkeypatch.setattr(phrases, "LIST_WORDS", 5)
     got = phrases.mine_phrases(docs, least=4, top=150).collect()
     assert sorted(tuple(r) for r in got) == plain_phrases(rows, 4, 5, 150)
     assert {r.lang for r in got} == {"und", "en", "de"}
