@@ -11,6 +11,7 @@ from plyclock.operators.extremes import extreme_moves, rating_extremes, score_ex
 from plyclock.operators.stats import outcome_histogram, outcome_labels, outcome_stats, viable
 from plyclock.operators.top5 import extremes_text, rank_means, rank_points, rating_bars
 from plyclock.operators.fits import (
+    beam_sine,
     best_sine,
     fit_line,
     fit_score_line,
@@ -23,7 +24,7 @@ from plyclock.operators.fits import (
 from plyclock.operators.fold import score_moves
 
 __all__ = [
-    "attach_times", "best_sine", "eligible_player_games", "extreme_moves",
+    "attach_times", "beam_sine", "best_sine", "eligible_player_games", "extreme_moves",
     "extremes_text", "fit_line", "fit_score_line", "fit_sine_grid",
     "join_moves_players", "line_at", "line_grid", "outcome_histogram",
     "outcome_labels", "outcome_stats", "outcome_values", "player_game_totals",

@@ -44,31 +44,35 @@ def fit_line(pairs, x, y, p_value=True):
 def fit_score_line(info, moves, perspective="player", p_value=True):
     """Line of relative move time over score, mates left out.
 
-    The base time is constant within a player-game, so the sums a line needs are
-    taken per player-game before the join and scaled by the base after it.  The
-    moves themselves are never shuffled.
+    The base time is constant within a player-game, so the moments a line needs are
+    taken per player-game before the join and scaled by the base after it.  The moves
+    themselves are never shuffled.  Moments are centred, within each player-game by its
+    own means and between them by about the overall ones, so scores that hardly differ
+    lose no digits.
     """
     scored = without_mates(with_score(timed_moves(moves), perspective))
-    sums = scored.filter(is_finite("move_time")).groupBy(*KEYS).agg(
-        F.expr("count(*) AS _n"),
-        F.expr("sum(score) AS _sx"), F.expr("sum(score * score) AS _sxx"),
-        F.expr("sum(move_time) AS _st"), F.expr("sum(move_time * move_time) AS _stt"),
-        F.expr("sum(score * move_time) AS _sxt"),
+    moments = scored.filter(is_finite("move_time")).groupBy(*KEYS).agg(
+        F.expr("regr_count(move_time, score) AS _n"),
+        F.expr("regr_avgx(move_time, score) AS _mx"), F.expr("regr_avgy(move_time, score) AS _my"),
+        F.expr("regr_sxx(move_time, score) AS _xx"), F.expr("regr_syy(move_time, score) AS _yy"),
+        F.expr("regr_sxy(move_time, score) AS _xy"),
     )
     players = counted_players(info).filter(f"base <> 0 AND {is_finite('base')}")
-    total = players.join(sums, KEYS, "inner").agg(
-        F.expr("sum(_copies * _n) AS n"),
-        F.expr("sum(_copies * _sx) AS _sx"),
-        F.expr("sum(_copies * _sxx) AS _sxx"),
-        F.expr("sum(_copies * _st / base) AS _sy"),
-        F.expr("sum(_copies * _stt / (base * base)) AS _syy"),
-        F.expr("sum(_copies * _sxt / base) AS _sxy"),
+    games = players.join(moments, KEYS, "inner").selectExpr(
+        "_copies * _n AS _w", "_mx", "_my / base AS _my", "_copies * _xx AS _xx",
+        "_copies * _yy / (base * base) AS _yy", "_copies * _xy / base AS _xy")
+    # Any point amid the means does; the exchanges below it are the same and run once.
+    amid = games.agg(F.struct(F.avg("_mx").alias("x"), F.avg("_my").alias("y")).alias("at")).scalar()
+    total = games.select("*", amid.getField("x").alias("_ax"), amid.getField("y").alias("_ay")).selectExpr(
+        "*", "_mx - _ax AS _dx", "_my - _ay AS _dy").agg(
+        F.expr("sum(_w) AS n"), F.expr("first(_ax) AS _ax"), F.expr("first(_ay) AS _ay"),
+        F.expr("sum(_w * _dx) AS _sx"), F.expr("sum(_w * _dy) AS _sy"),
+        F.expr("sum(_xx + _w * _dx * _dx) AS _sxx"), F.expr("sum(_yy + _w * _dy * _dy) AS _syy"),
+        F.expr("sum(_xy + _w * _dx * _dy) AS _sxy"),
     )
     centred = total.filter("n > 0").selectExpr(
-        "n", "_sx / n AS _x", "_sy / n AS _y",
-        "_sxx - _sx * _sx / n AS _xx",
-        "_syy - _sy * _sy / n AS _yy",
-        "_sxy - _sx * _sy / n AS _xy",
+        "n", "_ax + _sx / n AS _x", "_ay + _sy / n AS _y",
+        "_sxx - _sx * _sx / n AS _xx", "_syy - _sy * _sy / n AS _yy", "_sxy - _sx * _sy / n AS _xy",
     )
     return _line(centred, p_value)
 
@@ -208,3 +212,50 @@ def refine_sine(pairs, x, y, a=1.0, b=1.0, steps=100, tolerance=1e-10):
         "a double, b double, rss double, n bigint, var_a double, cov_ab double, var_b double, "
         "converged boolean, iterations int",
     )
+
+
+def beam_sine(pairs, x, y, b=1.0, reach=0.05, width=256, rounds=4):
+    """Least-squares ``a`` and ``b`` of ``a * sin(b * x)`` with ``b`` within ``reach``, one row.
+
+    Columns ``a, b, rss, n`` and the gradients ``grad_a, grad_b`` of half the residual sum.
+    For each ``b`` the best ``a`` is known, so only ``b`` is searched: every round is one
+    aggregate over ``width`` values at once and leaves the two steps around the best.  At the
+    end the zero of the gradient between them is taken, as the residual itself is too flat
+    to tell.  ``2 * reach / width`` must tell the waves of the residual apart, which are about
+    ``pi / max|x|`` wide.  The pairs are summed per distinct ``x`` once, into a scratch table.
+
+    Runs ``rounds + 1`` jobs over that table when called.
+    """
+    spark = pairs.sparkSession
+    per_x = scratch_table(spark, _sums_per_x(pairs, x, y))
+
+    def fits(values):
+        grid = ", ".join(f"{v!r}D" for v in values)
+        waves = per_x.selectExpr("*", f"explode(array({grid})) AS b").selectExpr(
+            "*", "sin(b * _x) AS _sin", "_x * cos(b * _x) AS _slope")
+        return sorted(waves.groupBy("b").agg(
+            F.expr("sum(_sy * _sin) AS ys"), F.expr("sum(_n * _sin * _sin) AS ss"),
+            F.expr("sum(_sy * _slope) AS yc"), F.expr("sum(_n * _sin * _slope) AS sc"),
+            F.expr("sum(_syy) AS yy"), F.expr("sum(_n) AS n"),
+        ).selectExpr(
+            "b", "coalesce(try_divide(ys, ss), 0D) AS a", "n",
+            "yy - coalesce(try_divide(ys * ys, ss), 0D) AS rss", "yc", "sc", "ys", "ss",
+        ).selectExpr("*", "a * ss - ys AS grad_a", "a * (a * sc - yc) AS grad_b").collect(), key=lambda r: r.b)
+
+    low, high = float(b) - reach, float(b) + reach
+    for _ in range(rounds):
+        step = (high - low) / width
+        found = fits([low + i * step for i in range(width)] + [high])
+        if not found:
+            raise ValueError("no finite pairs to fit")
+        at = min(range(len(found)), key=lambda i: (found[i].rss, i))
+        before, after = found[max(0, at - 1)], found[min(len(found) - 1, at + 1)]
+        low, high = before.b, after.b
+    # The zero of the gradient between the two, which is a straight line there.
+    best = found[at]
+    if before.grad_b < 0 < after.grad_b:
+        share = before.grad_b / (before.grad_b - after.grad_b)
+        best = fits([before.b + share * (after.b - before.b)])[0]
+    return spark.createDataFrame(
+        [(best.a, best.b, best.rss, best.n, best.grad_a, best.grad_b)],
+        "a double, b double, rss double, n bigint, grad_a double, grad_b double")

@@ -173,6 +173,53 @@ SINE = f""", {SCORE_XY},
                     yy - ys * ys / ss AS exact FROM waves)"""
 
 
+def p_value(name, xy):
+    """The tail of Student's t by the continued fraction of the incomplete beta function."""
+    return with_chess(f""", {xy}, line AS ({LINE}),
+    beta AS (
+      SELECT n, (n - 2) / 2.0 AS a0, (n - 2) / (n - 2 + t * t) AS x0
+      FROM (SELECT n, r * sqrt((n - 2) / ((1 - r) * (1 + r))) AS t FROM line)),
+    side AS (
+      SELECT n, x0 >= (a0 + 1) / (a0 + 2.5) AS turned,
+             CASE WHEN x0 < (a0 + 1) / (a0 + 2.5) THEN a0 ELSE 0.5 END AS a,
+             CASE WHEN x0 < (a0 + 1) / (a0 + 2.5) THEN 0.5 ELSE a0 END AS b,
+             CASE WHEN x0 < (a0 + 1) / (a0 + 2.5) THEN x0 ELSE 1 - x0 END AS x FROM beta),
+    lentz AS (
+      SELECT 0 AS m, n, turned, a, b, x, CAST(1 AS DOUBLE) AS c,
+             1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h, CAST(0 AS DOUBLE) AS last
+      FROM side
+      UNION ALL
+      SELECT m, n, turned, a, b, x, 1 + odd / c1, 1 / (1 + odd * d1),
+             h * d1 * c1 * (1 + odd / c1) / (1 + odd * d1), h
+      FROM (SELECT m + 1 AS m, n, turned, a, b, x, h, 1 + even / c AS c1, 1 / (1 + even * d) AS d1, odd
+            FROM (SELECT *, (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2)) AS even,
+                         -(a + m + 1) * (a + b + m + 1) * x / ((a + 2 * m + 2) * (a + 2 * m + 3)) AS odd
+                  FROM lentz WHERE abs(h - last) > 1e-15 * abs(h) AND m < 20000))),
+    tail AS (
+      SELECT n, turned, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * h / a AS part
+      FROM lentz QUALIFY row_number() OVER (ORDER BY m DESC) = 1)
+    SELECT '{name}' AS fit, n, round(CASE WHEN turned THEN 1 - part ELSE part END, 8) AS p FROM tail""") \
+        .replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def refined_sine(rounds=6, width=60):
+    """The best wave near b = 1: ever finer grids, then the zero of the slope at the best of the last."""
+    parts = [f", {SCORE_XY}, per_x AS (SELECT x, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM xy GROUP BY x), "
+             f"b0 AS (SELECT CAST(0.95 AS DOUBLE) AS lo, CAST(1.05 AS DOUBLE) AS hi)"]
+    sums = ("sum(sy * sin(b * x)) AS ys, sum(n * sin(b * x) * sin(b * x)) AS ss, sum(sy * x * cos(b * x)) AS yc, "
+            "sum(n * x * sin(b * x) * cos(b * x)) AS sc, sum(syy) AS yy, CAST(sum(n) AS BIGINT) AS n")
+    for i in range(rounds):
+        parts.append(f"""g{i} AS (SELECT lo + (hi - lo) * k / {width} AS b FROM b{i}, range({width + 1}) r(k)),
+    f{i} AS (SELECT b, yy - ys * ys / ss AS rss, ys / ss * (ys / ss * sc - yc) AS slope
+             FROM (SELECT b, {sums} FROM g{i}, per_x GROUP BY b)),
+    n{i} AS (SELECT *, lag(b) OVER (ORDER BY b) AS lo, lead(b) OVER (ORDER BY b) AS hi,
+                    lag(slope) OVER (ORDER BY b) AS s0, lead(slope) OVER (ORDER BY b) AS s1 FROM f{i}),
+    b{i + 1} AS (SELECT coalesce(lo, b) AS lo, coalesce(hi, b) AS hi, s0, s1 FROM n{i} ORDER BY rss, b LIMIT 1)""")
+    last = f"(SELECT lo + (hi - lo) * s0 / (s0 - s1) AS b FROM b{rounds})"
+    return with_chess(", ".join(parts) + f""", done AS (SELECT b, {sums} FROM {last}, per_x GROUP BY b)
+    SELECT round(ys / ss, 9) AS a, round(b, 8) AS b, round(yy - ys * ys / ss, 6) AS rss, n, 1 AS flat FROM done""")
+
+
 def rank_means(items):
     means = ", ".join(
         f"avg({x}) FILTER (NOT isnan({x})) AS m{i}" for i, x in enumerate(items, 1)
@@ -300,4 +347,6 @@ ORACLE = {
     "fit_score_sine_grid": with_chess(f"{SINE} SELECT b, a, rss FROM fits"),
     "fit_score_sine_best": with_chess(
         f"{SINE} SELECT b, a, rss FROM fits ORDER BY exact, abs(b), b DESC LIMIT 1"),
+    "fit_p_values": f"({p_value('rating', RATING_XY)}) UNION ALL ({p_value('score', SCORE_XY)})",
+    "fit_score_sine_refined": refined_sine(),
 }

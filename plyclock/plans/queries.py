@@ -317,14 +317,17 @@ def sine_grid(grid):
 
 
 def sine_refined(g):
+    """The best wave near the start of the published fit, b = 1, and whether it is a minimum."""
     pairs = ops.without_mates(g.score_pairs())
-    return ops.refine_sine(pairs, "score", "rel_time", 1.0, 1.0)
+    fit = ops.beam_sine(pairs, "score", "rel_time", 1.0, 0.05)
+    flat = "int(abs(grad_a) <= 1e-9 * n AND abs(grad_b) <= 1e-6 * n) AS flat"
+    return rounded(fit.selectExpr("a", "b", "rss", "n", flat), a=DIGITS, b=8, rss=6)
 
 
 def fit_p_values(g):
     fits = {"rating": g.rating_fit(True), "score": g.score_fit(True)}
     return sources.append_tables(
-        [fit.select(F.lit(name).alias("fit"), "n", "p") for name, fit in fits.items()]
+        [fit.select(F.lit(name).alias("fit"), "n", F.round("p", 8).alias("p")) for name, fit in fits.items()]
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from frames import info_frame, moves_frame, same
 from plyclock import operators as ops
+from plyclock.functions import two_sided_p
 from test_bruteforce import random_tables
 
 
@@ -98,15 +99,47 @@ def test_refinement_says_whether_it_converged(spark):
     assert not cut.converged and cut.iterations == 1
 
 
-def test_p_values_have_no_seam():
-    from plyclock.functions.ttest import _tail
+def tails(spark, pairs):
+    table = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pairs)], "i int, t double, df double")
+    shown = table.select("i", two_sided_p(F.col("t"), F.col("df")).alias("p"))
+    return [r.p for r in shown.orderBy("i").collect()]
 
+
+def test_p_values_have_no_seam(spark):
     for t in (0.01, 1.0, 10.0, 30.0):
-        below, at, above = (_tail(t, 1e7 + d) for d in (-1, 0, 1))
+        below, at, above, far = tails(spark, [(t, 1e7 - 1), (t, 1e7), (-t, 1e7 + 1), (t, 1e15)])
         assert below == pytest.approx(at, rel=1e-6) and above == pytest.approx(at, rel=1e-6)
-        assert _tail(t, 1e15) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
-    assert _tail(1.0, 1) == pytest.approx(0.5)
-    assert _tail(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6))
+        assert far == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+    one, two, none, sure, nan = tails(spark, [(1, 1), (2, 2), (1, 0), (-math.inf, 3), (math.nan, 3)])
+    assert one == pytest.approx(0.5) and two == pytest.approx(1 - 2 / math.sqrt(6))
+    assert (none, sure, nan) == (None, 0.0, None)
+
+
+def test_scores_that_hardly_differ_lose_no_digits(spark):
+    rng = random.Random(8)
+    info = info_frame(spark, [(f"g{g}", "w", "b", "1-0", 1500, 1600, "300+0") for g in range(30)])
+    rows = [(f"g{g}", "w" if n % 2 else "b", n, float(rng.randint(1, 50)), f"+{9000 + rng.random():.6f}")
+            for g in range(30) for n in range(3, 40)]
+    moves = moves_frame(spark, rows)
+    single = ops.without_mates(ops.relative_moves(info, moves, (), "white"))
+    a, b = ops.fit_line(single, "score", "rel_time").first(), ops.fit_score_line(info, moves, "white").first()
+    for name in ("slope", "intercept", "r", "std_err", "p"):
+        assert b[name] == pytest.approx(a[name], rel=1e-9), name
+
+
+def test_beam_finds_the_minimum_in_reach(spark):
+    rng = random.Random(3)
+    xs = [rng.uniform(-200, 200) for _ in range(2000)]
+    ys = [0.7 * math.sin(1.0123 * x) + rng.gauss(0, 0.05) for x in xs]
+    fit = ops.beam_sine(pairs_frame(spark, zip(xs, ys, strict=True)), "x", "y", 1.0, 0.05).first()
+    x, y = np.array(xs), np.array(ys)
+    rest = y - fit.a * np.sin(fit.b * x)
+    assert (fit.a, fit.b, fit.n) == (pytest.approx(0.7, abs=0.01), pytest.approx(1.0123, abs=1e-4), 2000)
+    assert fit.rss == pytest.approx(float(rest @ rest), rel=1e-9)
+    assert abs(fit.grad_a) < 1e-8 and abs(fit.grad_b) < 1e-6
+    assert abs(float(rest @ (fit.a * x * np.cos(fit.b * x)))) < 1e-5
+    with pytest.raises(ValueError):
+        ops.beam_sine(pairs_frame(spark, [(math.nan, 1)]), "x", "y")
 
 
 def test_scratch_folder_of_the_session_is_used(spark, tmp_path):
