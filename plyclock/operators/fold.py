@@ -9,10 +9,21 @@ is held, never a whole game, so a very long game costs time but not memory.
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def as_text(scores, size):
+    """One run's scores as an array of text, None where a score is missing."""
+    values = pd.Series(scores)
+    if len(values) != size:
+        raise ValueError(f"{len(values)} scores for {size} moves")
+    text = values.astype(str).to_numpy(object)
+    text[values.isna().to_numpy()] = None
+    return text
+
+
 def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep=()):
     """One score per move, as text: ``game_id, move_no, *keep, score``.
 
@@ -41,9 +52,8 @@ def score_moves(moves, new_game, inputs=("move",), score="centipawn_score", keep
             for start, end in pairwise([0, *cuts, len(ids)]):
                 if scorer is None or ids[start] != game:
                     game, scorer = ids[start], new_game()
-                got = scorer(rows.iloc[start:end])
-                scores.extend(None if s is None or s != s else str(s) for s in got)
-            yield batch[kept].assign(**{score: scores})
+                scores.append(as_text(scorer(rows.iloc[start:end]), end - start))
+            yield batch[kept].assign(**{score: np.concatenate(scores)})
 
     ordered = (
         moves.select(*columns)

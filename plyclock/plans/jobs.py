@@ -2,9 +2,10 @@
 
     python -m plyclock.plans.jobs Rating moves_path info_path out_path
 
-What several outputs share is written once as a Parquet profile in the output
-folder and read back, so a job scans the moves once per profile, later outputs
-start from small files, and a lost executor costs no more than one profile.
+A job reads its inputs once.  Where several outputs start from the moves, the timed moves
+with the columns the job needs, typed, are written once to the scratch folder and all
+outputs start from there; so are the games.  What several outputs share further on is
+written once as a Parquet profile in the output folder and read back.
 """
 
 import argparse
@@ -13,9 +14,28 @@ from pyspark.sql import SparkSession
 
 from plyclock import operators as ops
 from plyclock import sinks, sources
+from plyclock.operators.moves import KEYS
+from plyclock.session import scratch_table
 
 KINDS = ("Outcome", "Rating", "Score")
 
+#: Columns of moves and games from which the outputs of a job with several readers are made.
+STAGED = {
+    "Rating": ([*KEYS, "move_no", "move_time"],
+               ["game_id", "white", "black", "white_elo", "black_elo", "time_control"]),
+    "Score": ([*KEYS, "move_no", "move_time", "centipawn_score"],
+              ["game_id", "white", "black", "time_control"]),
+}
+
+
+def staged(spark, kind, moves, info):
+    """The inputs of a job, read once: ``(moves, info)`` from the scratch folder."""
+    if kind not in STAGED:
+        return moves, info
+    of_moves, of_info = STAGED[kind]
+    return (scratch_table(spark, ops.timed_moves(moves).select(*of_moves)),
+            scratch_table(spark, info.select(*of_info)))
+
 
 def run_job(spark, kind, moves, info, out, text=False, perspective="player",
             mode="errorifexists"):
@@ -27,6 +47,7 @@ def run_job(spark, kind, moves, info, out, text=False, perspective="player",
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
+    moves, info = staged(spark, kind, moves, info)
     paths = {}
 
     def path(name):

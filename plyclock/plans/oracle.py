@@ -256,7 +256,33 @@ TEXT_COLUMNS = (
     "5 AS n_fields, "
 )
 
+def job_outputs():
+    finite = "list_sum(list_filter({}, lambda x: isfinite(x)))"
+    outputs = [
+        ("Outcome", "AverageMoveTimes", "totals", "avg_value"), ("Outcome", "SumMoveTimes", "totals", "share_value"),
+        ("Rating", "AllMoveTimes", "rel", "rel_time"), ("Rating", "AverageMoveTime", "totals", "avg_value"),
+        ("Rating", "FastestMoveTimes", "lists", finite.format("t[1:5]")),
+        ("Rating", "SlowestMoveTimes", "lists", finite.format("t[-5:]")),
+        ("Score", "AllMoveTimes", "rel", "rel_time"),
+        ("Score", "FastestMoveTimes", "lists", finite.format("t[1:5]")),
+        ("Score", "SlowestMoveTimes", "lists", finite.format("t[-5:]")),
+    ]
+    return with_chess(" UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, '{name}' AS output, count(*) AS n, "
+        f"round(sum(v) FILTER (isfinite(v)), 6) AS total FROM (SELECT {value} AS v FROM {table})"
+        for kind, name, table, value in outputs))
+
+
 ORACLE = {
+    "job_outputs": job_outputs(),
+    "key_value_files": with_chess(
+        f"SELECT rating AS ranking, {shown('avg_value', 'avg_move_time')} FROM totals"),
+    "result_folders": with_chess(
+        ", appended AS (SELECT outcome, avg_value AS v FROM totals UNION ALL SELECT outcome, share_value FROM totals) "
+        f"SELECT outcome, {shown('v', 'value')} FROM appended"),
+    "raw_exports": with_chess(
+        "SELECT CAST(game_id AS VARCHAR) AS game_id, player, rating, move_no, player_score AS score, "
+        f"{shown('rel_time', 'rel_time')} FROM rel"),
     "scan_moves": with_chess(
         "SELECT game_id, player, move_no, move_time, centipawn_score FROM moves"),
     "scan_game_info": with_chess("SELECT * FROM info"),

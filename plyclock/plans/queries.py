@@ -16,7 +16,9 @@ from plyclock.functions import (
     parse_score,
 )
 from plyclock.operators.totals import CLOCK_SHARE
+from plyclock.plans.jobs import KINDS, run_job
 from plyclock.plans.projection import chess_game_info, chess_moves, chess_movetext
+from plyclock.schemas import GAME_INFO, MOVES, OUTCOME_VALUES
 from plyclock.session import scratch_path
 
 # Grids at which fits are reported.
@@ -331,7 +333,61 @@ def fit_p_values(g):
     )
 
 
+# Jobs and their files
+
+def job_outputs(g):
+    """All three jobs, and of each output the number of rows and the sum of its finite values."""
+    out = scratch_path(g.spark)
+    values = {"AllMoveTimes": "value", "AverageMoveTimes": "value", "SumMoveTimes": "value",
+              "AverageMoveTime": "value", "FastestMoveTimes": "times", "SlowestMoveTimes": "times"}
+    shown_rows = []
+    for kind in KINDS:
+        paths = run_job(g.spark, kind, g.moves, g.info, f"{out}/january")
+        for name in sorted(set(paths) & set(values)):
+            table = g.spark.read.parquet(paths[name])
+            column = {("Score", "value"): "rel_time", ("Score", "times"): "moves.rel_time"}.get(
+                (kind, values[name]), values[name])
+            if values[name] == "times":
+                column = f"aggregate(filter({column}, x -> abs(x) < double('Infinity')), 0D, (s, x) -> s + x)"
+            shown_rows.append(table.selectExpr(f"{column} AS v").selectExpr(
+                f"'{kind}' AS kind", f"'{name}' AS output", "count(*) AS n",
+                "round(sum(CASE WHEN abs(v) < double('Infinity') THEN v END), 6) AS total"))
+    return sources.append_tables(shown_rows)
+
+
+def key_value_files(g):
+    """Average times by rating as ``key,value`` text, read with names of the reader's choice."""
+    path = scratch_path(g.spark)
+    sinks.write_pairs(g.rating_values(), path)
+    return shown(sources.read_pairs(g.spark, path, "ranking int, avg_move_time double"), "avg_move_time")
+
+
+def result_folders(g):
+    """Two folders of part files, appended."""
+    paths = [scratch_path(g.spark) for _ in range(2)]
+    for path, total_clock in zip(paths, (False, True), strict=True):
+        sinks.write_pairs(g.outcome_values(total_clock), path)
+    return shown(sources.read_pairs(g.spark, paths, OUTCOME_VALUES), "value")
+
+
+def raw_exports(g):
+    """Moves and games as text with a header, found again by the names in it, and joined."""
+    folder = scratch_path(g.spark)
+    sinks.write_moves(g.moves, f"{folder}/january_moves.csv", fmt="csv")
+    g.info.write.option("header", True).csv(f"{folder}/january_game_info.csv")
+    moves = sources.read_moves(
+        g.spark, f"{folder}/january_moves.csv", columns={n: n for n in MOVES})
+    info = sources.read_game_info(
+        g.spark, f"{folder}/january_game_info.csv", columns={n: n for n in GAME_INFO})
+    rel = ops.relative_moves(info, moves, ("rating",), "player")
+    return shown(rel.select("game_id", "player", "rating", "move_no", "score", "rel_time"), "rel_time")
+
+
 QUERIES = {
+    "job_outputs": job_outputs,
+    "key_value_files": key_value_files,
+    "result_folders": result_folders,
+    "raw_exports": raw_exports,
     "scan_moves": scan_moves,
     "scan_game_info": scan_game_info,
     "typed_moves": typed_moves,

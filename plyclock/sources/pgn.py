@@ -8,9 +8,6 @@ from plyclock.functions import side_of_move
 TIME_PATTERN = r"(\d+\.\d+)"
 RESULTS = ["1-0", "0-1", "1/2-1/2", "*"]
 
-#: How deep variations may lie within variations.
-NESTING = 6
-
 
 def read_pgn(spark, path, newline="\n", id_tag=None):
     """A PGN archive, one row per game.
@@ -68,22 +65,39 @@ def first_ply(text):
     return F.coalesce(2 * number - F.when(black, 0).otherwise(1), F.lit(1))
 
 
+def without_variations(text):
+    """Movetext less all that stands in round brackets, at any depth; NULL if they do not pair.
+
+    One pass over the brackets and what lies between them, counting the depth.
+    """
+    part = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), F.lit(0))
+
+    def step(state, word):
+        depth, opens, closes = state["depth"], word == "(", word == ")"
+        return F.struct(
+            (depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            (state["broken"] | closes & (depth == 0)).alias("broken"),
+            F.when(closes, F.concat(state["out"], F.lit(" "))).when(opens | (depth != 0), state["out"])
+            .otherwise(F.concat(state["out"], word)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("broken"), F.lit("").alias("out"))
+    kept = F.aggregate(part, start, step, lambda s: F.when(~s["broken"] & (s["depth"] == 0), s["out"]))
+    return F.when(text.rlike("[()]"), kept).otherwise(text)
+
+
 def main_line(text):
     """The moves of a movetext in order: an array of ``(move, time)``.
 
     Comments, variations, annotation glyphs and marks, move numbers and the result are
     removed.  ``time`` is the first clock time among the comments that follow the move,
-    or empty.  Variations may be nested ``NESTING`` deep; a bracket that is left after
-    that, or has no partner, stops the job.
+    or empty.  NULL if a variation is not closed or not opened.
     """
     # Of a comment only its first time stays, so brackets in comments do not count.
     plain = F.regexp_replace(text, rf"\{{[^}}]*?{TIME_PATTERN}[^}}]*\}}", " {$1} ")
     plain = F.regexp_replace(plain, r"\{(?!\d+\.\d+\})[^}]*\}", " ")
-    for _ in range(NESTING):
-        plain = F.regexp_replace(plain, r"\([^()]*\)", " ")
+    plain = without_variations(plain)
     plain = F.regexp_replace(plain, r"\$\d+|[!?]+", " ")
     plain = F.regexp_replace(plain, r"(?<![\d.{])\d+\.+(?!\d)", " ")
-    plain = F.when(plain.rlike("[()]"), F.raise_error(F.lit("unbalanced variation"))).otherwise(plain)
     # A comment before the first move is taken whole, and gives an empty move.
     word = F.lit(r"\{[^}]*\}|([^\s{}]+)\s*(?:\{([^}]*)\})?")
     both = F.arrays_zip(
@@ -92,28 +106,43 @@ def main_line(text):
     return F.filter(both, lambda w: (w["move"] != "") & ~w["move"].isin(RESULTS))
 
 
-def _plies(games, game_id, text):
+def broken_games(games, text="movetext"):
+    """The games whose movetext has a bracket without a partner, as they are."""
+    return games.filter(F.col(text).isNotNull() & main_line(F.col(text)).isNull())
+
+
+def _plies(games, game_id, text, on_bad):
+    line = main_line(F.col(text))
+    if on_bad == "fail":
+        line = F.when(line.isNull() & F.col(text).isNotNull(), F.raise_error(
+            F.concat(F.lit("unbalanced variation in game "), F.col(game_id).cast("string")))).otherwise(line)
+    elif on_bad != "skip":
+        raise ValueError(f"unknown on_bad: {on_bad}")
     numbered = games.select(
         F.col(game_id).alias("game_id"),
         first_ply(F.col(text)).alias("_first"),
-        F.posexplode(main_line(F.col(text))).alias("_pos", "_ply"),
+        F.posexplode(line).alias("_pos", "_ply"),
     )
     return numbered.selectExpr("game_id", "_first + _pos AS move_no", "_ply.move", "_ply.time")
 
 
-def clock_times(games, game_id="game_id", text="movetext"):
+def clock_times(games, game_id="game_id", text="movetext", on_bad="fail"):
     """One row per clock time: ``(game_id, move_no, move_time)``.
 
     A time belongs to the move of the main line that it follows; a move without one
     has no row, and the times of variations are left out.  A row may be a whole game
     or any run of its moves, because numbering starts at the ply its text opens with;
-    long games can therefore be cut into several rows.
+    long games can therefore be cut into several rows.  A game whose brackets do not pair
+    stops the job, or with ``on_bad="skip"`` gives no rows; ``broken_games`` lists those.
     """
-    return _plies(games, game_id, text).filter("time <> ''").selectExpr(
+    return _plies(games, game_id, text, on_bad).filter("time <> ''").selectExpr(
         "game_id", "move_no", "double(time) AS move_time")
 
 
-def pgn_moves(games, game_id="game_id", text="movetext"):
-    """One row per move of the main line: ``(game_id, move_no, side, move)``."""
-    return _plies(games, game_id, text).selectExpr(
+def pgn_moves(games, game_id="game_id", text="movetext", on_bad="fail"):
+    """One row per move of the main line: ``(game_id, move_no, side, move)``.
+
+    For ``on_bad`` see ``clock_times``.
+    """
+    return _plies(games, game_id, text, on_bad).selectExpr(
         "game_id", "move_no", f"{side_of_move('move_no')} AS side", "move")

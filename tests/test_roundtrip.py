@@ -114,6 +114,21 @@ def test_one_reading_of_movetext(spark):
         sources.pgn_moves(games.selectExpr("game_id", "'1. e4 (1. d4' AS movetext")).collect()
 
 
+def test_variations_at_any_depth(spark):
+    deep = "1. e4 " + "(1. d4 {0.5} " * 50 + "d5" + " )" * 50 + " {2.5} e5 (1... c5) *"
+    rows = [("deep", deep), ("open", "1. e4 (1. d4"), ("closed", "1. e4 ) e5"), ("turned", "1. e4 )( e5"),
+            ("none", None), ("blank", ""), ("comment", "1. e4 {:-) 1.5} e5")]
+    games = spark.createDataFrame(rows, "game_id string, movetext string")
+    moves = sources.pgn_moves(games, on_bad="skip").collect()
+    assert sorted((r.game_id, r.move_no, r.move) for r in moves) == [
+        ("comment", 1, "e4"), ("comment", 2, "e5"), ("deep", 1, "e4"), ("deep", 2, "e5")]
+    times = sources.clock_times(games, on_bad="skip").collect()
+    assert sorted((r.game_id, r.move_no, r.move_time) for r in times) == [("comment", 1, 1.5), ("deep", 1, 2.5)]
+    assert {r.game_id for r in sources.broken_games(games).collect()} == {"open", "closed", "turned"}
+    with pytest.raises(Exception, match="unbalanced variation in game turned"):
+        sources.clock_times(games.filter("game_id = 'turned'")).collect()
+
+
 def test_comments_to_the_end_of_a_line(spark):
     record = '[Event "x"]\n\n1. e4 ; a (comment\ne5 {x; y 1.5} 2. Nf3 *'
     games = sources.pgn_games(spark.createDataFrame([(record,)], "value string"))
@@ -271,6 +286,24 @@ def test_jobs(spark, exports, tmp_path, text):
         run_job(spark, "Other", moves, info, out)
 
 
+@pytest.mark.parametrize("kind", KINDS)
+def test_jobs_read_their_inputs_once(spark, tmp_path, kind):
+    moves_frame(spark, MOVES).write.parquet(str(tmp_path / "moves"))
+    info_frame(spark, INFO).write.parquet(str(tmp_path / "info"))
+
+    def counted(name, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        table = spark.read.parquet(str(tmp_path / name))
+        return table.mapInArrow(run, table.schema)
+
+    read = {name: spark.sparkContext.accumulator(0) for name in ("moves", "info")}
+    run_job(spark, kind, counted("moves", read["moves"]), counted("info", read["info"]), str(tmp_path / "out"))
+    assert {name: seen.value for name, seen in read.items()} == {"moves": len(MOVES), "info": len(INFO)}
+
+
 def test_fold_keeps_state_across_batches(spark):
     rows = [(f"g{g}", n, float(g + n)) for g in range(5) for n in range(1, 80)]
     moves = spark.createDataFrame(rows, "game_id string, move_no int, move_time double")
