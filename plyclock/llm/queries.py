@@ -34,8 +34,7 @@ def op3_scaled_sketch(spark, sf_dir):
 
 def op4_tree_bpe(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = tokens.encode_documents(docs, keep=["doc_id"])
-    return tokens.decode_documents(coded).select(
+    return tokens.encode_documents(docs, keep=["doc_id"], decoded="decoded_text").select(
         "doc_id", F.floor(F.length("token_ids") / 4).alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"))

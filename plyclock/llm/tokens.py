@@ -295,15 +295,20 @@ def binary_column(flat, sizes):
         [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def _encode_batches(path, text, ids, keep):
+def _encode_batches(path, text, ids, keep, decoded):
     def run(batches):
         encoder = kept_encoder(path)
+        decoder = Decoder(path, encoder.tokenizer) if decoded else None
         for batch in batches:
             for at, texts in text_slices(batch.column(text)):
                 flat, sizes = encoder.encode(texts)
                 part = batch.slice(at, len(texts)).select(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, binary_column(flat, sizes)], names=[*keep, ids])
+                coded = binary_column(flat, sizes)
+                columns, names = [*part.columns, coded], [*keep, ids]
+                if decoded:
+                    columns.append(decoder.decode(coded))
+                    names.append(decoded)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
@@ -337,10 +342,12 @@ def _join_pieces(path, key, number, text, ids):
 
 
 def encode_documents(docs, path=None, text="text", ids="token_ids", keep=None,
-                     piece_chars=PIECE_CHARS):
+                     piece_chars=PIECE_CHARS, decoded=None):
     """Add the ids of every whole text as little-endian unsigned 32-bit integers.
 
-    ``keep`` names the columns to carry along (default: all).  Null and empty texts
+    ``keep`` names the columns to carry along (default: all).  ``decoded`` names a further
+    column for the text that the ids decode to, made in the same pass, with the same
+    tokenizer.  A name that a kept column has already raises.  Null and empty texts
     get no ids; repeated rows stay repeated; an empty table stays empty; columns of
     other names are not looked at.  Texts above ``piece_chars`` are halved into
     pieces that other tasks encode, and joined again; each is then one group, no
@@ -348,13 +355,16 @@ def encode_documents(docs, path=None, text="text", ids="token_ids", keep=None,
     """
     path = path or tokenizer_path()
     keep = list(docs.columns if keep is None else keep)
-    if ids.lower() in {c.lower() for c in keep}:
-        raise ValueError(f"the table already has a column {ids}")
+    for name in [ids, *([decoded] if decoded else [])]:
+        if name.lower() in {c.lower() for c in keep}:
+            raise ValueError(f"the table already has a column {name}")
     columns = list(dict.fromkeys([*keep, text]))
     docs = docs.select(*columns)
     schema = T.StructType([*docs.select(*keep).schema, T.StructField(ids, T.BinaryType())])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
     is_long = F.coalesce(F.length(text), F.lit(0)) > piece_chars
-    short = docs.filter(~is_long).mapInArrow(_encode_batches(path, text, ids, keep), schema)
+    short = docs.filter(~is_long).mapInArrow(_encode_batches(path, text, ids, keep, decoded), schema)
 
     key, number, piece = (free_name(docs, c) for c in ("_row", "_piece", "_text"))
     # Written once: a key made anew for each use could differ between them.
@@ -370,12 +380,18 @@ def encode_documents(docs, path=None, text="text", ids="token_ids", keep=None,
         f"`{key}` long, `{number}` int, `{piece}` string, _ids binary, _starts binary, _ends binary")
     whole = coded.groupBy(key).applyInArrow(
         _join_pieces(path, key, number, piece, ids), f"`{key}` long, `{ids}` binary")
-    return short.unionByName(long.select(key, *keep).join(whole, key).select(*keep, ids))
+    long = long.select(key, *keep).join(whole, key).select(*keep, ids)
+    return short.unionByName(decode_documents(long, path, ids, decoded) if decoded else long)
 
 
 def decode_documents(docs, path=None, ids="token_ids", text="decoded_text"):
-    """Add the text that the tokenizer makes of the ids; null ids give null."""
+    """Add the text that the tokenizer makes of the ids; null ids give null.
+
+    A name that the table has already raises.
+    """
     path = path or tokenizer_path()
+    if free_name(docs, text) != text:
+        raise ValueError(f"the table already has a column {text}")
     keep = docs.columns
     schema = T.StructType([*docs.schema, T.StructField(text, T.StringType())])
 
@@ -398,8 +414,8 @@ class Decoder:
     itself, text by text.
     """
 
-    def __init__(self, path):
-        self.tokenizer = load_tokenizer(path)
+    def __init__(self, path, tokenizer=None):
+        self.tokenizer = tokenizer or load_tokenizer(path)
         self.plain = self.tokenizer.decoder is None
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         words = [self.tokenizer.id_to_token(i) for i in range(size)]
