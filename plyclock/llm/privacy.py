@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data.
 
 *Protected entities* are e-mail addresses, IP addresses, payment cards and phone
-numbers, found by fixed patterns.  A *term*, a run of letters in lower case outside of
-every entity, can reveal an entity of its document, however far from it.  How strongly
+numbers, found by fixed patterns.  A *term*, a run of letters and digits in lower case
+outside of every entity, can reveal an entity of its document, however far from it.  How strongly
 is estimated from the corpus: with N documents, n(e) of them holding an entity of kind
 e, n(t) holding the term and n(e, t) holding both,
 
@@ -15,7 +15,8 @@ those few can tell; no number of documents is asked for.  A term that carries
 in a document with entities, of whatever kind, and removed from ``REMOVAL`` on.
 Documents without an entity are left as they are.
 
-Entities are replaced by the name of their kind in brackets.
+Entities are replaced by the name of their kind in brackets, generalised terms by their
+class: ``CODE`` with a digit in it, ``NAME`` with a capital first, ``TERM`` otherwise.
 """
 
 import math
@@ -31,8 +32,10 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CONFIDENCE = 1.96
 DISCLOSURE, REMOVAL = 0.5, 0.9
-#: Bits of the filter that tells which words need counting; its size is fixed.
-FILTER_BITS = 1 << 22
+#: Bits a term, and bits at most, of the filter that tells which words need counting.
+FILTER_BITS, MOST_BITS = 16, 1 << 24
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 400_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,7 +45,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"[^\W\d_]+")
+WORD, LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^\W\d_]+")
 
 SPAN = "struct<kind:string,start:int,end:int>"
 MARKED = "array<struct<kind:string,start:int,end:int,disclosure:double>>"
@@ -93,14 +96,14 @@ def entities(text):
 
 
 def outside(text, spans):
-    """The text with blanks for the spans and for every word that reaches into one."""
+    """The text with blanks for the spans and for all letters that reach into one."""
     out, free = [], 0
     for start, end in sorted(spans):
         start, end = max(start, free), max(end, free)
         if start < end:
-            while start > free and WORD.fullmatch(text[start - 1:start + 1]):
+            while start > free and LETTERS.fullmatch(text[start - 1:start + 1]):
                 start -= 1
-            while end < len(text) and WORD.fullmatch(text[end - 1:end + 1]):
+            while end < len(text) and LETTERS.fullmatch(text[end - 1:end + 1]):
                 end += 1
             out += [text[free:start], " " * (end - start)]
             free = end
@@ -129,27 +132,29 @@ def with_entities(docs, spans, text="text", found_only=None):
     return docs.mapInArrow(run, schema)
 
 
-def place_in_filter(term):
+def place_in_filter(term, bits):
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(term) % FILTER_BITS
+    return xxhash.xxh3_64_intdigest(term) % bits
 
 
 def term_filter(terms):
-    """A bit map of fixed size of ``terms`` (one column), broadcast: what it lets through by
-    chance falls out in a join."""
+    """A bit map of ``terms`` (one column), sized by their number up to ``MOST_BITS`` and
+    broadcast: what it lets through by chance falls out in a join."""
     import numpy as np
 
+    bits = min(MOST_BITS, 1 << max(12, (FILTER_BITS * terms.count()).bit_length()))
+
     def places(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
-                "place": pa.array([place_in_filter(t) for t in batch.column("term").to_pylist()], pa.int64())})
+                "place": pa.array([place_in_filter(t, bits) for t in batch.column("term").to_pylist()], pa.int64())})
 
-    # One row per 64 places, so no more than FILTER_BITS / 64 of them.
+    # One row per 64 places, so no more than MOST_BITS / 64 of them.
     held = terms.select("term").mapInArrow(places, "place long").groupBy(
         F.floor(F.col("place") / 64).alias("at")).agg(
         F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("bits")).collect()
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap = np.zeros(bits // 64, np.int64)
     for r in held:
         bitmap[r["at"]] = r["bits"]
     return terms.sparkSession.sparkContext.broadcast(bitmap)
@@ -164,7 +169,8 @@ class Terms:
     def of_chunk(self, chunk):
         found = [w.lower() for w in WORD.findall(chunk)]
         if self.wanted is not None and found:
-            places = [place_in_filter(w) for w in found]
+            bits = 64 * len(self.wanted)
+            places = [place_in_filter(w, bits) for w in found]
             found = [w for w, x in zip(found, places, strict=True) if (int(self.wanted[x >> 6]) >> (x & 63)) & 1]
         return tuple(found)
 
@@ -227,23 +233,34 @@ def private_counts(private, spans, text="text"):
 
 
 def clean_counts(docs, terms, text="text"):
-    """In how many rows without an entity each of ``terms`` (one column, distinct) occurs: ``term, n_clean``."""
+    """``term, n_clean``: in how many rows without an entity each of ``terms`` (one column,
+    distinct) occurs, and perhaps some other terms.
+
+    A task adds up what it finds before it hands it on.
+    """
     sent = term_filter(terms)
 
     def run(batches):
         import numpy as np
 
-        seen = Terms(sent.value)
+        def handed_on(counts):
+            return pa.RecordBatch.from_pydict({
+                "term": pa.array(list(counts), pa.string()), "n_clean": pa.array(list(counts.values()), pa.int64())})
+
+        seen, counts = Terms(sent.value), {}
         for batch in batches:
             for _, texts in text_slices(batch.column(text)):
                 clean = [not entities(t) for t in texts.to_pylist()]
                 _, code, found = seen.by_row(texts.filter(pa.array(clean, pa.bool_())))
-                yield pa.RecordBatch.from_pydict({
-                    "term": pa.array(found, pa.string()),
-                    "n_clean": pa.array(np.bincount(code, minlength=len(found)).astype(np.int64))})
+                for term, n in zip(found, np.bincount(code, minlength=len(found)).tolist(), strict=True):
+                    counts[term] = counts.get(term, 0) + n
+                if len(counts) > HELD_TERMS:
+                    yield handed_on(counts)
+                    counts = {}
+        yield handed_on(counts)
 
     return docs.select(text).mapInArrow(run, "term string, n_clean long") \
-        .groupBy("term").agg(F.sum("n_clean").alias("n_clean")).join(terms, "term", "left_semi")
+        .groupBy("term").agg(F.sum("n_clean").alias("n_clean"))
 
 
 def surely(n_both, n):
@@ -348,6 +365,11 @@ def masked(docs, text, found, added, spans):
     return docs.mapInArrow(run, schema)
 
 
+def class_of(term):
+    """What a term is generalised to."""
+    return "CODE" if DIGIT.search(term) else "NAME" if term[:1].isupper() else "TERM"
+
+
 def hide(text, spans):
     """Spans that overlap are replaced together, by the name of the first."""
     out, free, last = [], 0, -1
@@ -355,6 +377,6 @@ def hide(text, spans):
         if s["start"] >= last:
             out.append(text[free:s["start"]])
             if s["kind"] != TERM or s["disclosure"] < REMOVAL:
-                out.append(f"[{s['kind'].upper()}]")
+                out.append(f"[{s['kind'].upper() if s['kind'] != TERM else class_of(text[s['start']:s['end']])}]")
         last = free = max(last, s["end"])
     return "".join([*out, text[free:]])
