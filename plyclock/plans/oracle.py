@@ -274,6 +274,13 @@ def job_outputs():
 
 
 ORACLE = {
+    "quarantined_moves": with_chess("""
+    SELECT game_id, move_no, concat_ws(',', CASE WHEN move_no % 9 = 4 THEN 'move_time' END,
+             CASE WHEN move_no % 13 = 6 THEN 'centipawn_score' END) AS wrong,
+           CASE WHEN move_no % 9 = 4 THEN 'x' ELSE '' END || CAST(CAST(move_time AS BIGINT) AS VARCHAR) AS raw_time,
+           (SELECT count(*) FROM moves WHERE NOT (move_no % 9 = 4 OR move_no % 13 = 6)) AS n_good,
+           (SELECT count(*) FROM moves WHERE move_no % 9 = 4 OR move_no % 13 = 6) AS n_bad
+    FROM moves WHERE move_no % 9 = 4 OR move_no % 13 = 6"""),
     "job_outputs": job_outputs(),
     "key_value_files": with_chess(
         f"SELECT rating AS ranking, {shown('avg_value', 'avg_move_time')} FROM totals"),

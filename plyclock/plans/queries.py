@@ -383,7 +383,21 @@ def raw_exports(g):
     return shown(rel.select("game_id", "player", "rating", "move_no", "score", "rel_time"), "rel_time")
 
 
+def quarantined_moves(g):
+    """Moves as text, some of them damaged: the bad ones, with what is wrong and how many there are."""
+    text = g.moves.selectExpr(
+        "game_id", "player", "string(move_no) AS move_no",
+        "CASE WHEN move_no % 9 = 4 THEN concat('x', int(move_time)) ELSE string(int(move_time)) END AS move_time",
+        "CASE WHEN move_no % 13 = 6 THEN 'none' ELSE centipawn_score END AS centipawn_score")
+    tagged = sources.typed_moves(text, on_bad="tag")
+    _, bad, counts = sinks.quarantine(tagged, scratch_path(g.spark))
+    return bad.select(
+        "game_id", "move_no", F.array_join("bad", ",").alias("wrong"), F.col("raw.move_time").alias("raw_time"),
+        F.lit(counts["good"]).alias("n_good"), F.lit(counts["bad"]).alias("n_bad"))
+
+
 QUERIES = {
+    "quarantined_moves": quarantined_moves,
     "job_outputs": job_outputs,
     "key_value_files": key_value_files,
     "result_folders": result_folders,

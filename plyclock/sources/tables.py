@@ -66,6 +66,9 @@ def typed_moves(raw, on_bad="fail", need=None):
     columns in ``need`` decide (default: all that have a check), so a job that reads no
     scores keeps moves without one by leaving the score out.  The other columns stop
     the job where they are used and do not parse, as under "fail".
+    ``on_bad="tag"`` returns one table in one pass: values that do not parse are NULL,
+    ``bad`` lists the columns they are in, and ``raw`` has such a row's texts.
+    ``sinks.quarantine`` writes both kinds of row apart and counts them on the way.
     Columns that already have the type are left alone, so filters on them still
     reach a Parquet scan.
     """
@@ -96,12 +99,19 @@ def _typed(raw, types, checks, on_bad, need):
     types = {n: to for n, to in types.items() if n in current and current[n] != to}
     if on_bad == "fail":
         return raw.withColumns({n: F.expr(strict_cast(n, to, n)) for n, to in types.items()})
-    if on_bad != "quarantine":
+    if on_bad not in ("quarantine", "tag"):
         raise ValueError(f"unknown on_bad: {on_bad}")
     parses = [f"({check}) IS NOT NULL" for n, check in checks.items() if n in current and n in need]
     good = " AND ".join(parses) or "true"
     cast = {n: F.expr(f"try_cast({n} AS {to})" if n in need else strict_cast(n, to, n))
             for n, to in types.items()}
+    if on_bad == "tag":
+        wrong = ", ".join(f"CASE WHEN ({check}) IS NULL THEN '{n}' END"
+                          for n, check in checks.items() if n in current and n in need)
+        columns = ", ".join(f"`{n}`" for n in raw.columns)
+        bad = F.expr(f"array_compact(array({wrong}))" if wrong else "cast(array() AS array<string>)")
+        tagged = raw.withColumns({"bad": bad, "raw": F.expr(f"struct({columns})")})
+        return tagged.withColumns(cast).withColumn("raw", F.when(F.size("bad") > 0, F.col("raw")))
     return raw.filter(good).withColumns(cast), raw.filter(f"NOT ({good})")
 
 

@@ -169,6 +169,39 @@ def test_broken_list_text_gives_null(spark):
     assert got[1].times == [1.0, 2.0, None, None, None]
 
 
+def test_tagged_rows_are_written_apart_in_one_pass(spark, tmp_path):
+    rows = [("g", "a", str(i), "x" if i % 4 == 0 else "1.5", None if i % 6 == 0 else "+3") for i in range(1, 25)]
+    raw = spark.createDataFrame(
+        rows, "game_id string, player string, move_no string, move_time string, centipawn_score string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    tagged = sources.typed_moves(raw.mapInArrow(run, raw.schema), on_bad="tag")
+    good, bad, counts = sinks.quarantine(tagged, str(tmp_path / "moves"))
+    assert seen.value == len(rows)
+    wrong = {int(r[2]): [c for c, is_bad in (("move_time", r[3] == "x"), ("centipawn_score", r[4] is None)) if is_bad]
+             for r in rows}
+    assert {r.move_no: list(r.bad) for r in bad.collect()} == {n: w for n, w in wrong.items() if w}
+    assert all(r.raw.move_time == ("x" if r.move_no % 4 == 0 else "1.5") for r in bad.collect())
+    assert sorted(r.move_no for r in good.collect()) == [n for n, w in wrong.items() if not w]
+    assert counts == {"good": good.count(), "bad": bad.count()} and dict(good.dtypes)["move_time"] == "double"
+    none, all_good, counts = sinks.quarantine(
+        sources.typed_moves(raw, on_bad="tag", need=("move_no",)).filter("move_no < 0"), str(tmp_path / "none"))
+    assert (none.count(), all_good.count(), counts) == (0, 0, {"good": 0, "bad": 0})
+
+
+def test_files_by_month_do_not_grow_with_tasks(spark, tmp_path):
+    rows = [(f"g{i}", "a", i, 1.0, "+1") for i in range(400)]
+    moves = moves_frame(spark, rows).selectExpr("*", "move_no % 5 AS month").repartition(40)
+    sinks.write_moves(moves, str(tmp_path / "out"), partition_by=["month"])
+    assert len(list((tmp_path / "out").glob("month=*/*.parquet"))) <= 10
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+
+
 def test_score_lists_text(spark):
     info, moves = info_frame(spark, INFO[:1]), moves_frame(spark, MOVES)
     text = ops.extremes_text(ops.score_extremes(info, moves), "moves")
