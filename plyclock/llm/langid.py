@@ -1,14 +1,16 @@
 """Language identification by unigrams of pieces, summed over all segmentations.
 
-The pieces are the tokens of a fixed public vocabulary of at most ``MAX_BYTES`` bytes,
-where a token that ends a word carries the blank behind it.  A language is one
+The pieces are the tokens of a fixed public vocabulary, all of them, where a token that
+ends a word carries the blank behind it.  A language is one
 probability per piece.  A word's probability is the sum over every way of cutting it
 into pieces, found by the forward algorithm, and a text's is the product over its
 words.  The probabilities are learned by expectation maximisation: expected counts of
 every piece over all segmentations, by the forward and backward sums.
 
 Words are scored in whole batches: equal words once, and one step of the recursion for
-all words at a time.
+all words at a time.  Words of any length are scored whole; the sums are scaled as they
+go, so they do not vanish.  Only where probabilities are learned are words cut at every
+``RUN_BYTES``, as the backward sums need the whole lattice of a word at once.
 """
 
 import pyarrow as pa
@@ -16,13 +18,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyclock.llm.common import surely_least, text_slices
+from plyclock.llm.common import free_name, surely_least, text_slices
 from plyclock.llm.tokens import tokenizer_path
 
-#: Longest piece; eight bytes make one integer.
-MAX_BYTES = 8
-#: Longer words are scored as runs of so many bytes, one after the other.
+#: The hash of a piece is a polynomial of its bytes in this odd number, modulo 2^64.
+FACTOR = 0x9E6C63D0876A9A99
+#: Longer words are learned from as runs of so many bytes, one after the other.
 RUN_BYTES = 48
+#: The sums of a word are scaled after so many bytes.
+SCALED = 16
 #: Documents of each language that the probabilities are learned from.
 SAMPLE = 900
 ROUNDS = 4
@@ -32,7 +36,7 @@ UNDETERMINED = "und"
 
 
 class Pieces:
-    """The vocabulary as hash tables from packed bytes to piece numbers."""
+    """The vocabulary as hash tables, one for each length, from hashes to piece numbers."""
 
     def __init__(self, path=None):
         import json
@@ -48,17 +52,25 @@ class Pieces:
         for token in vocabulary:
             ends = token.endswith("</w>")
             raw = bytes(byte[c] for c in (token[:-4] if ends else token)) + (b" " if ends else b"")
-            if 0 < len(raw) <= MAX_BYTES:
+            if raw:
                 found.add(raw)
         found |= {bytes([b]) for b in range(256)}
         self.pieces = sorted(found, key=lambda p: (len(p), p))
+        self.longest = len(self.pieces[-1])
+        self.powers = np.array([pow(FACTOR, d, 1 << 64) for d in range(self.longest)], np.uint64)
         self.tables = {}
-        for size in range(1, MAX_BYTES + 1):
-            of = [(int.from_bytes(p, "big"), i) for i, p in enumerate(self.pieces) if len(p) == size]
+        for size in range(1, self.longest + 1):
+            of = [(self.hashed(p), i) for i, p in enumerate(self.pieces) if len(p) == size]
+            if len({k for k, _ in of}) < len(of):
+                raise AssertionError("two pieces have one hash")
             if of:
                 self.tables[size] = self.table(np.array([k for k, _ in of], np.uint64),
                                                np.array([i for _, i in of], np.int32))
 
+    def hashed(self, piece):
+        """As ``ending_at`` makes it: the last byte first."""
+        return sum((b + 1) * pow(FACTOR, d, 1 << 64) for d, b in enumerate(reversed(piece))) % (1 << 64)
+
     @staticmethod
     def slots(keys, bits):
         import numpy as np
@@ -97,12 +109,8 @@ class Pieces:
             out[hit] = value[slot[hit]]
         return out
 
-    def lattice(self, words):
-        """(order, lengths, at[j][d]): pieces that end at byte j+1 of each word, by length.
-
-        ``words`` are byte strings of at most RUN_BYTES; they are put in order of
-        falling length, so the words with a byte j are the first ones.
-        """
+    def letters(self, words):
+        """(order, lengths, bytes): words by falling length, so those with a byte j come first."""
         import numpy as np
 
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -112,16 +120,25 @@ class Pieces:
         letters = np.zeros((len(words), width), np.uint8)
         flat = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
         letters[np.arange(width) < lengths[:, None]] = flat
-        letters = np.ascontiguousarray(letters.T)
-        columns = []
-        for j in range(width):
-            n = int(np.searchsorted(-lengths, -j, side="left"))
-            key, pieces = np.zeros(n, np.uint64), []
-            for d in range(1, min(MAX_BYTES, j + 1) + 1):
-                key = key | (letters[j - d + 1, :n].astype(np.uint64) << np.uint64(8 * (d - 1)))
-                pieces.append(self.look_up(d, key))
-            columns.append(pieces)
-        return order, lengths, columns
+        return order, lengths, np.ascontiguousarray(letters.T)
+
+    def ending_at(self, letters, j, n):
+        """Pieces that end at byte j of the first n words, by length; -1 for none."""
+        import numpy as np
+
+        key, pieces = np.zeros(n, np.uint64), []
+        for d in range(1, min(self.longest, j + 1) + 1):
+            key = key + (letters[j - d + 1, :n].astype(np.uint64) + np.uint64(1)) * self.powers[d - 1]
+            pieces.append(self.look_up(d, key))
+        return pieces
+
+    def lattice(self, words):
+        """(order, lengths, at[j][d]): pieces that end at byte j of each word, by length."""
+        import numpy as np
+
+        order, lengths, letters = self.letters(words)
+        return order, lengths, [
+            self.ending_at(letters, j, int(np.searchsorted(-lengths, -j, side="left"))) for j in range(len(letters))]
 
     def forward(self, lattice, chances):
         """Sums over segmentations: ``alpha[j]`` has one row per word and language.
@@ -143,16 +160,34 @@ class Pieces:
         return alpha
 
     def scores(self, words, chances):
-        """Log-probability of each word, a row per word and a column per language."""
+        """Log-probability of each word, a row per word and a column per language.
+
+        Holds the sums of the last few bytes only, as far back as a piece can reach.
+        """
+        from collections import deque
+
         import numpy as np
 
-        lattice = self.lattice(words)
-        order, lengths, _ = lattice
-        alpha = self.forward(lattice, chances)
-        out = np.empty((len(words), chances.shape[1]))
-        for size in np.unique(lengths).tolist():
-            rows = np.flatnonzero(lengths == size)
-            out[order[rows]] = np.log(np.maximum(alpha[size][rows], 1e-300))
+        order, lengths, letters = self.letters(words)
+        languages = chances.shape[1]
+        out, scale = np.zeros((len(words), languages)), np.zeros((len(words), languages))
+        recent = deque([np.ones((len(words), languages))], maxlen=self.longest)
+        longer = [int(np.searchsorted(-lengths, -j, side="left")) for j in range(len(letters) + 1)]
+        for j in range(len(letters)):
+            n = longer[j]
+            pieces = self.ending_at(letters, j, n)
+            total = recent[0][:n] * chances[pieces[0]]
+            for d in range(1, len(pieces)):
+                use = np.flatnonzero(pieces[d] >= 0)
+                if len(use):
+                    total[use] += recent[d][use] * chances[pieces[d][use]]
+            recent.appendleft(total)
+            if j % SCALED == SCALED - 1:
+                by = np.maximum(total, 1e-300)
+                recent = deque([a[:n] / by for a in recent], maxlen=self.longest)
+                scale[:n] += np.log(by)
+            ended = slice(longer[j + 1], n)
+            out[order[ended]] = np.log(np.maximum(recent[0][ended], 1e-300)) + scale[ended]
         return out
 
     def expected_counts(self, words, weights, chances):
@@ -182,6 +217,18 @@ class Pieces:
         return counts
 
 
+def in_parts(words, most=20_000, letters=1_000_000):
+    """Words by length in parts of so many words, and of so many bytes if all were as long as the last."""
+    part = []
+    for word in words:
+        if part and (len(part) >= most or (len(part) + 1) * (len(word) + 1) > letters):
+            yield part
+            part = []
+        part.append(word)
+    if part:
+        yield part
+
+
 def runs_of(word):
     """A word with its end mark, in runs short enough for the recursion."""
     word = word + b" "
@@ -268,24 +315,30 @@ def fit_languages(docs, path=None, sample=SAMPLE, rounds=ROUNDS):
     return {r.lang: np.frombuffer(r.chances, "<f8") for r in sorted(rows, key=lambda r: r.lang)}
 
 
-def identify(docs, model, path=None, text="text", remembered=300_000):
-    """Add ``lang_pred`` and ``score`` to every row.
+def identify(docs, model, path=None, text="text", remembered=300_000, label="lang_pred", score="score"):
+    """Add ``lang_pred`` and ``score``, or what they are named instead, to every row.
 
     ``score`` is the share of the predicted language among all, from the probabilities
     of the whole text.  A null text and one without any letter get "und" and 0, as does
-    every text under an empty model; equal languages go to the first by name.
+    every text under an empty model; equal languages go to the first by name.  Repeated rows
+    stay repeated.  A table that has one of the two names already raises.
     """
     import numpy as np
 
+    for name in (label, score):
+        if free_name(docs, name) != name:
+            raise ValueError(f"the table already has a column {name}")
+
     names = list(model)
     width = len(names)
     chances = np.zeros((len(next(iter(model.values()))) + 1, width)) if names else None
     for i, name in enumerate(names):
         chances[:-1, i] = model[name]
     sent = docs.sparkSession.sparkContext.broadcast(chances)
-    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema, T.StructField(label, T.StringType()),
+                           T.StructField(score, T.DoubleType())])
     keep = docs.columns
+    added = [label, score]
 
     def run(batches):
         import pyarrow.compute as pc
@@ -297,21 +350,19 @@ def identify(docs, model, path=None, text="text", remembered=300_000):
                 size = len(texts)
                 lettered = np.asarray(pc.fill_null(
                     pc.match_substring_regex(texts, r"\pL"), False))
-                label = np.full(size, UNDETERMINED, dtype=object)
-                score = np.zeros(size)
+                found = np.full(size, UNDETERMINED, dtype=object)
+                sure = np.zeros(size)
                 if width and lettered.any():
                     coded, per_text, words = word_list(texts)
                     if len(known) + len(words) > remembered:
                         known, table = {b"": 0}, np.zeros((1, width))
                     new = [w for w in words if w not in known]
                     if new:
-                        cut = [runs_of(w) for w in new]
-                        flat = [r for runs in cut for r in runs]
-                        got = np.concatenate([pieces.scores(flat[i:i + 20_000], chances)
-                                              for i in range(0, len(flat), 20_000)])
-                        firsts = np.cumsum([0, *map(len, cut[:-1])])
+                        # By length, so that a long word stands in no table of short ones.
+                        new.sort(key=len)
+                        got = [pieces.scores([w + b" " for w in part], chances) for part in in_parts(new)]
                         known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                        table = np.concatenate([table, np.add.reduceat(got, firsts)])
+                        table = np.concatenate([table, *got])
                     number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                     of_word = table[number[np.asarray(coded.indices)]]
                     ends = np.cumsum(np.asarray(per_text, dtype=np.int64))
@@ -319,11 +370,11 @@ def identify(docs, model, path=None, text="text", remembered=300_000):
                     total = np.diff(sums[np.concatenate([[0], ends])], axis=0)
                     best = total.argmax(axis=1)
                     share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    label[lettered] = np.array(names, dtype=object)[best[lettered]]
-                    score[lettered] = share[lettered]
+                    found[lettered] = np.array(names, dtype=object)[best[lettered]]
+                    sure[lettered] = share[lettered]
                 part = batch.slice(at, size)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(label.tolist(), pa.string()), pa.array(score)],
-                    names=[*keep, "lang_pred", "score"])
+                    [*part.columns, pa.array(found.tolist(), pa.string()), pa.array(sure)],
+                    names=[*keep, *added])
 
     return docs.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from plyclock.llm.common import stored, surely_least
+from plyclock.llm.common import free_name, stored, surely_least
 
 #: Labelled documents learned from, at most.
 SAMPLE = 12_000
@@ -154,9 +154,14 @@ def fit_rules(docs, labels, label="quality", sample=SAMPLE, trees=TREES, depth=D
         (w, r) for w, r in zip(weights, rules, strict=True) if w))
 
 
-def score_documents(docs, model, text="text"):
-    """Add ``score`` (0 to 1, null and empty texts too) and ``predicted`` (1 from 0.5)."""
-    keep = docs.columns
-    return docs.withColumn("score", model.score(text)) \
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int")) \
-        .select(*keep, "score", "predicted")
+def score_documents(docs, model, text="text", score="score", predicted="predicted"):
+    """Add ``score`` (0 to 1, null and empty texts too) and ``predicted`` (1 from 0.5).
+
+    The two may be given other names; a name that the table has already raises.  Repeated
+    rows are scored alike and stay repeated; an empty table stays empty.
+    """
+    for name in (score, predicted):
+        if free_name(docs, name) != name:
+            raise ValueError(f"the table already has a column {name}")
+    scored = docs.withColumn(score, model.score(text))
+    return scored.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))

@@ -108,3 +108,67 @@ def test_one_python_stage_encodes_and_decodes(docs, empty):  # noqa: F811
             tokens.encode_documents(docs, **wrong)
     with pytest.raises(ValueError):
         tokens.decode_documents(docs, ids="doc_id", text="TEXT")
+
+
+def test_pieces_of_any_length_and_whole_words():
+    import numpy as np
+
+    from plyclock.llm import langid
+
+    pieces = langid.Pieces()
+    assert pieces.longest > 8
+    long = [p for p in pieces.pieces if len(p) > 8]
+    rng = np.random.default_rng(4)
+    chances = np.append(rng.random((len(pieces.pieces), 2)), np.zeros((1, 2)), axis=0)
+    chances[:-1] /= chances[:-1].sum(axis=0)
+    number = {p: i for i, p in enumerate(pieces.pieces)}
+
+    def plain(word):
+        # Exact sums with a wide exponent.
+        sums = [[(1.0, 0)] * 2]
+        for j in range(1, len(word) + 1):
+            row = []
+            for lang in range(2):
+                terms = [(sums[i][lang][0] * chances[number[word[i:j]], lang], sums[i][lang][1])
+                         for i in range(max(0, j - pieces.longest), j) if word[i:j] in number]
+                top = max(e for _, e in terms)
+                m, e = math.frexp(sum(math.ldexp(m, e - top) for m, e in terms))
+                row.append((m, e + top))
+            sums.append(row)
+        return [math.log(m) + e * math.log(2) for m, e in sums[-1]]
+
+    words = [long[0], long[-1] + long[7], b"understanding ", "日本語テキスト".encode() * 9 + b" ",
+             b"internationalization" * 12 + b" ", b"x" * 700 + b" ", b"a", b" "]
+    got = pieces.scores(words, chances)
+    for word, scores in zip(words, got.tolist(), strict=True):
+        assert scores == pytest.approx(plain(word), rel=1e-10)
+    assert [len(p) for p in langid.in_parts([b"a"] * 5, 2)] == [2, 2, 1]
+    assert [len(p) for p in langid.in_parts([b"a", b"a" * 50, b"a" * 99], 9, 100)] == [1, 1, 1]
+
+
+def test_taken_names_raise(docs):  # noqa: F811
+    from plyclock.llm import langid
+
+    with pytest.raises(ValueError):
+        langid.identify(docs.withColumnRenamed("n", "Score"), {})
+
+
+def test_stages_with_clashing_columns(spark, sf_dir):
+    import corpus_pipeline
+    from plyclock.llm import common, langid
+
+    plain = common.documents(spark, sf_dir)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 + 3")], "doc_id long, text string")
+    plain = plain.unionByName(odd, allowMissingColumns=True)
+    clashing = plain.selectExpr("*", "1 AS score", "2 AS Lang_Pred", "3 AS predicted", "4 AS _stat_chars")
+    for stage in (corpus_pipeline.language, corpus_pipeline.quality):
+        a, b = stage(spark, plain, sf_dir), stage(spark, clashing, sf_dir)
+        assert a.columns == plain.columns and b.columns == clashing.columns
+        ids = sorted(r.doc_id for r in a.collect())
+        assert ids == sorted(r.doc_id for r in b.collect()) and 0 < len(ids) < plain.count()
+        assert {(r.score, r.Lang_Pred, r.predicted) for r in b.collect()} == {(1, 2, 3)}
+        if stage is corpus_pipeline.language:
+            # Every document with a letter in it is kept but for those of unsure language.
+            model = langid.fit_languages(common.documents(spark, sf_dir).filter(common.crc_mod3() != 1))
+            want = langid.identify(plain, model).filter(f"score >= {corpus_pipeline.SURE} AND lang_pred <> 'und'")
+            assert ids == sorted(r.doc_id for r in want.collect()) and min(ids) >= 0
