@@ -12,19 +12,18 @@ SURE = 0.5
 def language(spark, docs, sf_dir):
     """Rejects documents without a language (no text, no letter) or with an unsure one."""
     model = langid.fit_languages(documents(spark, sf_dir).filter(crc_mod3() != 1))
-    keep = docs.columns
     label, score = free_name(docs, "lang_pred"), free_name(docs, "score")
-    if (label, score) != ("lang_pred", "score"):
-        raise ValueError("the columns lang_pred and score are taken")
-    return langid.identify(docs, model).filter(
-        (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= SURE)).select(*keep)
+    named = langid.identify(docs, model, label=label, score=score)
+    return named.filter((F.col(label) != langid.UNDETERMINED) & (F.col(score) >= SURE)).select(*docs.columns)
 
 
 def quality(spark, docs, sf_dir):
     """Rejects documents whose predicted quality is 0."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod3() != 1)
     model = rules.fit_rules(documents(spark, sf_dir), labels)
-    return rules.score_documents(docs, model).filter("predicted = 1").select(*docs.columns)
+    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
+    return rules.score_documents(docs, model, score=score, predicted=predicted).filter(
+        F.col(predicted) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
