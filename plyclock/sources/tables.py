@@ -11,10 +11,14 @@ from plyclock.schemas import GAME_INFO, MOVES
 
 
 def read_raw(spark, path, fmt="csv"):
-    """Every column of an export; text columns for CSV, no type inference."""
+    """Every column of an export; text columns for CSV, no type inference.
+
+    Of a list of paths the CSV headers must agree, and Parquet schemas are merged.
+    """
+    several = isinstance(path, list) and len(path) > 1
     if fmt == "csv":
-        return spark.read.option("header", True).csv(path)
-    return spark.read.format(fmt).load(path)
+        return spark.read.option("header", True).option("enforceSchema", not several).csv(path)
+    return spark.read.option("mergeSchema", several).format(fmt).load(path)
 
 
 def pick(table, columns):
@@ -118,11 +122,14 @@ def _typed(raw, types, checks, on_bad, need):
 def read_months(spark, paths, read=read_raw, **options):
     """Monthly files or folders as one table with a ``month`` column.
 
-    ``paths`` maps each month to its path; of a list, the last part of each path, without
-    an ending, is the month.  ``read`` is any reader of this package, so moves come with
-    their types, and ``options`` go to it.  Tables are joined by column name and must have
-    the same columns.  The month is a constant of each part: a filter on it skips the
-    other months' files.
+    ``paths`` maps each month to its path, which may hold wildcards; of a list, the last
+    part of each path, without an ending, is the month.  ``read`` is any reader of this
+    package that keeps the rows of its files, so moves come with their types, and
+    ``options`` go to it.  All paths are read by one scan, however many there are, and
+    a row's month comes from the file it is in: a filter on it skips the other months'
+    files.  CSV files must have the same header (a differing one stops the job) and
+    Parquet columns are found by name in the schemas of all months merged.  A path that
+    does not exist, or one inside another, is an error.
     """
     if not isinstance(paths, dict):
         names = [os.path.splitext(os.path.basename(p.rstrip("/")))[0] for p in paths]
@@ -131,8 +138,34 @@ def read_months(spark, paths, read=read_raw, **options):
         paths = dict(zip(names, paths, strict=True))
     if not paths:
         raise ValueError("no months given")
-    return append_tables(
-        [read(spark, path, **options).withColumn("month", F.lit(month)) for month, path in paths.items()])
+    month_of, read_from = {}, {}
+    for month, path in paths.items():
+        for found, readable in _existing(spark, path):
+            read_from[found] = readable
+            if month_of.setdefault(found, month) != month:
+                raise ValueError(f"{found} belongs to {month_of[found]} and to {month}")
+    for found in month_of:
+        above = found
+        while "/" in above:
+            above = above.rpartition("/")[0]
+            if above in month_of:
+                raise ValueError(f"{found} lies inside {above}")
+    table = read(spark, sorted(read_from.values()), **options)
+    file = F.replace(F.col("_metadata.file_path"), F.lit(":///"), F.lit(":/"))
+    known = F.create_map(*[F.lit(x) for kv in month_of.items() for x in kv])
+    depths = sorted({p.count("/") + 1 for p in month_of})
+    return table.withColumn("month", F.coalesce(*[
+        F.try_element_at(known, F.substring_index(file, "/", depth)) for depth in depths]))
+
+
+def _existing(spark, path):
+    """Files or folders that a path, perhaps with wildcards, stands for: as in file metadata, and to read."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    if not found:
+        raise FileNotFoundError(path)
+    paths = [status.getPath() for status in found]
+    return [(p.toUri().toString().replace(":///", ":/"), p.toString()) for p in paths]
 
 
 def append_tables(tables):

@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ def write_info_csv(path, rows):
             out.writerow(line)
 
 
+def files_read(table):
+    scan = table._jdf.queryExecution().sparkPlan().collectLeaves().apply(0)
+    return scan.selectedPartitions().totalNumberOfFiles()
+
+
 INFO = [("g1", "anna", "ben", "1-0", 1600, 1500, "600+10"),
         ("g2", "carl", "dora", "1/2-1/2", 1700, 1800, "0+12")]
 MOVES = one_game(range(13), range(12)) + [
@@ -82,6 +88,46 @@ def test_months_in_one_scan(spark, tmp_path):
         sources.read_months(spark, ["a/x.csv", "b/x.csv"])
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_many_months_are_one_scan_that_skips_files(spark, tmp_path, fmt):
+    base = spark.createDataFrame([(1, "a b"), (2, "c")], "game_id long, player string").coalesce(1)
+    writer = base.write.option("header", True).format(fmt)
+    writer.save(str(tmp_path / "seed"))
+    paths = {}
+    for k in range(120):  # folders and single files, at two depths, with a blank in some names
+        month = f"{2010 + k // 12}-{k % 12 + 1:02}"
+        to = tmp_path / ("deep er" if k % 2 else "") / month
+        if k % 3:
+            shutil.copytree(tmp_path / "seed", to)
+        else:
+            to.parent.mkdir(exist_ok=True)
+            to = to.with_suffix(f".{fmt}")
+            shutil.copy(next((tmp_path / "seed").glob(f"*.{fmt}")), to)
+        paths[month] = str(to)
+    months = sources.read_months(spark, paths, fmt=fmt)
+    got = {r.month: r["count"] for r in months.groupBy("month").count().collect()}
+    assert got == dict.fromkeys(paths, 2)
+    whole = months._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("FileScan") == 1 and "Union" not in whole
+    few = months.filter(F.col("month").isin("2010-02", "2015-07"))
+    assert few.groupBy("month").count().count() == 2
+    assert files_read(few) == 2 and files_read(months) == 120
+    wild = sources.read_months(spark, {"odd": str(tmp_path / "deep er" / "*")}, fmt=fmt)
+    assert [tuple(r) for r in wild.groupBy("month").count().collect()] == [("odd", 120)]
+    with pytest.raises(FileNotFoundError):
+        sources.read_months(spark, {"no": str(tmp_path / "missing")}, fmt=fmt)
+    with pytest.raises(ValueError, match="inside"):
+        sources.read_months(spark, {"a": paths["2010-02"], "b": str(tmp_path / "deep er")}, fmt=fmt)
+
+
+def test_months_of_different_headers_stop(spark, tmp_path):
+    (tmp_path / "jan.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "feb.csv").write_text("b,a\n2,1\n")
+    months = sources.read_months(spark, [str(tmp_path / "jan.csv"), str(tmp_path / "feb.csv")])
+    with pytest.raises(Exception, match="(?i)header"):
+        months.collect()
+
+
 @pytest.mark.parametrize("text", [False, True])
 def test_months_of_job_outputs(spark, exports, tmp_path, text):
     moves, info = sources.read_moves(spark, exports[0]), sources.read_game_info(spark, exports[1])
