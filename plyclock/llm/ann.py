@@ -189,12 +189,13 @@ def nearest(vectors, is_query, k=20, column="embedding"):
     """``query_id, rank, vec_id, score`` of the ``k`` nearest rows of each query.
 
     Rows that are null, zero, not finite or of another width than the commonest take no part, as
-    queries or as neighbours.  Ties go to the smaller vec_id; rows that share the
-    query's vec_id are not its neighbours.  A query that finds fewer than ``k`` within
+    queries or as neighbours, nor do rows without a vec_id.  Rows that share a vec_id count
+    once: of different vectors the least, by its components in order, stands for the id.
+    Ties go to the smaller vec_id; a query is not its own neighbour.  A query that finds fewer than ``k`` within
     the radius is asked again without one, so it gets all there are.  An empty table
     gives no rows; other columns are not looked at.
     """
-    rows = stored(usable(vectors, column))
+    rows = stored(usable(vectors, column).groupBy("vec_id").agg(F.min("v").alias("v")))
     queries = rows.filter(is_query)
     codes = fit_codes(rows, k=k)
     spark = vectors.sparkSession
