@@ -119,18 +119,19 @@ def fit_rules(docs, labels, label="quality", sample=SAMPLE, trees=TREES, depth=D
               lasso=LASSO, seed=7):
     """Learn from at most ``sample`` labelled documents, chosen by a hash of the id.
 
-    Labels other than 0 and 1 are not used.  With labels of one kind or none the model
-    is a constant: that label's, or one half.
+    Labels other than 0 and 1 are not used, nor is an id labelled with both.  Of several
+    texts of one id the least, by its bytes, is learned from, so each id counts once.  With
+    labels of one kind or none the model is a constant: that label's, or one half.
     """
-    usable = labels.filter(F.col(label).isin(0, 1)).select(
-        "doc_id", F.col(label).cast("double").alias("_label"), F.xxhash64("doc_id").alias("_h"))
-    # Repeated ids lie on one hash, so it is the distinct ones that are counted.
-    distinct = usable.dropDuplicates(["doc_id"])
+    distinct = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min(label).cast("double").alias("_label"), F.max(label).cast("double").alias("_other")) \
+        .filter("_label = _other").select("doc_id", "_label", F.xxhash64("doc_id").alias("_h"))
     size = distinct.count()
     chosen = distinct.filter(surely_least("_h", sample, F.lit(float(max(size, 1))))) \
         .orderBy("_h", "doc_id").limit(sample).drop("_h")
     # At most ``sample`` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id") \
+        .groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     names = list(statistics())
     table = stored(with_statistics(rows).select("_label", *["_stat_" + n for n in names])).coalesce(4)
     kinds = {r[0]: r[1] for r in table.groupBy("_label").count().collect()}
