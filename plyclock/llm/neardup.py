@@ -369,6 +369,7 @@ def judged(docs):
     """``near_duplicates`` with the ``text_hash`` and the set's ``digest`` of each row."""
     found = stored(described(docs))
     members = found.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    repeated = bool(members.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count())
     # Different sets may share their smallest doc_id, so classes get ids of their own; of
     # each the row (doc_id, text_hash) stands for its set.
     classes = stored(with_row_key(members.groupBy("digest").agg(
@@ -386,14 +387,14 @@ def judged(docs):
     labels = None
     if met.limit(1).count():
         wanted = nearest.select(F.col("a").alias("id")).union(nearest.select("b")).distinct()
-        links = stored(confirmed(nearest, sets_of(docs, wanted, classes)))
+        links = stored(confirmed(nearest, sets_of(docs, wanted, classes, repeated)))
         labels = components(links)
         seen = labelled(met.select("key", "id"), labels)
         mixed_keys = seen.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         open_keys = stored(seen.join(mixed_keys, "key"))
         compared = stored(to_compare(in_blocks(open_keys), classes))
-        sets = sets_of(docs, compared.select("id").distinct(), classes)
+        sets = sets_of(docs, compared.select("id").distinct(), classes, repeated)
         more = stored(crossing(compared, classes, sets))
         if more.limit(1).count():
             labels = components(links.unionByName(more))
@@ -410,7 +411,11 @@ def judged(docs):
         of_class = of_class.join(named, F.col("id") == F.col("_id"), "left").select(
             "digest", F.coalesce("_named", "_least").alias("component"),
             F.coalesce("_is_head", F.lit(True)).alias("_first"))
-    result = found.join(of_class, "digest", "left").withColumn(
+    # Texts without a word have no class; all of them would meet in one task of the join.
+    blank = found.filter("digest IS NULL").withColumns({
+        "component": F.lit(None).cast("long"), "_first": F.lit(None).cast("boolean")})
+    joined = found.filter("digest IS NOT NULL").join(of_class, "digest", "left").unionByName(blank)
+    result = joined.withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return result.select(
         "doc_id", "text_hash", "digest", "n_shingles", "component_id",
@@ -418,7 +423,12 @@ def judged(docs):
          & F.coalesce("_first", F.lit(True))).alias("kept"))
 
 
-def sets_of(docs, wanted, classes):
-    """Full sets of the classes whose ids are wanted."""
+def sets_of(docs, wanted, classes, repeated):
+    """Full sets of the classes whose ids are wanted, one each.
+
+    ``repeated`` tells whether any row may stand there several times; only then are the
+    wanted texts shuffled once more, to leave one of each.
+    """
     rows = wanted.join(classes.select("id", "row.doc_id", "row.text_hash"), "id")
-    return full_sets(with_text_hash(docs).join(rows, ["doc_id", "text_hash"]))
+    texts = with_text_hash(docs).join(rows, ["doc_id", "text_hash"])
+    return full_sets(texts.dropDuplicates(["id"]) if repeated else texts)
