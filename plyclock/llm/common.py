@@ -21,12 +21,36 @@ def shared_folder(spark):
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes the shuffle files of an execution at its end.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(table, compression="zstd"):
-    """Write a table to the shared folder and read it back, which cuts lineage."""
+    """Write a table to the shared folder and read it back, which cuts lineage.
+
+    Nothing comes back to the shuffles of the writing, so their files go with its end.
+    """
     spark = table.sparkSession
     path = shared_folder(spark)
-    table.write.option("compression", compression).parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        table.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    read = spark.read.schema(table.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def release(*tables):
+    """Remove the files of tables made by ``stored`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark, sf_dir):
@@ -99,4 +123,6 @@ def ranked(table, *order, name="id"):
         starts += [F.lit(p), F.lit(total)]
         total += sizes[p]
     start = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
-    return held.withColumn(name, (start + F.col(at).bitwiseAND((1 << 33) - 1)).cast("long")).drop(at)
+    numbered = held.withColumn(name, (start + F.col(at).bitwiseAND((1 << 33) - 1)).cast("long")).drop(at)
+    numbered.stored_at = held.stored_at
+    return numbered

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plyclock.llm.common import ranked, stored, text_slices
+from plyclock.llm.common import ranked, release, stored, text_slices
 
 #: Bytes of text that make a slice.
 SLICE_BYTES = 8_000_000
@@ -396,6 +396,7 @@ def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
 
     lists = max(1, math.ceil(vocabulary.count() / LIST_WORDS))
     slices = stored(with_words(raw, vocabulary, lists))
+    release(raw)
 
     named = vocabulary.select("id", "lang", "phrase", "f")
     every = [named.withColumn("k", F.lit(1))]
@@ -407,8 +408,10 @@ def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
         named = stored(pairs.join(first, "x").join(last, "y").select(
             "id", "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), "f"))
         every.append(named.withColumn("k", F.lit(length)))
+        before = slices
         if length < longest:
-            slices = stored(with_phrases(slices, met, pairs, length))
+            slices = stored(with_phrases(before, met, pairs, length))
+        release(before, met, pairs)
     table = every[0]
     for more in every[1:]:
         table = table.unionByName(more)
