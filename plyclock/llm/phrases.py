@@ -99,6 +99,7 @@ def slices_of(docs, text, lang):
                     "words": pa.array([words], pa.list_(pa.string())),
                     "counts": pa.array([counts], pa.list_(pa.int64()))})
                 made += 1
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for at, texts in text_slices(batch.column(text)):
@@ -143,9 +144,13 @@ def keys_of(value):
 
 
 def rows_of(batch):
-    """The rows of a batch one after another, as a slice is large."""
+    """The rows of a batch one after another, as a slice is large.
+
+    What one row took goes back to the system before the next, or idle workers would hold it.
+    """
     for i in range(batch.num_rows):
         yield batch.slice(i, 1).to_pylist()[0]
+        pa.default_memory_pool().release_unused()
 
 
 def pair_counts(x, y, tile=TILE, dense=DENSE, tiles_at_once=8):
