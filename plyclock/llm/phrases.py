@@ -16,6 +16,7 @@ No count passes a threshold early, so all counts are exact: a phrase can only be
 if the phrases within it are.  Nothing is broadcast and nothing collected but a few totals.
 """
 
+import functools
 import math
 
 import pyarrow as pa
@@ -117,19 +118,32 @@ def slices_of(docs, text, lang):
         run, "slice long, lang string, codes binary, words array<string>, counts array<long>")
 
 
+@functools.cache
+def zstandard_pair():
+    """What compresses and what expands, once per process."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def packed(values, kind="i4"):
-    """Integers as bytes, the lowest of all first, then the next: high bytes compress to nothing."""
+    """Integers as bytes, the lowest of all first, then the next, by zstandard.
+
+    High bytes compress to nothing, and low ones as far as small ids are the frequent ones;
+    a shuffle's own compression only looks for repeats.
+    """
     import numpy as np
 
     values = np.ascontiguousarray(values, kind)
-    return values.view("u1").reshape(-1, values.itemsize).T.tobytes()
+    return zstandard_pair()[0](values.view("u1").reshape(-1, values.itemsize).T.tobytes())
 
 
 def ints(value, kind="i4"):
     import numpy as np
 
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(value, "u1").reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard_pair()[1](value), "u1").reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def packed_keys(keys):
@@ -211,27 +225,38 @@ def extended(words, left, length):
     return at, x[at], y[at]
 
 
+def ids_of(row):
+    """The words of a slice and the phrases that start at each; single words are their own."""
+    words = ints(row["words"])
+    return words, words if row["lefts"] is None else ints(row["lefts"])
+
+
+def bundled_pairs(x, y, bundles):
+    """The pairs of a slice by bundle: keys, counts, and per bundle its number, start and end."""
+    import numpy as np
+
+    keys, counts = pair_counts(x, y)
+    of = bundle_of(keys, bundles)
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    return keys[order], counts[order], list(zip(
+        of[starts].tolist(), starts.tolist(), np.append(starts, len(of))[1:].tolist(), strict=True))
+
+
 def counts_of_slices(slices, length, bundles):
     """``slice, bundle, keys, counts`` of all pairs that make a phrase of ``length``."""
 
     def run(batches):
-        import numpy as np
-
         for batch in batches:
             for r in rows_of(batch):
-                words, left = ints(r["words"]), ints(r["lefts"])
-                keys, counts = pair_counts(*extended(words, left, length)[1:])
-                of = bundle_of(keys, bundles)
-                order = np.argsort(of, kind="stable")
-                keys, counts, of = keys[order], counts[order], of[order]
-                starts = np.flatnonzero(np.diff(of, prepend=-1))
-                ends = np.append(starts, len(of))[1:]
+                _, x, y = extended(*ids_of(r), length)
+                keys, counts, parts = bundled_pairs(x, y, bundles)
                 yield pa.RecordBatch.from_pydict({
-                    "slice": pa.array([r["slice"]] * len(starts), pa.int64()),
-                    "bundle": pa.array(of[starts], pa.int64()),
-                    "keys": pa.array([packed_keys(keys[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    "counts": pa.array([packed(counts[a:b], "i8")
-                                        for a, b in zip(starts, ends, strict=True)], pa.binary())})
+                    "slice": pa.array([r["slice"]] * len(parts), pa.int64()),
+                    "bundle": pa.array([of for of, _, _ in parts], pa.int64()),
+                    "keys": pa.array([packed_keys(keys[a:b]) for _, a, b in parts], pa.binary()),
+                    "counts": pa.array([packed(counts[a:b], "i8") for _, a, b in parts], pa.binary())})
 
     return slices.mapInArrow(run, "slice long, bundle long, keys binary, counts binary")
 
@@ -269,8 +294,12 @@ def frequent_pairs(met, n_slices, least):
     return met.groupBy("bundle").applyInArrow(finish, "bundle long, x long, y long, f long")
 
 
-def with_phrases(slices, met, pairs, length):
-    """The slices with the ids of ``pairs`` in place of those of their first parts."""
+def with_phrases(slices, met, pairs, length, bundles):
+    """The slices with the ids of ``pairs`` in place of those of their first parts.
+
+    A slice gets the ids of its frequent pairs bundle by bundle, and bits that tell which of
+    its pairs they are; the pairs themselves it finds again, in the order of ``met``.
+    """
     import numpy as np
 
     def gathered(table):
@@ -282,31 +311,38 @@ def with_phrases(slices, met, pairs, length):
 
     def chosen(batches):
         for batch in batches:
-            out = {"slice": [], "known": [], "ids": []}
+            out = {"slice": [], "bundle": [], "bits": [], "ids": []}
             for r in rows_of(batch):
-                known = keys_of(r["known"])
-                use = np.isin(known, keys_of(r["keys"]), assume_unique=True)
-                if use.any():
+                known, keys = keys_of(r["known"]), keys_of(r["keys"])
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                frequent = known[place] == keys
+                if frequent.any():
                     out["slice"].append(r["slice"])
-                    out["known"].append(packed_keys(known[use]))
-                    out["ids"].append(packed(ints(r["ids"])[use]))
+                    out["bundle"].append(r["bundle"])
+                    out["bits"].append(np.packbits(frequent).tobytes())
+                    out["ids"].append(packed(ints(r["ids"])[place[frequent]]))
             yield pa.RecordBatch.from_pydict({
-                "slice": pa.array(out["slice"], pa.int64()), "known": pa.array(out["known"], pa.binary()),
-                "ids": pa.array(out["ids"], pa.binary())})
+                "slice": pa.array(out["slice"], pa.int64()), "bundle": pa.array(out["bundle"], pa.int64()),
+                "bits": pa.array(out["bits"], pa.binary()), "ids": pa.array(out["ids"], pa.binary())})
 
     def renamed(batches):
         for batch in batches:
             for r in rows_of(batch):
-                words, left = ints(r["words"]), ints(r["lefts"])
-                pairs = np.concatenate([keys_of(p["known"]) for p in r["pairs"]])
-                order = np.argsort(pairs)
-                pairs, ids = pairs[order], np.concatenate([ints(p["ids"]) for p in r["pairs"]])[order]
+                words, left = ids_of(r)
                 at, x, y = extended(words, left, length)
-                keys = x.astype(np.int64) << 32 | y
-                place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-                known = pairs[place] == keys
+                pairs, _, parts = bundled_pairs(x, y, bundles)
+                ids = np.full(len(pairs), -1, np.int32)
+                place_of = {of: (a, b) for of, a, b in parts}
+                for p in r["pairs"]:
+                    a, b = place_of[p["bundle"]]
+                    bits = np.unpackbits(np.frombuffer(p["bits"], "u1"), count=b - a).astype(bool)
+                    ids[a + np.flatnonzero(bits)] = ints(p["ids"])
+                order = np.argsort(pairs)
+                pairs, ids = pairs[order], ids[order]
+                named = ids[np.searchsorted(pairs, x.astype(np.int64) << 32 | y)]
+                known = named >= 0
                 new = np.full(len(words), -1, np.int32)
-                new[at[known]] = ids[place[known]]
+                new[at[known]] = named[known]
                 # A word outside of every frequent phrase of this length is in no longer one.
                 inside = np.zeros(len(words) + 1, np.int64)
                 np.add.at(inside, at[known], 1)
@@ -318,16 +354,19 @@ def with_phrases(slices, met, pairs, length):
                     "lefts": pa.array([packed(new)], pa.binary())})
 
     found = pairs.groupBy("bundle").applyInArrow(gathered, "bundle long, known binary, ids binary")
-    per_slice = met.select("slice", "bundle", "keys").join(found, "bundle").mapInArrow(
-        chosen, "slice long, known binary, ids binary").groupBy("slice").agg(
-        F.collect_list(F.struct("known", "ids")).alias("pairs"))
-    return slices.join(per_slice, "slice").mapInArrow(renamed, "slice long, words binary, lefts binary")
+    named = stored(met.select("slice", "bundle", "keys").join(found, "bundle").mapInArrow(
+        chosen, "slice long, bundle long, bits binary, ids binary"))
+    release(met)
+    per_slice = named.groupBy("slice").agg(F.collect_list(F.struct("bundle", "bits", "ids")).alias("pairs"))
+    result = stored(slices.join(per_slice, "slice").mapInArrow(renamed, "slice long, words binary, lefts binary"))
+    release(slices, named)
+    return result
 
 
 def with_words(raw, vocabulary, lists):
     """``slice, words, lefts``: the slices with the ids of the frequent words, -1 elsewhere.
 
-    The words of a slice meet the vocabulary in ``lists`` by their CRC-32, not one by one.
+    ``lefts`` is null, as the phrases of one word are the words.  The words of a slice meet the vocabulary in ``lists`` by their CRC-32, not one by one.
     """
     import zlib
 
@@ -369,18 +408,20 @@ def with_words(raw, vocabulary, lists):
                 for w in r["known"]:
                     ids[ints(w["codes"])] = ints(w["ids"])
                 found, = without_gaps(ids[ints(r["codes"])])
-                value = pa.array([packed(found)], pa.binary())
-                yield pa.RecordBatch.from_pydict(
-                    {"slice": pa.array([r["slice"]], pa.int64()), "words": value, "lefts": value})
+                yield pa.RecordBatch.from_pydict({
+                    "slice": pa.array([r["slice"]], pa.int64()), "words": pa.array([packed(found)], pa.binary()),
+                    "lefts": pa.array([None], pa.binary())})
 
     known = vocabulary.withColumn("list", F.crc32(F.col("phrase").cast("binary")) % lists) \
         .groupBy("lang", "list").applyInArrow(gathered, "lang string, list long, known array<string>, ids binary")
-    per_slice = raw.select("slice", "lang", "words").mapInArrow(
-        dealt, "slice long, lang string, list long, codes binary, words array<string>") \
-        .join(known, ["lang", "list"]).mapInArrow(chosen, "slice long, codes binary, ids binary") \
-        .groupBy("slice").agg(F.collect_list(F.struct("codes", "ids")).alias("known"))
-    return raw.select("slice", "codes", F.size("words").alias("size")).join(per_slice, "slice") \
-        .mapInArrow(translated, "slice long, words binary, lefts binary")
+    named = stored(raw.select("slice", "lang", "words").mapInArrow(
+        dealt, "slice long, lang string, list long, codes binary, words array<string>")
+        .join(known, ["lang", "list"]).mapInArrow(chosen, "slice long, codes binary, ids binary"))
+    per_slice = named.groupBy("slice").agg(F.collect_list(F.struct("codes", "ids")).alias("known"))
+    result = stored(raw.select("slice", "codes", F.size("words").alias("size")).join(per_slice, "slice")
+                    .mapInArrow(translated, "slice long, words binary, lefts binary"))
+    release(named)
+    return result
 
 
 def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
@@ -400,7 +441,7 @@ def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
     vocabulary = ranked(frequent, F.desc("f"), "lang", "phrase")
 
     lists = max(1, math.ceil(vocabulary.count() / LIST_WORDS))
-    slices = stored(with_words(raw, vocabulary, lists))
+    slices = with_words(raw, vocabulary, lists)
     release(raw)
 
     named = vocabulary.select("id", "lang", "phrase", "f")
@@ -413,10 +454,11 @@ def frequent_phrases(docs, text="text", lang="lang", least=100, longest=5):
         named = stored(pairs.join(first, "x").join(last, "y").select(
             "id", "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), "f"))
         every.append(named.withColumn("k", F.lit(length)))
-        before = slices
         if length < longest:
-            slices = stored(with_phrases(before, met, pairs, length))
-        release(before, met, pairs)
+            slices = with_phrases(slices, met, pairs, length, bundles)
+        else:
+            release(slices, met)
+        release(pairs)
     table = every[0]
     for more in every[1:]:
         table = table.unionByName(more)
