@@ -83,14 +83,22 @@ def _with_base(info, candidates, ends, attributes, min_moves, k):
     )
 
 
-def rating_extremes(info, moves, end="fastest", k=5, min_moves=11):
+def list_candidates(moves, ends=ENDS, perspective="player", k=5, min_moves=11):
+    """Candidates from which both ``rating_extremes`` and ``score_extremes`` can be made."""
+    scored = with_score(timed_moves(moves), perspective)
+    return _candidates(scored, ends, k, min_moves, extra=("score",))
+
+
+def rating_extremes(info, moves, end="fastest", k=5, min_moves=11, candidates=None):
     """``game_id, player, rating, times``: the ``k`` fastest relative times
     ascending, or the ``k`` slowest descending.
 
     ``end`` may also be a list; ``times`` is then replaced by one array per end.
+    ``candidates`` may give those of ``list_candidates`` for the same numbers.
     """
     ends = (end,) if isinstance(end, str) else tuple(end)
-    candidates = _candidates(timed_moves(moves), ends, k, min_moves)
+    if candidates is None:
+        candidates = _candidates(timed_moves(moves), ends, k, min_moves)
     ready = _with_base(info, candidates, ends, ("rating",), min_moves, k)
 
     def times(e):
@@ -100,17 +108,18 @@ def rating_extremes(info, moves, end="fastest", k=5, min_moves=11):
     return ready.selectExpr(*KEYS, "rating", *map(times, ends))
 
 
-def score_extremes(info, moves, end="fastest", perspective="player", k=5, min_moves=11):
+def score_extremes(info, moves, end="fastest", perspective="player", k=5, min_moves=11,
+                   candidates=None):
     """``game_id, player, moves``: the ``k`` fastest or slowest moves as
     ``(rel_time, score)``, both ascending by time.
 
     Equal relative times are ordered by move time, then by ply.  The move time only
     matters over a base of zero, where all non-zero times come out as one infinity.
-    ``end`` may be a list, as above.
+    ``end`` may be a list and ``candidates`` given, as above.
     """
     ends = (end,) if isinstance(end, str) else tuple(end)
-    scored = with_score(timed_moves(moves), perspective)
-    candidates = _candidates(scored, ends, k, min_moves, extra=("score",))
+    if candidates is None:
+        candidates = list_candidates(moves, ends, perspective, k, min_moves)
     ready = _with_base(info, candidates, ends, (), min_moves, k)
 
     def pairs(e):

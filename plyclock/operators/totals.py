@@ -35,14 +35,14 @@ def counted_players(info, *attributes):
     return players.groupBy(*players.columns).agg(F.count("*").alias("_copies"))
 
 
-def player_game_totals(info, moves, attributes=("outcome",)):
+def player_game_totals(info, moves, attributes=("outcome",), sums=None):
     """One row per player-game: attributes, clock, ``n_moves``, ``total_time``,
     ``mean_rel_time``.
 
     A game listed several times counts every move that often, as a join on
-    single moves would.
+    single moves would.  ``sums`` may give what ``move_totals`` makes of the timed moves.
     """
-    totals = move_totals(timed_moves(moves))
+    totals = move_totals(timed_moves(moves)) if sums is None else sums
     joined = counted_players(info, *attributes).join(totals, KEYS, "inner")
     return joined.selectExpr(
         *KEYS, *attributes, "base", "increment",

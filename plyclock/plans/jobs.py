@@ -19,8 +19,13 @@ from plyclock.session import scratch_table
 
 KINDS = ("Outcome", "Rating", "Score")
 
-#: Columns of moves and games from which the outputs of a job with several readers are made.
+ENDS = ("fastest", "slowest")
+LISTS = (("fastest", "FastestMoveTimes"), ("slowest", "SlowestMoveTimes"))
+
+#: Columns of moves and games from which the outputs of a job are made.
 STAGED = {
+    "Outcome": ([*KEYS, "move_no", "move_time"],
+                ["game_id", "white", "black", "result", "time_control"]),
     "Rating": ([*KEYS, "move_no", "move_time"],
                ["game_id", "white", "black", "white_elo", "black_elo", "time_control"]),
     "Score": ([*KEYS, "move_no", "move_time", "centipawn_score"],
@@ -28,11 +33,12 @@ STAGED = {
 }
 
 
-def staged(spark, kind, moves, info):
-    """The inputs of a job, read once: ``(moves, info)`` from the scratch folder."""
-    if kind not in STAGED:
+def staged(spark, kinds, moves, info):
+    """The inputs of jobs, read once: ``(moves, info)`` from the scratch folder."""
+    if kinds == {"Outcome"}:
         return moves, info
-    of_moves, of_info = STAGED[kind]
+    of_moves, of_info = (list(dict.fromkeys(c for kind in KINDS if kind in kinds for c in STAGED[kind][i]))
+                         for i in range(2))
     return (scratch_table(spark, ops.timed_moves(moves).select(*of_moves)),
             scratch_table(spark, info.select(*of_info)))
 
@@ -45,50 +51,71 @@ def run_job(spark, kind, moves, info, out, text=False, perspective="player",
     jobs may share a prefix.  ``text`` writes the ``key,value`` and list text
     forms instead of Parquet.
     """
-    if kind not in KINDS:
-        raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
-    moves, info = staged(spark, kind, moves, info)
-    paths = {}
+    return run_jobs(spark, (kind,), moves, info, out, text, perspective, mode)[kind]
 
-    def path(name):
-        paths[name] = f"{out}_{kind}_{name}"
-        return paths[name]
 
-    def profile(table, name):
-        sinks.write_table(table, path(name), mode)
-        return spark.read.parquet(paths[name])
+def run_jobs(spark, kinds, moves, info, out, text=False, perspective="player",
+             mode="errorifexists"):
+    """Run several jobs on the same tables and return {kind: {output name: path}}.
 
-    def pairs(table, name):
+    The outputs are those of ``run_job`` for each kind.  The inputs are read once for
+    all of them, and what two kinds share is made once: the sums per player-game, the
+    moves joined to their players, and the candidates of the lists.
+    """
+    for kind in kinds:
+        if kind not in KINDS:
+            raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
+    moves, info = staged(spark, set(kinds), moves, info)
+    both, sums, joined, candidates = {"Rating", "Score"} <= set(kinds), None, None, None
+    if {"Outcome", "Rating"} <= set(kinds):
+        sums = scratch_table(spark, ops.move_totals(ops.timed_moves(moves)))
+    if both:
+        joined = scratch_table(spark, ops.relative_moves(
+            info, moves, ("rating",), perspective).select("rating", "rel_time", "score"))
+        candidates = scratch_table(spark, ops.list_candidates(moves, ENDS, perspective))
+    paths = {kind: {} for kind in kinds}
+
+    def path(kind, name):
+        paths[kind][name] = f"{out}_{kind}_{name}"
+        return paths[kind][name]
+
+    def profile(table, kind, name):
+        sinks.write_table(table, path(kind, name), mode)
+        return spark.read.parquet(paths[kind][name])
+
+    def pairs(table, kind, name):
         write = sinks.write_pairs if text else sinks.write_table
-        write(table, path(name), mode=mode)
+        write(table, path(kind, name), mode=mode)
 
-    def lists(table, name, values):
+    def lists(table, kind, name, values):
         if text:
-            sinks.write_extremes_text(table, path(name), values, mode)
+            sinks.write_extremes_text(table, path(kind, name), values, mode)
+        else:
+            sinks.write_table(table, path(kind, name), mode)
+
+    for kind in paths:
+        if kind == "Outcome":
+            totals = profile(ops.player_game_totals(info, moves, ("outcome",), sums), kind, "Totals")
+            pairs(ops.outcome_values(totals), kind, "AverageMoveTimes")
+            pairs(ops.outcome_values(totals, total_clock=True), kind, "SumMoveTimes")
+        elif kind == "Rating":
+            every = joined if both else ops.relative_moves(info, moves, ("rating",))
+            pairs(every.select("rating", every["rel_time"].alias("value")), kind, "AllMoveTimes")
+            pairs(ops.rating_values(ops.player_game_totals(info, moves, ("rating",), sums)),
+                  kind, "AverageMoveTime")
+            extremes = profile(
+                ops.rating_extremes(info, moves, ENDS, candidates=candidates), kind, "Extremes")
+            for end, name in LISTS:
+                lists(extremes.select("game_id", "player", "rating", extremes[end].alias("times")),
+                      kind, name, "times")
         else:
-            sinks.write_table(table, path(name), mode)
-
-    if kind == "Outcome":
-        totals = profile(ops.player_game_totals(info, moves, ("outcome",)), "Totals")
-        pairs(ops.outcome_values(totals), "AverageMoveTimes")
-        pairs(ops.outcome_values(totals, total_clock=True), "SumMoveTimes")
-    elif kind == "Rating":
-        every = ops.relative_moves(info, moves, ("rating",))
-        pairs(every.select("rating", every["rel_time"].alias("value")), "AllMoveTimes")
-        pairs(ops.rating_values(ops.player_game_totals(info, moves, ("rating",))),
-              "AverageMoveTime")
-        both = profile(ops.rating_extremes(info, moves, ("fastest", "slowest")), "Extremes")
-        for end, name in (("fastest", "FastestMoveTimes"), ("slowest", "SlowestMoveTimes")):
-            lists(both.select("game_id", "player", "rating", both[end].alias("times")),
-                  name, "times")
-    else:
-        every = ops.relative_moves(info, moves, (), perspective)
-        pairs(every.select("rel_time", "score"), "AllMoveTimes")
-        both = profile(
-            ops.score_extremes(info, moves, ("fastest", "slowest"), perspective), "Extremes"
-        )
-        for end, name in (("fastest", "FastestMoveTimes"), ("slowest", "SlowestMoveTimes")):
-            lists(both.select("game_id", "player", both[end].alias("moves")), name, "moves")
+            every = joined if both else ops.relative_moves(info, moves, (), perspective)
+            pairs(every.select("rel_time", "score"), kind, "AllMoveTimes")
+            extremes = profile(
+                ops.score_extremes(info, moves, ENDS, perspective, candidates=candidates),
+                kind, "Extremes")
+            for end, name in LISTS:
+                lists(extremes.select("game_id", "player", extremes[end].alias("moves")), kind, name, "moves")
     return paths
 
 

@@ -16,7 +16,7 @@ from plyclock.functions import (
     parse_score,
 )
 from plyclock.operators.totals import CLOCK_SHARE
-from plyclock.plans.jobs import KINDS, run_job
+from plyclock.plans.jobs import KINDS, run_jobs
 from plyclock.plans.projection import chess_game_info, chess_moves, chess_movetext
 from plyclock.schemas import GAME_INFO, MOVES, OUTCOME_VALUES
 from plyclock.session import scratch_path
@@ -341,8 +341,7 @@ def job_outputs(g):
     values = {"AllMoveTimes": "value", "AverageMoveTimes": "value", "SumMoveTimes": "value",
               "AverageMoveTime": "value", "FastestMoveTimes": "times", "SlowestMoveTimes": "times"}
     shown_rows = []
-    for kind in KINDS:
-        paths = run_job(g.spark, kind, g.moves, g.info, f"{out}/january")
+    for kind, paths in run_jobs(g.spark, KINDS, g.moves, g.info, f"{out}/january").items():
         for name in sorted(set(paths) & set(values)):
             table = g.spark.read.parquet(paths[name])
             column = {("Score", "value"): "rel_time", ("Score", "times"): "moves.rel_time"}.get(
