@@ -28,23 +28,26 @@ FROM {customer}
 # task has to see all orders of one customer.
 MOVES = """
 WITH sized AS (
-  SELECT o_orderkey, o_custkey, o_orderdate, n, shiftright(o_orderkey, 16) AS block
+  SELECT o_orderkey, o_custkey, o_orderdate, n
   FROM {orders}
   JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey)
-    ON l_orderkey = o_orderkey),
+    ON l_orderkey = o_orderkey
+  WHERE o_custkey IS NOT NULL
+  DISTRIBUTE BY o_custkey, shiftright(o_orderkey, 16)),
 blocks AS (
   SELECT o_custkey, block, sum(sum(n)) OVER (
            PARTITION BY o_custkey ORDER BY block
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_block
-  FROM sized GROUP BY o_custkey, block),
+  FROM (SELECT o_custkey, shiftright(o_orderkey, 16) AS block, n FROM sized)
+  GROUP BY o_custkey, block),
 starts AS (
   SELECT o_orderkey, o_custkey, o_orderdate,
          coalesce(before_block, 0) + coalesce(before_order, 0) AS start
   FROM (SELECT *, sum(n) OVER (
                  PARTITION BY o_custkey, block ORDER BY o_orderkey
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_order
-        FROM sized)
-  JOIN blocks USING (o_custkey, block)),
+        FROM (SELECT *, shiftright(o_orderkey, 16) AS block FROM sized))
+  LEFT JOIN blocks USING (o_custkey, block)),
 lines AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
          l_quantity - 1 AS move_time,

@@ -118,3 +118,14 @@ def test_skewed_join_is_split(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_orders_are_sized_once(spark, sf_dir):
+    """The lines of orders are counted once, though two branches of the plan use the counts."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(chess_moves(spark, sf_dir).drop("month"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert text.count("FileScan") == 3 and "ReusedExchange" in text
