@@ -77,9 +77,10 @@ def attach_times(moves, times):
     """Add extracted clock times to moves, matched on game and ply.
 
     Both keys are hashed, so a long game spreads over the tasks.  A move without
-    a time keeps NULL.
+    a time keeps NULL.  Times taken out of movetext look small to Spark, as small as the
+    text they come from, but are as many as the moves; so the join is fixed as a merge.
     """
-    return moves.join(times, ["game_id", "move_no"], "left")
+    return moves.join(times.hint("merge"), ["game_id", "move_no"], "left")
 
 
 def reconcile_times(moves, times):

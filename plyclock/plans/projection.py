@@ -101,14 +101,18 @@ def chess_movetext(moves, without_mate_times=False, plies=64):
         F.floor((no + 1) / 2).cast("string"),
         F.when(no % 2 == 1, F.lit(".")).otherwise(F.lit("...")),
     )
-    time = F.format_string("{[%%emt %.1f]}", F.col("move_time"))
+    # The formatter is slow; plain times come out alike as decimals.
+    time = F.expr("concat('{[%emt ', CASE WHEN move_time >= 0 AND move_time < 1e6 "
+                  "THEN string(CAST(move_time AS DECIMAL(9, 1))) "
+                  "ELSE format_string('%.1f', move_time) END, ']}')")
     if without_mate_times:
         time = F.when(F.col("centipawn_score").contains("#"), F.lit("{}")).otherwise(time)
     text = F.concat_ws(" ", number, F.col("move"), time)
     runs = moves.select(
         "game_id", F.floor((no - 1) / plies).alias("_run"), F.struct(no, text.alias("text")).alias("_m")
     )
-    return runs.groupBy("game_id", "_run").agg(
+    # The moves of a run come from many tasks, so gathering them before the shuffle gains nothing.
+    return runs.repartition("game_id", "_run").groupBy("game_id", "_run").agg(
         F.sort_array(F.collect_list("_m")).alias("_moves")
     ).select(
         "game_id", F.concat_ws(" ", F.transform("_moves", lambda m: m["text"])).alias("movetext")

@@ -19,7 +19,7 @@ from plyclock.operators.totals import CLOCK_SHARE
 from plyclock.plans.jobs import KINDS, run_jobs
 from plyclock.plans.projection import chess_game_info, chess_moves, chess_movetext
 from plyclock.schemas import GAME_INFO, MOVES, OUTCOME_VALUES
-from plyclock.session import scratch_path
+from plyclock.session import scratch_path, scratch_table
 
 # Grids at which fits are reported.
 RATING_GRID = range(500, 3001, 500)
@@ -177,13 +177,15 @@ def pgn_moves(g):
 
 
 def attach_times(g):
-    untimed = g.moves.select("game_id", "move_no", "player")
-    return ops.attach_times(untimed, sources.clock_times(chess_movetext(g.moves)))
+    moves = scratch_table(g.spark, g.moves.select("game_id", "move_no", "player", "move", "move_time"))
+    untimed = moves.select("game_id", "move_no", "player")
+    return ops.attach_times(untimed, sources.clock_times(chess_movetext(moves)))
 
 
 def reconcile_times(g):
-    times = sources.clock_times(chess_movetext(g.moves, without_mate_times=True))
-    counts = ops.reconcile_times(g.moves, times)
+    moves = scratch_table(g.spark, g.moves.select("game_id", "move_no", "move", "move_time", "centipawn_score"))
+    times = sources.clock_times(chess_movetext(moves, without_mate_times=True))
+    counts = ops.reconcile_times(moves, times)
     return counts.withColumn("matches", F.col("matches").cast("int"))
 
 

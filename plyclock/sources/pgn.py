@@ -65,6 +65,11 @@ def first_ply(text):
     return F.coalesce(2 * number - F.when(black, 0).otherwise(1), F.lit(1))
 
 
+def _once(value, use):
+    """``use`` of an expression that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_variations(text):
     """Movetext less all that stands in round brackets, at any depth; NULL if they do not pair.
 
@@ -95,9 +100,13 @@ def main_line(text):
     # Of a comment only its first time stays, so brackets in comments do not count.
     plain = F.regexp_replace(text, rf"\{{[^}}]*?{TIME_PATTERN}[^}}]*\}}", " {$1} ")
     plain = F.regexp_replace(plain, r"\{(?!\d+\.\d+\})[^}]*\}", " ")
-    plain = without_variations(plain)
+    plain = _once(plain, without_variations)
     plain = F.regexp_replace(plain, r"\$\d+|[!?]+", " ")
     plain = F.regexp_replace(plain, r"(?<![\d.{])\d+\.+(?!\d)", " ")
+    return _once(plain, _words)
+
+
+def _words(plain):
     # A comment before the first move is taken whole, and gives an empty move.
     word = F.lit(r"\{[^}]*\}|([^\s{}]+)\s*(?:\{([^}]*)\})?")
     both = F.arrays_zip(
@@ -112,17 +121,20 @@ def broken_games(games, text="movetext"):
 
 
 def _plies(games, game_id, text, on_bad):
-    line = main_line(F.col(text))
-    if on_bad == "fail":
-        line = F.when(line.isNull() & F.col(text).isNotNull(), F.raise_error(
-            F.concat(F.lit("unbalanced variation in game "), F.col(game_id).cast("string")))).otherwise(line)
-    elif on_bad != "skip":
-        raise ValueError(f"unknown on_bad: {on_bad}")
-    numbered = games.select(
+    # A column of its own, so that the check below does not take the movetext apart again.
+    lines = games.select(
         F.col(game_id).alias("game_id"),
         first_ply(F.col(text)).alias("_first"),
-        F.posexplode(line).alias("_pos", "_ply"),
+        F.col(text).isNotNull().alias("_given"),
+        main_line(F.col(text)).alias("_line"),
     )
+    line = F.col("_line")
+    if on_bad == "fail":
+        line = F.when(line.isNull() & F.col("_given"), F.raise_error(
+            F.concat(F.lit("unbalanced variation in game "), F.col("game_id").cast("string")))).otherwise(line)
+    elif on_bad != "skip":
+        raise ValueError(f"unknown on_bad: {on_bad}")
+    numbered = lines.select("game_id", "_first", F.posexplode(line).alias("_pos", "_ply"))
     return numbered.selectExpr("game_id", "_first + _pos AS move_no", "_ply.move", "_ply.time")
 
 
