@@ -155,6 +155,7 @@ class PlainWords:
     def __init__(self, path):
         import re
 
+        import numpy as np
         from tokenizers import normalizers, pre_tokenizers
 
         self.shape = re.compile(self.SHAPE).fullmatch
@@ -170,6 +171,28 @@ class PlainWords:
             self.tokenizer.encode(self.parts(w), add_special_tokens=False).ids
             == full.encode(w, add_special_tokens=False).ids for w in self.TRIED)
 
+        # Bytes above ASCII and the mark by the letter that stands for each, all others as they are.
+        self.table = np.array([ord(self.letters[b]) if b > 0x7F and b in self.letters else b
+                               for b in range(256)], dtype="<u2")
+        self.table[ord(MARK)] = ord(self.letters[ord(MARK)])
+
+    def fits(self, words):
+        """Which words of an Arrow column are of this kind."""
+        import pyarrow.compute as pc
+
+        return pc.match_substring_regex(words, f"^{self.SHAPE}$")
+
+    def joined(self, words):
+        """Words of this kind as the library takes them, in lists of 500 with marks between."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        ready = pc.replace_substring_regex(
+            pc.utf8_lower(words), r"^([^.,;:!?]+)([.,;:!?]+)$", r"\1 \2").to_pylist()
+        for i in range(0, len(ready), 500):
+            text = f" {MARK} ".join(ready[i:i + 500])
+            yield self.table[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
     def parts(self, word):
         """The word as parts between blanks, or None for a word of another kind."""
         found = self.shape(word)
@@ -206,8 +229,11 @@ class WordEncoder:
     """
 
     def __init__(self, path, words=900_000, leaf=LEAF_CHARS):
+        import os
+
         import numpy as np
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.words, self.leaf = load_tokenizer(path), words, leaf
         self.plain = PlainWords(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -223,40 +249,47 @@ class WordEncoder:
         self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words):
-        """Remember new words."""
+        """Remember new words; returns the place of each."""
+        import pyarrow.compute as pc
+
         np = self.np
-        plain, parts, usual, odd = [], [], [], []
-        for w in words:
-            if len(w) > self.leaf or MARK in w:
-                odd.append(w)
-            elif self.plain.works and (ready := self.plain.parts(w)):
-                plain.append(w)
-                parts.append(ready)
-            else:
-                usual.append(w)
+        if self.plain.works:
+            fits = pc.and_(self.plain.fits(words), pc.less_equal(pc.utf8_length(words), self.leaf))
+        else:
+            fits = pa.array(np.zeros(len(words), bool))
+        plain, rest = words.filter(fits), words.filter(pc.invert(fits))
+        is_odd = pc.or_(pc.greater(pc.utf8_length(rest), self.leaf), pc.match_substring(rest, MARK))
+        usual, odd = rest.filter(pc.invert(is_odd)), rest.filter(is_odd)
         ids, sizes = [self.ids], [self.sizes]
-        mark = self.plain.tokenizer.token_to_id(self.tokenizer.id_to_token(self.mark[0]))
-        sign = self.plain.letters[ord(MARK)]
-        for tokenizer, between, todo in (
-            (self.plain.tokenizer, f" {sign} ", parts), (self.tokenizer, f" {MARK} ", usual),
+        sign = self.plain.tokenizer.token_to_id(self.tokenizer.id_to_token(self.mark[0]))
+        listed = usual.to_pylist()
+        for tokenizer, mark, count, todo in (
+            (self.plain.tokenizer, sign, len(plain), self.plain.joined(plain)),
+            (self.tokenizer, self.mark[0], len(usual),
+             (f" {MARK} ".join(listed[i:i + 500]) for i in range(0, len(listed), 500))),
         ):
-            for i in range(0, len(todo), 500):
-                part = todo[i:i + 500]
+            for i, text in enumerate(todo):
+                # The fast call keeps no spans; there is one text, as a task has one core.
                 got = np.array(
-                    tokenizer.encode(between.join(part), add_special_tokens=False).ids,
-                    dtype=np.uint32)
+                    tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
                 marks = np.flatnonzero(got == mark)
-                if len(marks) != len(part) - 1:
+                if len(marks) != min(500, count - 500 * i) - 1:
                     raise AssertionError("words and marks do not match")
                 ids.append(got[got != mark])
                 sizes.append(np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1)
-        for w in odd:
+        for w in odd.to_pylist():
             got = tree_encoding(self.tokenizer, w, self.leaf)[0]
             ids.append(got)
             sizes.append(np.array([len(got)]))
-        self.known = pa.concat_arrays([self.known, pa.array([*plain, *usual, *odd], pa.large_string())])
+        # Plain words come first, then the usual, then the odd ones.
+        kind = np.zeros(len(words), np.int8)
+        kind[~np.asarray(fits)] = 1 + np.asarray(is_odd)
+        places = np.empty(len(words), np.int64)
+        places[np.argsort(kind, kind="stable")] = len(self.known) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, plain, usual, odd])
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        return places
 
     def encode(self, texts):
         """Flat ids of all texts and the number of ids of each; null counts as empty."""
@@ -271,11 +304,12 @@ class WordEncoder:
         distinct = coded.dictionary.cast(pa.large_string())
         if len(self.known) + len(distinct) > self.words:
             self.forget()
-        place = pc.index_in(distinct, value_set=self.known)
-        if place.null_count:
-            self.learn(distinct.filter(pc.is_null(place)).to_pylist())
-            place = pc.index_in(distinct, value_set=self.known)
-        word = np.asarray(place, dtype=np.int64)[np.asarray(coded.indices)]
+        found = pc.index_in(distinct, value_set=self.known)
+        new = np.asarray(pc.is_null(found))
+        place = np.asarray(pc.fill_null(found, 0), dtype=np.int64).copy()
+        if new.any():
+            place[new] = self.learn(distinct.filter(pa.array(new)))
+        word = place[np.asarray(coded.indices)]
         sizes = self.sizes[word]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -172,3 +172,25 @@ def test_stages_with_clashing_columns(spark, sf_dir):
             model = langid.fit_languages(common.documents(spark, sf_dir).filter(common.crc_mod3() != 1))
             want = langid.identify(plain, model).filter(f"score >= {corpus_pipeline.SURE} AND lang_pred <> 'und'")
             assert ids == sorted(r.doc_id for r in want.collect()) and min(ids) >= 0
+
+
+def test_words_are_learned_by_column():
+    """Plain words go to the library without a Python call for each, and get the ids of the whole text."""
+    import pyarrow as pa
+
+    path = tokens.tokenizer_path()
+    encoder, full = tokens.WordEncoder(path, leaf=50), tokens.load_tokenizer(path)
+
+    def one_by_one(word):
+        raise AssertionError("a word was looked at by itself")
+
+    encoder.plain.parts = one_by_one
+    letters = [chr(i) for i in range(0x21, 0x250)] + ["ẞ", "￿", "K"]
+    words = [c + more for c in letters for more in ("", "b", "B.", "?!", "a.b")] + ["x" * 60, "a\x01b", "\x01"]
+    texts = [*words, " ".join(words), None, "", " ".join(reversed(words[::3]))] * 2
+    flat, sizes = encoder.encode(pa.array(texts))
+    at = 0
+    for text, size in zip(texts, sizes.tolist(), strict=True):
+        assert flat[at:at + size].tolist() == full.encode(text or "", add_special_tokens=False).ids, text
+        at += size
+    assert at == len(flat)
