@@ -109,6 +109,22 @@ def text_slices(texts, chars=4_000_000):
         yield a, pa.concat_arrays([texts.slice(a, b - a), texts.slice(0, 0)])
 
 
+def give_back():
+    """Return what this process has freed to the system.
+
+    Workers live on between tasks, and what they keep counts against their executor.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    # Only glibc has it.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ranked(table, *order, name="id"):
     """Write the table in this order and number its rows from 0, without a single task.
 

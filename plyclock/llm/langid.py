@@ -18,8 +18,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyclock.llm.common import free_name, surely_least, text_slices
-from plyclock.llm.tokens import tokenizer_path
+from plyclock.llm.common import free_name, give_back, surely_least, text_slices
+from plyclock.llm.tokens import forget_encoders, tokenizer_path
 
 #: The hash of a piece is a polynomial of its bytes in this odd number, modulo 2^64.
 FACTOR = 0x9E6C63D0876A9A99
@@ -27,6 +27,8 @@ FACTOR = 0x9E6C63D0876A9A99
 RUN_BYTES = 48
 #: The sums of a word are scaled after so many bytes.
 SCALED = 16
+#: Bytes of text looked at together; a word takes hundreds of bytes while its text is scored.
+TEXT_BYTES = 2_000_000
 #: Documents of each language that the probabilities are learned from.
 SAMPLE = 900
 ROUNDS = 4
@@ -217,7 +219,7 @@ class Pieces:
         return counts
 
 
-def in_parts(words, most=20_000, letters=1_000_000):
+def in_parts(words, most=10_000, letters=500_000):
     """Words by length in parts of so many words, and of so many bytes if all were as long as the last."""
     part = []
     for word in words:
@@ -249,8 +251,8 @@ def learn(pieces, counts, rounds=ROUNDS):
     chances[:size] /= chances[:size].sum()
     for _ in range(rounds):
         used = np.zeros(size + 1)
-        for at in range(0, len(words), 50_000):
-            used += pieces.expected_counts(words[at:at + 50_000], weights[at:at + 50_000], chances)
+        for at in range(0, len(words), 10_000):
+            used += pieces.expected_counts(words[at:at + 10_000], weights[at:at + 10_000], chances)
         total = used.sum() or 1.0
         chances[:size] = (1 - EVEN) * used[:size] / total + EVEN / size
     return chances[:size]
@@ -297,14 +299,17 @@ def fit_languages(docs, path=None, sample=SAMPLE, rounds=ROUNDS):
 
         import numpy as np
 
+        forget_encoders()
         counts = Counter()
-        for at, texts in text_slices(table.column("text").combine_chunks()):
+        for at, texts in text_slices(table.column("text").combine_chunks(), TEXT_BYTES):
             coded, _, words = word_list(texts)
             found = np.bincount(np.asarray(coded.indices), minlength=len(words))
             for word, n in zip(words, found.tolist(), strict=True):
                 if word:
                     counts[word] += n
         chances = learn(Pieces(path), counts, rounds)
+        counts.clear()
+        give_back()
         return pa.table({"lang": [table.column("lang")[0].as_py()],
                          "chances": pa.array([chances.astype("<f8").tobytes()], pa.binary())})
 
@@ -343,10 +348,11 @@ def identify(docs, model, path=None, text="text", remembered=300_000, label="lan
     def run(batches):
         import pyarrow.compute as pc
 
+        forget_encoders()
         pieces, chances = Pieces(path), sent.value
         known, table = {b"": 0}, np.zeros((1, width))
         for batch in batches:
-            for at, texts in text_slices(batch.column(text)):
+            for at, texts in text_slices(batch.column(text), TEXT_BYTES):
                 size = len(texts)
                 lettered = np.asarray(pc.fill_null(
                     pc.match_substring_regex(texts, r"\pL"), False))
@@ -376,5 +382,6 @@ def identify(docs, model, path=None, text="text", remembered=300_000, label="lan
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(found.tolist(), pa.string()), pa.array(sure)],
                     names=[*keep, *added])
+            give_back()
 
     return docs.mapInArrow(run, schema)

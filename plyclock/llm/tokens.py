@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plyclock.llm.common import free_name, stored, text_slices, with_row_key
+from plyclock.llm.common import free_name, give_back, stored, text_slices, with_row_key
 
 #: A mark between words joined for one call; words that hold it are encoded alone.
 MARK = "\x01"
@@ -220,6 +220,18 @@ def kept_encoder(path):
     return kept[path]
 
 
+def forget_encoders():
+    """Let go of the encoders of this process, for operators that have no use for them."""
+    import sys
+
+    kept = sys.modules.get(KEPT)
+    paths = [name for name in vars(kept) if not name.startswith("__")] if kept else []
+    for path in paths:
+        delattr(kept, path)
+    if paths:
+        give_back()
+
+
 class WordEncoder:
     """Encodes columns of texts, each distinct word once while it is remembered.
 
