@@ -26,19 +26,24 @@ from pyspark.sql import functions as F
 from plyclock.llm.common import ranked, release, stored, text_slices
 
 #: Bytes of text that make a slice.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 16_000_000
 #: Ids along the side of a tile, as a power of two.
 TILE = 9
 #: A tile is counted by direct address if it has a pair for so many of its cells.
 DENSE = 4
 #: Counts of so many slices are added up at once.
-TOGETHER = 64
+TOGETHER = 256
+#: Pairs of further slices are added to the sum when there are so many.
+ADDED_PAIRS = 1_000_000
 #: Tiles are dealt to bundles, one for so many words.
 BUNDLE_WORDS = 1_000_000
 
 #: Frequent words are dealt to lists of about so many.
 LIST_WORDS = 20_000
 
+#: Bits in the filter of frequent words or pairs for each of them, and in all at most.
+FILTER_BITS, MOST_BITS = 16, 1 << 26
+
 #: The marks that end a piece, and what lies between words.
 ENDS, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
@@ -244,6 +249,37 @@ def bundled_pairs(x, y, bundles):
         of[starts].tolist(), starts.tolist(), np.append(starts, len(of))[1:].tolist(), strict=True))
 
 
+def place_of_pair(x, y, bits):
+    """Place of a pair in a filter; ids stay below 2^31, so nothing overflows."""
+    return (x * 1_000_003 + y * 7919) % bits
+
+
+def place_of_word(crc, bits):
+    return crc % bits
+
+
+def frequent_filter(table, place):
+    """A bit map of the rows of ``table``, broadcast; ``place`` makes a column of the number of bits.
+
+    Sized by the rows up to ``MOST_BITS``.  What it lets through by chance falls out in the
+    join behind it, so nothing but traffic depends on it.
+    """
+    import numpy as np
+
+    bits = min(MOST_BITS, 1 << max(12, (FILTER_BITS * table.count()).bit_length()))
+    # One row per 64 places, so no more than MOST_BITS / 64 of them.
+    held = table.select(place(bits).alias("place")).groupBy(F.floor(F.col("place") / 64).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, int(place % 64)))").alias("bits")).collect()
+    bitmap = np.zeros(bits // 64, np.int64)
+    for r in held:
+        bitmap[r["at"]] = r["bits"]
+    return table.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def is_set(bitmap, places):
+    return (bitmap[places >> 6] >> (places & 63)) & 1 == 1
+
+
 def counts_of_slices(slices, length, bundles):
     """``slice, bundle, keys, counts`` of all pairs that make a phrase of ``length``."""
 
@@ -270,8 +306,14 @@ def frequent_pairs(met, n_slices, least):
 
     def total(table):
         columns = table.select(["keys", "counts"]).to_pydict()
-        return added_up(np.concatenate([keys_of(k) for k in columns["keys"]]),
-                        np.concatenate([ints(c, "i8") for c in columns["counts"]]))
+        # Added up as they come, so that little more than the distinct pairs is held.
+        held, more = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+        for k, c in zip(columns["keys"], columns["counts"], strict=True):
+            held.append((keys_of(k), ints(c, "i8")))
+            more += len(held[-1][0])
+            if more > ADDED_PAIRS:
+                held, more = [added_up(*map(np.concatenate, zip(*held, strict=True)))], 0
+        return added_up(*map(np.concatenate, zip(*held, strict=True)))
 
     def merge(table):
         keys, counts = total(table)
@@ -298,7 +340,8 @@ def with_phrases(slices, met, pairs, length, bundles):
     """The slices with the ids of ``pairs`` in place of those of their first parts.
 
     A slice gets the ids of its frequent pairs bundle by bundle, and bits that tell which of
-    its pairs they are; the pairs themselves it finds again, in the order of ``met``.
+    its pairs, less those that a filter knows to be rare, they are; the pairs themselves it
+    finds again, in the order of ``met``.
     """
     import numpy as np
 
@@ -309,6 +352,21 @@ def with_phrases(slices, met, pairs, length, bundles):
                          "known": pa.array([packed_keys(keys[order])], pa.binary()),
                          "ids": pa.array([packed(np.asarray(table.column("id"))[order])], pa.binary())})
 
+    wanted = frequent_filter(pairs, lambda bits: place_of_pair(F.col("x"), F.col("y"), bits))
+
+    def likely(keys):
+        return is_set(wanted.value, place_of_pair(keys >> 32, keys & 0xFFFFFFFF, 64 * len(wanted.value)))
+
+    def sifted(batches):
+        for batch in batches:
+            keys = [keys_of(k) for k in batch.column("keys").to_pylist()]
+            keys = [k[likely(k)] for k in keys]
+            use = pa.array([len(k) > 0 for k in keys], pa.bool_())
+            kept = batch.select(["slice", "bundle"]).filter(use)
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array([packed_keys(k) for k in keys if len(k)], pa.binary())],
+                names=["slice", "bundle", "keys"])
+
     def chosen(batches):
         for batch in batches:
             out = {"slice": [], "bundle": [], "bits": [], "ids": []}
@@ -333,10 +391,12 @@ def with_phrases(slices, met, pairs, length, bundles):
                 pairs, _, parts = bundled_pairs(x, y, bundles)
                 ids = np.full(len(pairs), -1, np.int32)
                 place_of = {of: (a, b) for of, a, b in parts}
+                let_through = likely(pairs)
                 for p in r["pairs"]:
                     a, b = place_of[p["bundle"]]
-                    bits = np.unpackbits(np.frombuffer(p["bits"], "u1"), count=b - a).astype(bool)
-                    ids[a + np.flatnonzero(bits)] = ints(p["ids"])
+                    of = a + np.flatnonzero(let_through[a:b])
+                    bits = np.unpackbits(np.frombuffer(p["bits"], "u1"), count=len(of)).astype(bool)
+                    ids[of[bits]] = ints(p["ids"])
                 order = np.argsort(pairs)
                 pairs, ids = pairs[order], ids[order]
                 named = ids[np.searchsorted(pairs, x.astype(np.int64) << 32 | y)]
@@ -354,7 +414,8 @@ def with_phrases(slices, met, pairs, length, bundles):
                     "lefts": pa.array([packed(new)], pa.binary())})
 
     found = pairs.groupBy("bundle").applyInArrow(gathered, "bundle long, known binary, ids binary")
-    named = stored(met.select("slice", "bundle", "keys").join(found, "bundle").mapInArrow(
+    likely_met = met.select("slice", "bundle", "keys").mapInArrow(sifted, "slice long, bundle long, keys binary")
+    named = stored(likely_met.join(found, "bundle").mapInArrow(
         chosen, "slice long, bundle long, bits binary, ids binary"))
     release(met)
     per_slice = named.groupBy("slice").agg(F.collect_list(F.struct("bundle", "bits", "ids")).alias("pairs"))
@@ -366,17 +427,22 @@ def with_phrases(slices, met, pairs, length, bundles):
 def with_words(raw, vocabulary, lists):
     """``slice, words, lefts``: the slices with the ids of the frequent words, -1 elsewhere.
 
-    ``lefts`` is null, as the phrases of one word are the words.  The words of a slice meet the vocabulary in ``lists`` by their CRC-32, not one by one.
+    ``lefts`` is null, as the phrases of one word are the words.  The words of a slice meet the vocabulary in ``lists`` by their CRC-32,
+    not one by one, and only those that a filter takes for frequent.
     """
     import zlib
 
     import numpy as np
 
+    wanted = frequent_filter(vocabulary, lambda bits: place_of_word(F.crc32(F.col("phrase").cast("binary")), bits))
+
     def dealt(batches):
         for batch in batches:
             for r in rows_of(batch):
-                of = np.array([zlib.crc32(w.encode()) % lists for w in r["words"]], np.int64)
-                for number in np.unique(of):
+                crc = np.array([zlib.crc32(w.encode()) for w in r["words"]], np.int64)
+                use = is_set(wanted.value, place_of_word(crc, 64 * len(wanted.value)))
+                of = np.where(use, crc % lists, -1)
+                for number in np.unique(of[use]):
                     at = np.flatnonzero(of == number)
                     yield pa.RecordBatch.from_pydict({
                         "slice": pa.array([r["slice"]], pa.int64()), "lang": pa.array([r["lang"]], pa.string()),

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from plyclock.llm import langid, tokens
+from plyclock.llm import langid, phrases, tokens
 
 
 def test_language_needs_little_memory_and_forgets_encoders():
@@ -34,3 +34,33 @@ def test_language_needs_little_memory_and_forgets_encoders():
     assert found == ["a"] * 600
     assert tokens.tokenizer_path() not in vars(sys.modules[tokens.KEPT])
     assert peak < 75e6, peak
+
+
+def test_few_rare_words_and_pairs_pass_the_filter(spark):
+    """What is sent to meet the frequent words and pairs is little more than those themselves."""
+    wanted = [(i * 31, i * 17 + 5) for i in range(300)]
+    frame = spark.createDataFrame(wanted, "x long, y long")
+    bitmap = phrases.frequent_filter(frame, lambda bits: phrases.place_of_pair(frame.x, frame.y, bits)).value
+    x, y = (np.array(v, np.int64) for v in zip(*wanted, strict=True))
+    assert phrases.is_set(bitmap, phrases.place_of_pair(x, y, 64 * len(bitmap))).all()
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 100_000, (2, 20_000))
+    assert phrases.is_set(bitmap, phrases.place_of_pair(x, y, 64 * len(bitmap))).mean() < 0.1
+
+
+def test_phrases_do_not_depend_on_filter_and_rounds(spark, monkeypatch):
+    """A filter that lets much through, small slices and many rounds give the same phrases."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{min(int(n), 400)}" for n in rng.zipf(1.3, 60)) for _ in range(300)]
+    docs = spark.createDataFrame([(t, "en" if i % 3 else None) for i, t in enumerate(texts)],
+                                 "text string, lang string").repartition(5)
+
+    def found():
+        return sorted(map(tuple, phrases.mine_phrases(docs, least=5).collect()))
+
+    usual = found()
+    assert len(usual) > 50
+    for name, value in (("MOST_BITS", 4096), ("FILTER_BITS", 1), ("TOGETHER", 2), ("ADDED_PAIRS", 3),
+                        ("SLICE_BYTES", 2000)):
+        monkeypatch.setattr(phrases, name, value)
+    assert found() == usual
