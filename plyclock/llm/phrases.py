@@ -13,7 +13,8 @@ its first k - 1 words and its last word.  So phrases of every length are counted
   written anew with them, and the next length is counted.
 
 No count passes a threshold early, so all counts are exact: a phrase can only be frequent
-if the phrases within it are.  Nothing is broadcast and nothing collected but a few totals.
+if the phrases within it are.  Only bounded bit maps of the frequent words and pairs are
+collected and broadcast, to keep rare ones from being sent, and a few totals.
 """
 
 import functools
